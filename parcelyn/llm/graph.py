@@ -1,0 +1,48 @@
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import remove, fresh_path
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+    path = fresh_path(df.sparkSession, "edges")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours move to the least of the node and its neighbours."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours move to the least of those neighbours. Here a < b in every edge."""
+    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    moved = edges.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+    return moved.where("a <> b").distinct()
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of edges (a, b): root is the least node of its component. Loops are dropped.
+
+    Every round is written to the shared folder and its forerunner deleted. Ends when all nodes hang on their root.
+    """
+    spark = edges.sparkSession
+    now, path = _stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    for _ in range(most_rounds):
+        # Stars: no node is both a root and a member, and every member has one root.
+        roots, nodes = now.select(F.col("a").alias("b")).distinct(), now.groupBy("b").agg(F.count("*").alias("n"))
+        if nodes.where("n > 1").isEmpty() and nodes.join(roots, "b", "left_semi").isEmpty():
+            break
+        new, new_path = _stored(_small_star(_large_star(now)))
+        remove(spark, path)
+        now, path = new, new_path
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
