@@ -1,8 +1,8 @@
 """Quality rules by weak supervision.
 
 Each rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns (at most
-3 ** rules rows, whatever the corpus) estimates the share of good documents and, for each rule, how often its vote is
-right on good and on bad documents. A document's posterior probability of being good then decides.
+3 ** rules rows, whatever the corpus) estimates the share of good documents and how often each rule's votes are right.
+A document's posterior probability of being good then decides.
 
 Defined results: null or blank text has no words and fails the base rules; a null doc_id and repeated rows are kept as
 rows; an empty table gives an empty result and the prior model; only doc_id and text are read.
@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 ENDINGS = (".", "!", "?", '"', "'", ":", ";", ")", "…", "。")
 
-RULES = ("length", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "exclaiming")
+RULES = ("length", "word_length", "symbols", "marks", "repeated_lines", "repeated_words", "capitals", "exclaiming", "prose")
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
 
@@ -79,24 +79,28 @@ def features(text: str | None) -> Features:
     )
 
 
-def _vote(value: float, good: float, bad: float) -> int:
-    """Good up to `good`, bad from `bad` on, no opinion between them."""
-    return GOOD if value <= good else BAD if value >= bad else ABSTAIN
+#: Shares from which a rule finds its defect, and up to which text counts as prose.
+DEFECT = {"symbols": 0.1, "marks": 0.05, "repeated_lines": 0.3, "repeated_words": 0.4, "capitals": 0.4, "exclaiming": 0.25}
+PROSE = {"symbols": 0.03, "marks": 0.01, "repeated_lines": 0.15, "repeated_words": 0.15, "capitals": 0.2, "exclaiming": 0.08}
 
 
 def votes(x: Features) -> tuple[int, ...]:
-    """One vote for each of RULES."""
-    n, lines, letters = max(x.n_words, 1), max(x.n_lines, 1), max(x.n_upper + x.n_lower, 1)
+    """One vote for each of RULES. A rule for a defect votes bad where it finds it and has no opinion elsewhere."""
+    n = max(x.n_words, 1)
     mean = x.word_chars / n
-    return (
-        BAD if x.n_words < 50 else GOOD if x.n_words >= 80 else ABSTAIN,
-        BAD if mean < 2.5 or mean > 14 else GOOD if 3.5 <= mean <= 9 else ABSTAIN,
-        _vote(x.n_symbols / n, 0.02, 0.1),
-        _vote(x.n_dup_lines / lines, 0.1, 0.3) if x.n_lines > 1 else ABSTAIN,
-        _vote(x.n_repeat_words / n, 0.1, 0.4),
-        _vote(x.n_upper / letters, 0.2, 0.4),
-        _vote(x.n_exclaims / n, 0.05, 0.25),
-    )
+    share = {
+        "symbols": x.n_symbols / n,
+        "marks": (x.n_symbols + x.n_exclaims) / max(x.word_chars, 1),
+        "repeated_lines": x.n_dup_lines / max(x.n_lines, 1) if x.n_dup_lines > 2 else 0.0,
+        "repeated_words": x.n_repeat_words / n,
+        "capitals": x.n_upper / max(x.n_upper + x.n_lower, 1),
+        "exclaiming": x.n_exclaims / n,
+    }
+    found = {k: BAD if share[k] >= v else ABSTAIN for k, v in DEFECT.items()}
+    found["length"] = BAD if x.n_words < 50 else ABSTAIN
+    found["word_length"] = BAD if mean < 2 or mean > 20 and x.n_lower else ABSTAIN
+    found["prose"] = BAD if BAD in found.values() else GOOD if all(share[k] <= v for k, v in PROSE.items()) else ABSTAIN
+    return tuple(found[k] for k in RULES)
 
 
 def code(pattern: tuple[int, ...]) -> int:
@@ -109,41 +113,36 @@ def code(pattern: tuple[int, ...]) -> int:
 @dataclass(frozen=True)
 class VoteModel:
     prior: float  # share of good documents
-    right_good: tuple[float, ...]  # of a rule's votes on good documents, the share that says good
-    right_bad: tuple[float, ...]  # of its votes on bad ones, the share that says bad
+    accuracy: tuple[float, ...]  # share of a rule's votes that are right
+
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        """P(good) given the votes; a rule that abstains says nothing."""
+        odds = np.log(self.prior) - np.log1p(-self.prior)
+        for v, a in zip(pattern, self.accuracy, strict=True):
+            if v != ABSTAIN:
+                odds += (np.log(a) - np.log1p(-a)) * (1 if v == GOOD else -1)
+        return float(1 / (1 + np.exp(-odds)))
 
     def posteriors(self) -> dict[int, float]:
         """P(good) for every vote pattern, by its code."""
-        out = {}
-        for pattern in product((BAD, GOOD, ABSTAIN), repeat=len(self.right_good)):
-            g, b = np.log(self.prior), np.log1p(-self.prior)
-            for v, rg, rb in zip(pattern, self.right_good, self.right_bad, strict=True):
-                if v != ABSTAIN:
-                    g += np.log(rg if v == GOOD else 1 - rg)
-                    b += np.log(rb if v == BAD else 1 - rb)
-            out[code(pattern)] = float(1 / (1 + np.exp(min(b - g, 700.0))))
-        return out
+        return {code(p): self.posterior(p) for p in product((BAD, GOOD, ABSTAIN), repeat=len(self.accuracy))}
 
 
 def estimate(counts: dict[int, int], rules: int = len(RULES), rounds: int = 200) -> VoteModel:
-    """EM from pattern counts. Beta priors keep `good` on the side of rules that are mostly right."""
-    patterns = np.array([[c // 3**k % 3 for k in range(rules - 1, -1, -1)] for c in counts] or np.zeros((0, rules)), np.int64).reshape(-1, rules)
+    """EM from pattern counts. Beta priors hold each rule to be right more often than not."""
+    patterns = np.array([[c // 3**k % 3 for k in range(rules - 1, -1, -1)] for c in counts], np.int64).reshape(-1, rules)
     n = np.array(list(counts.values()), np.float64)
-    prior, rg, rb = 0.8, np.full(rules, 0.95), np.full(rules, 0.4)
-    good, bad = patterns == GOOD, patterns == BAD
+    sign = np.where(patterns == GOOD, 1.0, np.where(patterns == BAD, -1.0, 0.0))
+    prior, accuracy = 0.8, np.full(rules, 0.9)
     for _ in range(rounds):
-        lg = np.log(prior) + good @ np.log(rg) + bad @ np.log(1 - rg)
-        lb = np.log(1 - prior) + bad @ np.log(rb) + good @ np.log(1 - rb)
-        p = 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
-        wg, wb = n * p, n * (1 - p)
-        old = prior
-        prior = (wg.sum() + 8) / (n.sum() + 10)
-        rg = (wg @ good + 19) / (wg @ (good | bad) + 20)
-        rb = (wb @ bad + 4) / (wb @ (good | bad) + 10)
-        rg = np.clip(rg, 0.5, 1 - 1e-6)
-        if abs(prior - old) < 1e-12:
+        good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sign @ np.log(accuracy / (1 - accuracy)))))
+        right = (n * good) @ (sign > 0) + (n * (1 - good)) @ (sign < 0)
+        old = np.array([prior, *accuracy])
+        prior = (n @ good + 8) / (n.sum() + 10)
+        accuracy = np.clip((right + 9) / (n @ np.abs(sign) + 10), 0.5, 1 - 1e-6)
+        if np.abs(old - [prior, *accuracy]).max() < 1e-10:
             break
-    return VoteModel(float(prior), tuple(map(float, rg)), tuple(map(float, np.clip(rb, 1e-3, 1 - 1e-6))))
+    return VoteModel(float(prior), tuple(map(float, accuracy)))
 
 
 def fit(docs: DataFrame) -> VoteModel:
