@@ -31,13 +31,21 @@ CHUNK = 4096
 SHORT = 12
 
 
-def _syndrome(word: np.ndarray) -> np.ndarray:
-    s = word.astype(np.int64)
+def _high_syndromes() -> np.ndarray:
+    """Syndrome of each 12-bit high part alone; that of a low part is the part itself, and the code is linear."""
+    s = np.arange(1 << 12, dtype=np.int64) << 11
     for bit in range(22, 10, -1):
         s = np.where(s >> bit & 1, s ^ (GOLAY << (bit - 11)), s)
     return s
 
 
+_HIGH = _high_syndromes()
+
+
+def _syndrome(word: np.ndarray) -> np.ndarray:
+    return _HIGH[word >> 11] ^ (word & 2047)
+
+
 def golay_patterns() -> np.ndarray:
     """For each syndrome, the error patterns of weight 4 at most: 1 or 6, the rest of a row is -1."""
     out, filled = np.full((2048, 6), -1, np.int64), np.zeros(2048, np.int64)
@@ -52,15 +60,14 @@ def golay_patterns() -> np.ndarray:
     return out
 
 
-_tables: list[tuple[np.ndarray, np.ndarray]] = []
+_patterns: list[np.ndarray] = []
 
 
 def _golay_keys(word: np.ndarray) -> np.ndarray:
     """n x 6 message indices (12 bits) of the codewords within distance 4; -1 where there are fewer."""
-    if not _tables:
-        _tables.append((_syndrome(np.arange(1 << 23)).astype(np.int16), golay_patterns()))
-    syndrome, patterns = _tables[0]
-    e = patterns[syndrome[word]]
+    if not _patterns:
+        _patterns.append(golay_patterns())
+    e = _patterns[0][_syndrome(word)]
     return np.where(e < 0, -1, (word[:, None] ^ e) >> 11)
 
 
@@ -225,7 +232,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         batch = _as_batch(_unique(_forest(fps, distance)), [])
         return pa.Table.from_batches([batch.select(["a", "b"])])
 
-    rows = distinct.select("fp").mapInArrow(emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
+    # A fingerprint becomes some 180 rows, so its few bytes are dealt evenly first.
+    rows = distinct.select("fp").repartition(n).mapInArrow(emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
     first = written(rows.mapInArrow(compare, "a long, b long, chunk int"), "links")
     direct, parts = first.where("chunk IS NULL").select("a", "b"), first.where("chunk IS NOT NULL")
     sizes = parts.groupBy("a").agg(F.max("chunk").alias("most"))
