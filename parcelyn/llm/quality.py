@@ -195,4 +195,6 @@ def keep_good(docs: DataFrame, model: VoteModel, least: float = 0.5) -> DataFram
             found = [features(x) for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([not x.base_failed and table[code(votes(x))] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    # Columns go by number, as names may hold dots.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(scan, plain.schema).toDF(*docs.columns)

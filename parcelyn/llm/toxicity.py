@@ -1,10 +1,11 @@
 """Toxicity grades by cumulative-link (proportional-odds) ordinal regression on sparse text features.
 
-P(grade > k) = logistic(w . x - c_k): all thresholds c_0 < c_1 < ... share the weights w. x has, for each hashed word,
-log(1 + count); the words are letters only, lower-cased. The result is the expected severity, the sum of P(grade > k).
+P(grade > k) = logistic(w . x - c_k): all thresholds c_0 < c_1 < ... share the weights w. x has log(1 + count)
+for each hashed word and each hashed stem (a word's first STEM letters); words are letters only, lower-cased. Those whose share of toxic documents differs from the rest's
+beyond chance get a weight, the others' is 0. The result is the expected severity, the sum of P(grade > k).
 
-Labels say toxic or not. Grades of the labelled toxic documents come from how many words they hold that labelled toxic
-documents use and clean ones don't: up to MILD of them is grade 1, more is grade 2, SEVERE or more is grade 3.
+Labels say toxic or not. Grades of the labelled toxic documents come from how many words they hold with stems that mark
+labelled toxic documents: up to MILD of them is grade 1, more is grade 2, SEVERE or more is grade 3.
 
 The model is fitted on a bounded sample of labelled rows (`most_labels`, all toxic ones first, in the order of a hash
 of doc_id); every document is scored.
@@ -16,7 +17,9 @@ severity is 0; only doc_id and text, and doc_id and toxic of labels, are read.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,22 +29,32 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-FEATURES = 1 << 16
+#: Words take the lower half of all features, stems the upper half.
+FEATURES = 1 << 20
+STEM = 5
 GRADES = 4
-MILD, SEVERE = 1, 4
-#: A word is telling if so many labelled toxic documents hold it, and this share at least of all that hold it are toxic.
-TELLING_DOCS, TELLING_SHARE = 3, 0.9
+MILD, SEVERE = 2, 5
+#: A stem marks toxic documents if so many labelled ones hold it, and this share at least of all that hold it are toxic.
+TELLING_DOCS, TELLING_SHARE = 5, 0.4
+#: A word gets a weight if so many labelled documents hold it, and if it lies so many standard errors from chance.
+LEAST_DOCS, LEAST_Z = 5, 6.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def feature(word: str) -> int:
-    return crc32(word.encode("utf-8", "surrogatepass")) % FEATURES
+def features_of(word: str) -> tuple[int, int]:
+    """The numbers of a word and of its stem."""
+    half = FEATURES // 2
+    return crc32(word.encode("utf-8", "surrogatepass")) % half, half + crc32(word[:STEM].encode("utf-8", "surrogatepass")) % half
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers, ascending, and how often each occurs."""
-    words = _WORD.findall((text or "").lower())
-    return np.unique(np.fromiter(map(feature, words), np.int64, len(words)), return_counts=True)
+    found: dict[int, int] = {}
+    for word, n in Counter(_WORD.findall((text or "").lower())).items():
+        for at in features_of(word):
+            found[at] = found.get(at, 0) + n
+    at = np.array(sorted(found), np.int64)
+    return at, np.array([found[k] for k in at.tolist()], np.int64)
 
 
 @dataclass(frozen=True)
@@ -53,27 +66,40 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))).sum(axis=1)
 
 
-def _grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    held = [np.zeros(FEATURES, np.int64), np.zeros(FEATURES, np.int64)]
+def _held(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
+    """2 x FEATURES: clean and toxic documents that hold each feature."""
+    held = np.zeros((2, FEATURES), np.int64)
     for (at, _), t in zip(rows, toxic, strict=True):
-        held[int(t)][at] += 1
-    telling = (held[1] >= TELLING_DOCS) & (held[1] >= TELLING_SHARE * (held[0] + held[1]))
+        held[int(t), at] += 1
+    return held
+
+
+def _grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
+    telling = (held[1] >= TELLING_DOCS) & (held[1] >= TELLING_SHARE * held.sum(axis=0)) & _chosen(held, toxic)
+    telling[: FEATURES // 2] = False
     n = np.array([c[telling[at]].sum() for at, c in rows])
     return np.where(toxic, np.where(n <= MILD, 1, np.where(n < SEVERE, 2, 3)), 0)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, penalty: float = 0.05, rounds: int = 400, rate: float = 0.05) -> OrdinalModel:
+def _chosen(held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Features with a weight: two-proportion test of their share among toxic and among clean documents."""
+    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    both = held.sum(axis=0)
+    p = both / (n0 + n1)
+    z = np.abs(held[1] / n1 - held[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    return (both >= LEAST_DOCS) & (z >= LEAST_Z)
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, chosen: np.ndarray, penalty: float = 0.001, rounds: int = 500, rate: float = 0.05) -> OrdinalModel:
     """Adam on the penalised log-likelihood; cuts are kept apart as a first cut and positive steps."""
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([np.log1p(r[1]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    at, value, owner = at[chosen[at]], value[chosen[at]], owner[chosen[at]]
     used, at = np.unique(at, return_inverse=True)
-    # Weight classes evenly: toxic documents are few.
-    share = np.bincount(grades > 0, minlength=2)
-    importance = np.where(grades > 0, 0.5 / share[1], 0.5 / share[0])
+    importance = np.full(len(rows), 1 / len(rows))
     w, theta = np.zeros(len(used)), np.array([1.0, *np.zeros(GRADES - 2)])
     m, v = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
-    lower = np.concatenate([[-np.inf], np.arange(GRADES - 1)])  # noqa: F841 - grades g lie between cuts g-1 and g
 
     def cdf(x):
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
@@ -87,7 +113,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, p
         p = np.maximum(up - down, 1e-12)
         du, dd = up * (1 - up) / p * importance, down * (1 - down) / p * importance
         ds = du - dd
-        gw = np.bincount(at, value * ds[owner], len(w)) + penalty * w / len(w)
+        gw = np.bincount(at, value * ds[owner], len(w)) + penalty * w
         gc = np.zeros(GRADES - 1)
         np.add.at(gc, grades[grades < GRADES - 1], -du[grades < GRADES - 1])
         np.add.at(gc, grades[grades > 0] - 1, dd[grades > 0])
@@ -124,28 +150,38 @@ def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 6000) -> OrdinalM
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(FEATURES), np.full(GRADES - 1, 60.0))
     sparse = [(np.array(a, np.int64), np.array(n, np.int64)) for a, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True)]
-    return fit_ordinal(sparse, _grades(sparse, toxic))
+    return _fitted(sparse, toxic)
+
+
+def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> OrdinalModel:
+    held = _held(rows, toxic)
+    return fit_ordinal(rows, _grades(rows, toxic, held), _chosen(held, toxic))
 
 
 def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:
     """(doc_id, severity, grade, toxic): expected severity, rounded to a grade; toxic from `least` on."""
     bounded_batches(docs.sparkSession)
-    weights, cuts = model.weights.astype(np.float32), model.cuts
+    used = np.flatnonzero(model.weights)
+    kept, cuts = dict(zip(used.tolist(), model.weights[used].tolist(), strict=True)), model.cuts
 
     def scan(batches):
         import pyarrow as pa
 
-        own = OrdinalModel(weights, cuts)
-        memo: dict[str, int] = {}
+        own = OrdinalModel(np.zeros(0), cuts)
+        memo: dict[str, list[int]] = {}
         for batch in batches:
             scores = []
             for text in batch.column(1).to_pylist():
-                words = _WORD.findall((text or "").lower())
-                if len(memo) > 500_000:
-                    memo.clear()
-                at = np.fromiter((memo[w] if w in memo else memo.setdefault(w, feature(w)) for w in words), np.int64, len(words))
-                at, n = np.unique(at, return_counts=True)
-                scores.append(float(weights[at].astype(np.float64) @ np.log1p(n)))
+                found: dict[int, int] = {}
+                for word, n in Counter(_WORD.findall((text or "").lower())).items():
+                    numbers = memo.get(word)
+                    if numbers is None:
+                        if len(memo) >= 500_000:
+                            memo.clear()
+                        numbers = memo[word] = [at for at in features_of(word) if at in kept]
+                    for at in numbers:
+                        found[at] = found.get(at, 0) + n
+                scores.append(sum(kept[at] * math.log1p(n) for at, n in sorted(found.items())))
             s = own.severity(np.array(scores, np.float64))
             yield pa.record_batch([batch.column(0), pa.array(np.round(s, 6)), pa.array(np.floor(s + 0.5).astype(np.int32)), pa.array(s >= least)], ["doc_id", "severity", "grade", "toxic"])
 
