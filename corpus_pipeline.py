@@ -6,7 +6,7 @@ one. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelyn.llm import mixing, packing, quality, secret_scan, simhash
@@ -20,14 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: a row with the group's least doc_id; all rows with a null one."""
-    rule, doc_id = fresh_name(docs, "component"), next(c for c in docs.columns if c.lower() == "doc_id")
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(rule)).distinct()
-    kept = docs.join(found, quoted(doc_id) == F.col(rule), "left_semi")
-    repeated = kept.groupBy(quoted(doc_id)).agg(F.count("*").alias(rule)).where(F.col(rule) > 1)
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(quoted(doc_id).isNull()))
+    """One document of each group of near-duplicates: the one with the group's least doc_id.
+
+    Rows that share a doc_id are one document, of which the first by text remains; rows with a null one all remain.
+    Only doc_ids are grouped; a text moves once, to meet its doc_id.
+    """
+    key, rank = fresh_name(docs, "component"), fresh_name(docs, "rank")
+    doc_id, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
+    ids = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    ids = written(ids.where("doc_id = least").select(F.col("doc_id").alias(key), "rows"), "kept-ids")
+    meet = quoted(doc_id) == F.col(key)
+    kept = docs.join(ids.where("rows = 1").select(key), meet, "left_semi")
+    if not ids.where("rows > 1").isEmpty():
+        first = Window.partitionBy(quoted(doc_id)).orderBy(quoted(text))
+        more = docs.join(ids.where("rows > 1").select(key), meet, "left_semi").withColumn(rank, F.row_number().over(first))
+        kept = kept.union(more.where(F.col(rank) == 1).select(*map(quoted, docs.columns)))
+    return kept.union(docs.where(quoted(doc_id).isNull()))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
