@@ -1 +1 @@
-
+"""Pure Column functions."""
