@@ -23,19 +23,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near-duplicates: the one with the group's least doc_id.
 
     Rows that share a doc_id are one document, of which the first by text remains; rows with a null one all remain.
-    Only doc_ids are grouped; a text moves once, to meet its doc_id.
+    Only doc_ids are grouped, and texts meet the ids that go, which are fewer than those that stay.
     """
     key, rank = fresh_name(docs, "component"), fresh_name(docs, "rank")
     doc_id, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
     ids = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
-    ids = written(ids.where("doc_id = least").select(F.col("doc_id").alias(key), "rows"), "kept-ids")
+    apart = written(ids.where("doc_id <> least OR rows > 1").select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("least")).alias("stays")), "ids-apart")
     meet = quoted(doc_id) == F.col(key)
-    kept = docs.join(ids.where("rows = 1").select(key), meet, "left_semi")
-    if not ids.where("rows > 1").isEmpty():
+    kept = docs.join(apart.select(key), meet, "left_anti")
+    repeated = apart.where("stays")
+    if not repeated.isEmpty():
         first = Window.partitionBy(quoted(doc_id)).orderBy(quoted(text))
-        more = docs.join(ids.where("rows > 1").select(key), meet, "left_semi").withColumn(rank, F.row_number().over(first))
+        more = docs.join(repeated.select(key), meet, "left_semi").withColumn(rank, F.row_number().over(first))
         kept = kept.union(more.where(F.col(rank) == 1).select(*map(quoted, docs.columns)))
-    return kept.union(docs.where(quoted(doc_id).isNull()))
+    return kept
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
