@@ -17,8 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, bounded_batches, written
-from .graph import components
+from ..operators.graph import components
+from .common import bounded_batches, written
 
 SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the [23, 12, 7] code.
