@@ -61,7 +61,7 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.array_join("shards", ",").alias("shards"))
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +100,22 @@ def _url_sql() -> str:
     SELECT page_id, host, path, rule, CASE{verdicts} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
-ORACLE_SQL: dict[str, str] = {"op6_bloom_cascade": _url_sql()}
+#: A source's line is ordered by the hash; its last pass ends where the words that are due are reached.
+_MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws('|', '7', coalesce(source, ''), coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 15))::BIGINT AS place FROM documents),
+  s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+  w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+  r AS (SELECT *, most / weight AS ratio, (sum(source_size) OVER ())::DOUBLE * 1.5 AS due FROM w),
+  l AS (SELECT *, (due - coalesce(sum(most) OVER (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+  t AS (SELECT source, source_size, least(most, coalesce((SELECT arg_min(level, (ratio, k)) FROM l WHERE level <= ratio) * weight, most)) AS target FROM l),
+  q AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS runs FROM t),
+  p AS (SELECT source, place, sum(size)::BIGINT AS words, count(*) AS sharing FROM d GROUP BY source, place),
+  c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM p)
+SELECT d.doc_id, d.size, q.source_size, q.target,
+  (q.runs * d.size + greatest(0, CASE WHEN round(q.target)::BIGINT - q.runs * q.source_size - c.before >= c.words THEN d.size
+    ELSE least(d.size, greatest(0, round(q.target)::BIGINT - q.runs * q.source_size - c.before) // c.sharing) END))::BIGINT AS taken
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.place = d.place
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_bloom_cascade": _url_sql(), "op9_splitting_tree_mix": _MIX_SQL}

@@ -226,3 +226,17 @@ def test_audio(spark, where):
 @pytest.mark.parametrize("name", sorted(Q.QUERIES))
 def test_empty(spark, empty_dir, name):
     assert Q.QUERIES[name](spark, empty_dir).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = Q.QUERIES[name](spark, SMALL)
+    theirs = con.execute(Q.ORACLE_SQL[name])
+    names = [d[0] for d in theirs.description]
+    assert sorted(names) == sorted(df.columns)
+    assert Counter(map(tuple, df.select(*names).collect())) == Counter(theirs.fetchall())
