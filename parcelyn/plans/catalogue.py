@@ -713,3 +713,6 @@ def stream_promotions(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
     return streamed(spark, attempts(spark, sf).coalesce(1), jobs.promotions, "append")
+
+
+from . import more  # noqa: E402, F401 - registers further queries
