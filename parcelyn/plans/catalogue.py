@@ -578,7 +578,7 @@ def stage_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT kind, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, sum(ti) AS tokens_in, sum(tout) AS tokens_out, round(sum(CASE WHEN NOT ok THEN 0.0 WHEN kind = 'vision' THEN 0.011 WHEN kind = 'llm' THEN ti * 0.15 / 1e6 + tout * 0.6 / 1e6 ELSE ti * 0.02 / 1e6 END)::DOUBLE, 6) AS cost_usd
+    """SELECT kind, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, sum(ti)::BIGINT AS tokens_in, sum(tout)::BIGINT AS tokens_out, round(sum(CASE WHEN NOT ok THEN 0.0 WHEN kind = 'vision' THEN 0.011 WHEN kind = 'llm' THEN ti * 0.15 / 1e6 + tout * 0.6 / 1e6 ELSE ti * 0.02 / 1e6 END)::DOUBLE, 6) AS cost_usd
     FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'vision' ELSE 'embedding' END AS kind, event_type <> 'error' AS ok, event_id % 1000 AS ti, event_id % 100 AS tout FROM events) GROUP BY 1"""
 )
 def cost_snapshot(spark: SparkSession, sf: str) -> DataFrame:
