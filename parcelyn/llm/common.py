@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bytes that Spark hands to a Python worker in one Arrow batch, so that very long texts don't pile up.
-ARROW_BYTES = 16 << 20
-
-_written: list[str] = []
+from ..storage import fresh_path, release, remove, written
 
+#: Most bytes that Spark hands to a Python worker in one Arrow batch, so that very long texts don't pile up.
+ARROW_BYTES = 4 << 20
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,42 +19,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where all is one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parcelyn-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
-
-
-def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that written() made in this process; frames over them can't be read any more."""
-    while _written:
-        remove(spark, _written.pop())
-
-
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -70,3 +30,6 @@ def fresh_name(df: DataFrame, base: str) -> str:
 def quoted(name: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+__all__ = ["ARROW_BYTES", "bounded_batches", "documents", "fresh_name", "fresh_path", "quoted", "release", "remove", "written"]

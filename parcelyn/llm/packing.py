@@ -20,7 +20,7 @@ from .tokens import encoder
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 #: Rows of one output batch; each has at most `capacity` ids.
-ROWS_OUT = 1024
+ROWS_OUT = 256
 #: A sequence is closed at a window's end when so full; of the others at most CARRY are packed anew.
 FULL, CARRY = 0.998, 64
 
@@ -129,7 +129,7 @@ def pack_documents(
     max_attention: int | None = None,
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
     select: str = "residual_norm",
-    window_tokens: int = 1 << 23,
+    window_tokens: int = 1 << 22,
 ) -> DataFrame:
     """Pieces of docs (doc_id, text) with their ids (little-endian unsigned 32-bit) and their place in a sequence.
 
