@@ -152,7 +152,7 @@ def test_tolerant_join_finds_all(spark):
 
 def test_listing_page(spark):
     page = """<html><body><div class="detail">Price: 420.000€</div><div class="detail">Bedrooms: 3</div><div class="detail">Plot size: 1.200 m²</div><div class="detail">Year built: 2005</div>
-    <div class="detail">Heating: Yes</div><div class="detail">View: Sea</div><li class="feature">Swimming pool<br></li><div class="property-description">Villa of 250 sqm with a garden and <b>fireplace</b>.</div>
+    <div class="detail">Heating: Yes</div><div class="detail">View: Sea</div><ul><li class="feature">Swimming pool<br></li><div class="property-description">Villa of 250 sqm with a garden and <b>fireplace</b>.</div>
     <a href="/property/villa-77/">x</a><a href="/about">y</a><img src="1.jpg"><script>var x = "<div class='detail'>no</div>"</script></body></html>"""
     spec = html.SITES["greekexclusiveproperties.com"]
     pages = spark.createDataFrame([("http://x/property/villa-12/", page), ("http://x/e/1", None)], "url string, html string")
@@ -163,6 +163,20 @@ def test_listing_page(spark):
     assert [s.url for s in html.seeds(parsed, spec).collect()] == ["/property/villa-77/"]
 
 
+def test_site_formats(spark):
+    def listing(domain, page):
+        spec = html.SITES[domain]
+        pages = spark.createDataFrame([("http://x/p/31", page)], "url string, html string")
+        return html.routed(html.parse_pages(pages, spec), spec).first()
+
+    r = listing("sousouras-realestate.gr", '<table class="info-table"><tr><th>Bedrooms</th><td>4</td></tr><tr><th>Plot size</th><td>900 m2</td></tr></table><span class="price color2">350.000 €</span><ul class="property-amenities"><li>Pool</li></ul><div class="property-content"><p>Nice.</p></div>')
+    assert (r.bedrooms, r.land_size_sqm, r.price, r.features, r.description) == (4, 900.0, 350000, {"pool": True}, "Nice.")
+    r = listing("ellasestate.com", '<script type="application/ld+json">{"@type":"RealEstateListing","offers":{"price":"500000"},"geo":{"latitude":40.2,"longitude":23.4}}</script><div class="rh_ultra_prop_card__meta"><span class="rh-ultra-meta-label">Bedrooms</span><span class="figure">3</span></div>')
+    assert (r.price, r.bedrooms, r.lat) == (500000, 3, 40.2)
+    r = listing("engelvoelkers.com", '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"dehydratedState":{"queries":[{"queryKey":["listing",{}],"state":{"data":{"listing":{"price":{"salesPrice":750000},"bedrooms":{"min":3,"max":4},"area":{"livingSurface":210.5}}}}}]}}}}</script>')
+    assert (r.price, r.bedrooms, r.size_sqm) == (750000, 3, 210.5)
+
+
 def test_dump(spark):
     text = "INSERT INTO `Areas` (`id`) VALUES\n(1, 'A\\'b', NULL, 2.5),\n(2, 'c, (d)', 'e', -1);\n"
     raw = spark.createDataFrame([(text,)], "value string")
