@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, fresh_path, remove
 from .tokens import encoder
 
-LANES = 512
-SEEK_STEPS = 256
+LANES = 2048
+SEEK_STEPS = 128
 #: Frequencies sum to 2**PRECISION.
 PRECISION = 20
 #: States stay in [2**31, 2**63).
 LOW = 1 << 31
 #: A block is closed at so many ids; a longer document is one block.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 HEAD = struct.Struct("<4sIQQII")
 MAGIC = b"RAN1"
 
@@ -67,10 +67,10 @@ class Coder:
         self.freq, self.base = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
         self.freq[symbols] = share
         self.base[symbols] = np.cumsum(share) - share
-        self.slot = np.repeat(symbols, share).astype(np.uint32)
+        self.slot = np.repeat(symbols, share).astype(np.uint16 if size <= 1 << 16 else np.uint32)
 
     def encode(self, ids: np.ndarray) -> bytes:
-        n, lanes = len(ids), min(LANES, max(1, len(ids)))
+        n, lanes = len(ids), min(LANES, max(1, len(ids) // 64))
         steps = -(-n // lanes)
         freq, base = self.freq[ids], self.base[ids]
         if n and not freq.all():
