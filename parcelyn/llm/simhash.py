@@ -3,7 +3,9 @@
 Fingerprint: bit by bit majority of the XXH64 of a text's shingles. Equal fingerprints form a class; links are sought
 between classes. The 64 bits are cut into segments of 22, 21 and 21, each read as a word of the perfect binary Golay
 code [23, 12, 7]. All codewords within distance 4 of a word are its keys: 1 key, or 6 if the nearest codeword is 3 away;
-two words that differ in at most 2 bits always share one (Q-partition of the 20 other points by the 5 octads' blocks).
+two words that differ in at most 2 bits always share one. (A word 3 away from its nearest codeword is 4 away from five
+more, reached by flipping five disjoint sets of 4 bits that cover all other 20 bits; so whichever 2 bits change, one of
+the six codewords stays within 4.)
 
 Pigeonhole for at most 4 differing bits in three segments: either each segment has at most 2 (a Golay key of all three
 is shared, 36 bits), or one has 3 or 4, and of the others one is equal and the other has at most 1 (the equal segment

@@ -16,7 +16,8 @@ import numpy as np
 #: ASCII characters that are neither letters, digits nor white space.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A memo starts anew at so many entries (about 200 bytes each).
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 900_000
+LITTLE = sys.byteorder == "little"
 #: Longer pieces aren't kept.
 MEMO_PIECE = 40
 
@@ -53,6 +54,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # Every word comes here once; a cache of the library's own would only cost.
+        getattr(self.model, "_resize_cache", lambda _: None)(0)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -73,10 +76,7 @@ class PieceEncoder:
         return "whole"
 
     def _bytes(self, ids: list[int]) -> bytes:
-        packed = array(self.code, ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
+        return array(self.code, ids).tobytes() if LITTLE else np.array(ids, self.dtype).tobytes()
 
     def _library(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -90,17 +90,21 @@ class PieceEncoder:
         return self._bytes([t.id for t in self.model.tokenize(lead + word)])
 
     def _piece(self, piece: str, memo: _Memo, lead: str) -> bytes:
-        if piece.isalpha() and max(piece) <= "\xff":
-            return self._word(piece, lead)
-        stem = piece.rstrip(PUNCTUATION)
-        if stem and stem != piece and stem.isalpha() and max(stem) <= "\xff":
-            return memo[stem] + self.bare[piece[len(stem) :]]
+        if piece.isalpha():
+            if piece.isascii() or max(piece) <= "\xff":
+                return self._word(piece, lead)
+        else:
+            stem = piece.rstrip(PUNCTUATION)
+            if len(stem) < len(piece) and stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
+                return memo[stem] + self.bare[piece[len(stem) :]]
         return self._library(" " + piece if lead else piece)
 
     def _bare(self, piece: str) -> bytes:
         return self._piece(piece, self.bare, "") if piece else b""
 
     def _spaced(self, piece: str) -> bytes:
+        if piece[0] == "\n":
+            return self.bare["\n"] + self.bare[piece[1:]]
         return self._piece(piece, self.spaced, self.symbols[0x20])
 
     def packed(self, text: str) -> bytes:
@@ -108,6 +112,15 @@ class PieceEncoder:
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "whole":
             return self._library(text)
+        # Line ends join the piece that follows; single blanks cut, where none but words stand around them.
+        spread = text.replace("\n", " \n")
+        if "  " in spread or " \n " in spread or spread[:1] == " " or spread[-1:] in (" ", "\n") or not text.replace("\n", "").isprintable():
+            return self._by_line(text)
+        head, *rest = spread.split(" ")
+        return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _by_line(self, text: str) -> bytes:
+        """Text with runs of white space, or other white space than blanks and line ends."""
         out: list[bytes] = []
         lines = text.split("\n")
         safe = [bool(x) and not x[0].isspace() and not x[-1].isspace() for x in lines]
