@@ -139,7 +139,10 @@ class Coder:
 
 
 def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Range-partitioned by doc_id (a shard each), tokenised, in blocks of whole documents."""
+    """Range-partitioned by doc_id (a shard each), tokenised, in blocks of whole documents.
+
+    Each task ends with a row of block -1, whose ids are the counts of all its ids (64-bit).
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -151,14 +154,19 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         at, block, first, ids, counts, packed = 0, 0, 0, [], [], []
+        total = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
 
-        def flush():
-            whole = np.frombuffer(b"".join(packed), enc.dtype).astype("<u4" if width == 4 else "<u2").tobytes()
+        def row(block, first, ids, counts, whole):
             return pa.record_batch(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([whole], pa.binary())],
                 ["shard", "block", "first_token", "doc_ids", "doc_tokens", "ids"],
             )
 
+        def flush():
+            whole = b"".join(packed)
+            total[:] += np.bincount(np.frombuffer(whole, enc.dtype), minlength=len(total))
+            return row(block, first, ids, counts, whole)
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = enc.packed(text) + end
@@ -171,6 +179,8 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     first, block, ids, counts, packed = at, block + 1, [], [], []
         if ids:
             yield flush()
+        if at:
+            yield row(-1, at, [], [], total.astype("<i8").tobytes())
 
     return rows.mapInArrow(blocks, RAW)
 
@@ -193,15 +203,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         total = np.zeros(0, np.int64)
         for batch in batches:
             for packed in batch.column(0):
-                got = np.bincount(np.frombuffer(packed.as_buffer(), unit))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
+                got = np.frombuffer(packed.as_buffer(), "<i8")
+                total = got.copy() if not len(total) else total + got
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["symbol", "n"])
 
     # At most one row for each id of the vocabulary reaches the driver.
-    counts = {r.symbol: r.n for r in raw.select("ids").mapInArrow(tally, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
+    counts = {r.symbol: r.n for r in raw.where("block < 0").select("ids").mapInArrow(tally, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()}
     symbols, share = frequencies(counts)
     table = list(zip(symbols.tolist(), share.tolist(), strict=True))
     spark.createDataFrame(table, "symbol int, frequency int").coalesce(1).write.parquet(f"{path}/frequencies")
@@ -216,7 +224,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 ids = np.frombuffer(one.column(5)[0].as_buffer(), unit)
                 yield pa.record_batch([one.column(0), one.column(1), one.column(2), pa.array([len(ids)], pa.int64()), one.column(3), one.column(4), pa.array([coder.encode(ids)], pa.binary())], ["shard", "block", "first_token", "n_tokens", "doc_ids", "doc_tokens", "frame"])
 
-    raw.mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.where("block >= 0").mapInArrow(encode, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     remove(spark, temporary)
 
 
