@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelyn.llm import mixing, packing, quality, secret_scan, simhash
+from parcelyn.llm import mixing, packing, quality, secret_scan, similar
 from parcelyn.llm.common import documents, fresh_name, quoted, written
 from parcelyn.llm.queries import tokenizer_path
 
@@ -22,12 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the group's least doc_id.
 
+    Documents are near-duplicates at a five-word Jaccard similarity of 0.8 or more, and those that such pairs chain.
     Rows that share a doc_id are one document, of which the first by text remains; rows with a null one all remain.
     Only doc_ids are grouped, and texts meet the ids that go, which are fewer than those that stay.
     """
     key, rank = fresh_name(docs, "component"), fresh_name(docs, "rank")
     doc_id, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
-    ids = simhash.near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    ids = similar.similar_documents(docs).groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
     apart = written(ids.where("doc_id <> least OR rows > 1").select(F.col("doc_id").alias(key), (F.col("doc_id") == F.col("least")).alias("stays")), "ids-apart")
     meet = quoted(doc_id) == F.col(key)
     kept = docs.join(apart.select(key), meet, "left_anti")
