@@ -1,6 +1,7 @@
 """Secret scans: three base patterns, and a battery of randomness tests on long tokens. Built-in functions only.
 
-A token is a longest run of 20 or more characters of [A-Za-z0-9+/_=-]. Its encoding is inferred (hex, base32, base36,
+A token is a longest run of [A-Za-z0-9+/_-] with the '=' that end it, 20 or more characters in all; what follows a '='
+is a token of its own, as in NAME=value. Its encoding is inferred (hex, base32, base36,
 base62 or base64; it must hold letters and digits). Three tests measure how far it is from uniform random characters:
 Pearson's chi-squared of its alphabet, runs above and below the alphabet's middle, and lag-1 serial correlation, each
 standardised with its exact moments at the token's length. Their sum of squares gives one p-value.
@@ -26,7 +27,10 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+_BODY = "[A-Za-z0-9+/_-]"
+#: '=' belongs to a token only where none of its characters follows. A shorter run counts with its '=' to 20.
+_PADDED = "|".join(f"{_BODY}{{{20 - n}}}={{{n}}}" for n in range(1, 20)) + "|={20}"
+TOKEN = rf"(?<!{_BODY}){_BODY}++(?:(?<={_BODY}{{20}})(?:=++(?!{_BODY}))?+|=++(?!{_BODY})(?<={_PADDED}))"
 
 #: Alphabets by encoding, in the order in which they are tried.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
