@@ -11,6 +11,10 @@ with F from SHA-256 under the key. With a * b the size of the set no cycle has t
 
 Defined results: null text stays null with no values found; a null doc_id and repeated rows are kept as rows; an empty
 table gives an empty result; a value that fails validation stays as it is; only doc_id and text are read.
+
+Cards are sought in runs of digit groups, however long: a card is a stretch of whole groups with 13 to 19 digits that
+passes Luhn, so an expiry date, a security code or a number beside it doesn't hide it. Of stretches that overlap, one in
+a layout of cards goes first, then the earlier, then the longer. The other kinds are sought in the text between cards.
 """
 
 from __future__ import annotations
@@ -29,10 +33,13 @@ _PHONE = r"(?<![0-9A-Za-z])(?:\+?1[-. ]?)?(?:\([2-9][0-9]{2}\)[-. ]?|[2-9][0-9]{
 _ABROAD = r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[-. ]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
-_CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+_RUN = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,}(?![0-9A-Za-z])"
 #: In this order the first that fits at a place is taken.
-KINDS = {"email": _EMAIL, "ip": _IP, "iban": _IBAN, "phone": _PHONE, "abroad": _ABROAD, "ssn": _SSN, "date": _DATE, "card": _CARD}
+KINDS = {"email": _EMAIL, "ip": _IP, "iban": _IBAN, "phone": _PHONE, "abroad": _ABROAD, "ssn": _SSN, "date": _DATE, "card": _RUN}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+OTHERS = "|".join(f"(?:{p})" for k, p in KINDS.items() if k != "card")
+#: Layouts that cards are written in.
+_LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 
 
 def _keyed(key: str, what: Column, round_: Column, x: Column) -> Column:
@@ -117,6 +124,63 @@ def _card(key: str, v: Column) -> Column:
     return _let(_only(v, "0-9"), body)
 
 
+def _cards(run: Column) -> Column:
+    """array<struct<start, length>> of the cards in a run of digit groups, in their order; places count from 0."""
+    spot = "array<struct<start:int,length:int>>"
+
+    def place(s: Column, g: Column) -> Column:
+        start = s["at"] + F.length(g["before"])
+        one = F.struct(start.cast("int").alias("start"), F.length(g["digits"]).cast("int").alias("length"))
+        return F.struct((start + F.length(g["digits"])).cast("int").alias("at"), F.array_append(s["out"], one).alias("out"))
+
+    groups = F.zip_with(F.slice(F.split(run, "[0-9]+", -1), 1, F.size(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)))), F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda b, d: F.struct(b.alias("before"), d.alias("digits")))
+    places = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast(spot).alias("out")), place, lambda s: s["out"])
+
+    def stretches(g: Column) -> Column:
+        def from_(first: Column, i: Column) -> Column:
+            def upto(last: Column) -> Column:
+                length = last["start"] + last["length"] - first["start"]
+                return _let(F.substr(run, first["start"] + 1, length), lambda t: F.struct((~t.rlike(_LAYOUT)).alias("odd"), first["start"].alias("start"), (-length).alias("shorter"), t.alias("text")))
+
+            # A group has a digit at least, so no more than 19 of them make a card.
+            return F.filter(F.transform(F.slice(g, i + 1, F.lit(19)), upto), lambda x: _let(_only(x["text"], "0-9"), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0)))
+
+        return F.flatten(F.transform(g, from_))
+
+    def pick(out: Column, x: Column) -> Column:
+        length = -x["shorter"]
+        clear = ~F.exists(out, lambda o: (o["start"] < x["start"] + length) & (x["start"] < o["start"] + o["length"]))
+        return F.when(clear, F.array_append(out, F.struct(x["start"].alias("start"), length.alias("length")))).otherwise(out)
+
+    return F.array_sort(F.aggregate(F.array_sort(_let(places, stretches)), F.array().cast(spot), pick))
+
+
+def segments(text: Column) -> Column:
+    """array<struct<card, value>>: the text in its order, cut at the cards."""
+    kind = "array<struct<card:boolean,value:string>>"
+    piece = lambda card, value: F.struct(F.lit(card).alias("card"), value.alias("value"))
+
+    def cut(run: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            gap = F.substr(run, s["at"] + 1, c["start"] - s["at"])
+            return F.struct((c["start"] + c["length"]).cast("int").alias("at"), F.concat(s["out"], F.array(piece(False, gap), piece(True, F.substr(run, c["start"] + 1, c["length"])))).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(_cards(run), start, step, lambda s: F.array_append(s["out"], piece(False, F.substr(run, s["at"] + 1))))
+
+    found, pieces = F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY, -1)
+    each = F.transform(found, lambda v: F.when(v.rlike(f"^(?:{_RUN})$") & (_kind(v) == "card"), cut(v)).otherwise(F.array(piece(False, v))))
+    rows = F.flatten(F.zip_with(pieces, each, lambda p, m: F.concat(F.array(piece(False, F.coalesce(p, F.lit("")))), F.coalesce(m, F.array().cast(kind)))))
+
+    def join(s: Column, x: Column) -> Column:
+        out = F.when(x["card"], F.concat(s["out"], F.array(piece(False, s["open"]), x))).otherwise(s["out"])
+        return F.struct(out.alias("out"), F.when(x["card"], F.lit("")).otherwise(F.concat(s["open"], x["value"])).alias("open"))
+
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("open"))
+    whole = F.aggregate(rows, start, join, lambda s: F.array_append(s["out"], piece(False, s["open"])))
+    return F.when(text.rlike(_RUN), whole).otherwise(F.array(piece(False, text)))
+
+
 def _phone(key: str, v: Column) -> Column:
     """Area and exchange codes stay within 200 to 999."""
 
@@ -234,7 +298,7 @@ def _kind(v: Column) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     """struct<kind, value, new>: new is null where the value fails its kind's validation."""
-    make = {"email": _email, "ip": _ip, "iban": _iban, "phone": _phone, "abroad": _abroad, "ssn": _ssn, "date": _date, "card": _card}
+    make = {"email": _email, "ip": _ip, "iban": _iban, "phone": _phone, "abroad": _abroad, "ssn": _ssn, "date": _date}
 
     def body(x: Column) -> Column:
         new = F.lit(None).cast("string")
@@ -247,12 +311,22 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_values, kinds, text): each valid value in the text replaced by its pseudonym, and counts by kind."""
-    text = F.col("text").cast("string")
-    found = F.when(text.rlike(ANY), F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda v: pseudonym(v, key)))
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), found.alias("found"))
-    valid = F.coalesce(F.filter("found", lambda m: m["new"].isNotNull()), F.array().cast("array<struct<kind:string,value:string,new:string>>"))
-    pieces = F.split("text", ANY, -1)
-    new = F.array_join(F.zip_with(pieces, F.transform("found", lambda m: F.coalesce(m["new"], m["value"])), lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit("")))), "")
+    values = "array<struct<kind:string,value:string,new:string>>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.when(F.col("text").rlike(ANY), segments(F.col("text"))).alias("cut"))
+
+    def found(x: Column) -> Column:
+        plain = F.transform(F.regexp_extract_all(x["value"], F.lit(OTHERS), F.lit(0)), lambda v: pseudonym(v, key))
+        card = F.array(F.struct(F.lit("card").alias("kind"), x["value"].alias("value"), _card(key, x["value"]).alias("new")))
+        return F.struct(x["card"].alias("card"), x["value"].alias("value"), F.when(x["card"], card).otherwise(plain).cast(values).alias("found"))
+
+    def put(x: Column) -> Column:
+        laid = F.zip_with(F.split(x["value"], OTHERS, -1), F.transform(x["found"], lambda m: F.coalesce(m["new"], m["value"])), lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(m, F.lit(""))))
+        return F.when(x["card"], x["found"][0]["new"]).otherwise(F.array_join(laid, ""))
+
+    x = rows.select("doc_id", "text", F.transform("cut", found).alias("parts"))
+    valid = F.coalesce(F.filter(F.flatten(F.transform("parts", lambda p: p["found"])), lambda m: m["new"].isNotNull()), F.array().cast(values))
+    new = F.array_join(F.transform("parts", put), "")
     kinds = F.array_join(F.filter(F.transform(F.array(*map(F.lit, KINDS)), lambda k: F.concat_ws(":", k, F.size(F.filter("valid", lambda m: m["kind"] == k)).cast("string"))), lambda s: ~s.endswith(":0")), ",")
-    x = x.select("doc_id", "text", "found", valid.alias("valid"))
+    x = x.select("doc_id", "text", "parts", valid.alias("valid"))
     return x.select("doc_id", F.size("valid").cast("long").alias("n_values"), kinds.alias("kinds"), F.when(F.size("valid") > 0, new).otherwise(F.col("text")).alias("text"))
