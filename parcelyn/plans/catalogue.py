@@ -592,7 +592,7 @@ def cost_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     SELECT p_partkey AS id, n_photos, n_changes FROM part JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_photos FROM lineitem GROUP BY 1) ON l_partkey = p_partkey JOIN (SELECT id, count(DISTINCT line) AS n_changes FROM h GROUP BY 1) x ON x.id = p_partkey"""
 )
 def price_history_report(spark: SparkSession, sf: str) -> DataFrame:
-    history = L.price_changes(observed(spark, sf).where("id % 20 = 0")).withColumnRenamed("id", "property_id")
+    history = L.price_changes(observed(spark, sf)).withColumnRenamed("id", "property_id")
     media = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("property_id"), F.col("l_suppkey").alias("image_url"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
     return R.price_report(p, media, history).where("history IS NOT NULL AND n_photos > 0").select("id", "n_photos", F.size(F.split("history", r" \| ")).cast("long").alias("n_changes"))
