@@ -234,14 +234,13 @@ def merge_clusters(members: DataFrame, commands: DataFrame) -> DataFrame:
     return members.join(to, "cluster_id", "left").select(F.coalesce("target", "cluster_id").alias("cluster_id"), *(c for c in members.columns if c != "cluster_id")).distinct()
 
 
-def verdicts(clusters: DataFrame, commands: DataFrame, now: Column, most: int = 100) -> tuple[DataFrame, DataFrame]:
+def verdicts(clusters: DataFrame, commands: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(clusters, outcomes) after commands (id, verdict, by): approve locks a cluster, unknown ids and verdicts fail alone.
 
-    At most `most` commands are taken at a time, in order of id.
+    All commands are taken, however many, and each has its outcome.
     """
-    taken = commands.orderBy("id").limit(most)
     known = clusters.select("id").withColumn("_known", F.lit(True))
-    judged = taken.join(known, "id", "left").withColumn("ok", F.coalesce("_known", F.lit(False)) & F.col("verdict").isin("APPROVED", "PENDING"))
+    judged = commands.join(known, "id", "left").withColumn("ok", F.coalesce("_known", F.lit(False)) & F.col("verdict").isin("APPROVED", "PENDING"))
     good = judged.where("ok").select("id", F.col("verdict").alias("_verdict"), F.col("by").alias("_by"))
     x = clusters.join(good, "id", "left")
     hit, approve = F.col("_verdict").isNotNull(), F.col("_verdict") == "APPROVED"

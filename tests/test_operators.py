@@ -197,3 +197,11 @@ def test_replace_table(spark, tmp_path):
     spark.range(5).write.parquet(path)
     replace_table(spark, spark.read.parquet(path).where("id > 2"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_verdicts_take_all_commands(spark):
+    c = spark.createDataFrame([(i, "PENDING", False, None, None) for i in range(250)], "id int, status string, verdict_locked boolean, verdict_locked_at timestamp, verdict_locked_by string")
+    commands = spark.createDataFrame([(i, "APPROVED", "me") for i in range(0, 500, 2)], "id int, verdict string, by string")
+    got, outcomes = K.verdicts(c, commands, F.current_timestamp())
+    assert {r.id for r in got.where("verdict_locked").collect()} == set(range(0, 250, 2))
+    assert {r.id: r.ok for r in outcomes.collect()} == {i: i < 250 for i in range(0, 500, 2)}
