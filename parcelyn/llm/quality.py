@@ -1,8 +1,11 @@
 """Quality rules by weak supervision.
 
-Each rule votes good, bad or abstains on a document. Expectation-maximisation over the counts of vote patterns (at most
-3 ** rules rows, whatever the corpus) estimates the share of good documents and how often each rule's votes are right.
-A document's posterior probability of being good then decides.
+Each rule votes good, bad or abstains on a document, on evidence of its own. A document is good or bad in one of a few
+ways, each the way of one telling rule. Expectation-maximisation over the counts of vote patterns (at most 3 ** rules
+rows, whatever the corpus) estimates the share of good documents and of each way of being bad, and how often each rule
+says bad of documents of each sort, where it votes. A document's posterior probability of being good then decides: a
+rule that says bad of good documents as well is overruled, and a telling one overrules all that speak for a document.
+An abstaining rule moves nothing.
 
 Defined results: null or blank text has no words and fails the base rules; a null doc_id and repeated rows are kept as
 rows; an empty table gives an empty result and the prior model; only doc_id and text are read.
@@ -25,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 ENDINGS = (".", "!", "?", '"', "'", ":", ";", ")", "…", "。")
 
-RULES = ("length", "word_length", "symbols", "marks", "repeated_lines", "repeated_words", "capitals", "exclaiming", "prose")
+RULES = ("length", "word_length", "symbols", "repeated_lines", "repeated_words", "capitals", "exclaiming", "endings")
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
 
@@ -37,6 +40,7 @@ class Features:
     n_dup_lines: int
     n_repeat_words: int
     n_lines: int
+    n_ended: int
     n_upper: int
     n_lower: int
     n_exclaims: int
@@ -73,33 +77,44 @@ def features(text: str | None) -> Features:
         n_dup_lines=len(lines) - len(set(lines)),
         n_repeat_words=repeat,
         n_lines=len(lines),
+        n_ended=sum(x.rstrip(SPACES).endswith(ENDINGS) for x in lines),
         n_upper=int(_UPPER[codes].sum()),
         n_lower=int(_LOWER[codes].sum()),
         n_exclaims=text.count("!"),
     )
 
 
-#: Shares from which a rule finds its defect, and up to which text counts as prose.
-DEFECT = {"symbols": 0.1, "marks": 0.05, "repeated_lines": 0.3, "repeated_words": 0.4, "capitals": 0.4, "exclaiming": 0.25}
-PROSE = {"symbols": 0.03, "marks": 0.01, "repeated_lines": 0.15, "repeated_words": 0.15, "capitals": 0.2, "exclaiming": 0.08}
+#: Fixed values of the rules: a measure up to the first votes good and from the second on bad, between them nothing.
+LIMITS = {"symbols": (0.02, 0.1), "repeated_lines": (0.05, 0.15), "repeated_words": (0.05, 0.2), "capitals": (0.1, 0.3), "exclaiming": (0.02, 0.1)}
+#: Words of a short and of a long text, mean lengths of usual and of odd words, and lines that tell something.
+SHORT, LONG, USUAL, ODD, LINES = 50, 100, (3.5, 7.0), (2.5, 10.0), 4
+#: Shares of lines with an ending that speak for and against prose.
+ENDED, OPEN = 0.5, 0.1
 
 
 def votes(x: Features) -> tuple[int, ...]:
-    """One vote for each of RULES. A rule for a defect votes bad where it finds it and has no opinion elsewhere."""
+    """One vote for each of RULES. A rule abstains where it has too little to go by, or where its measure is neither."""
     n = max(x.n_words, 1)
     mean = x.word_chars / n
+    letters = x.n_upper + x.n_lower
     share = {
         "symbols": x.n_symbols / n,
-        "marks": (x.n_symbols + x.n_exclaims) / max(x.word_chars, 1),
-        "repeated_lines": x.n_dup_lines / max(x.n_lines, 1) if x.n_dup_lines > 2 else 0.0,
+        "repeated_lines": x.n_dup_lines / max(x.n_lines, 1),
         "repeated_words": x.n_repeat_words / n,
-        "capitals": x.n_upper / max(x.n_upper + x.n_lower, 1),
+        "capitals": x.n_upper / max(letters, 1),
         "exclaiming": x.n_exclaims / n,
     }
-    found = {k: BAD if share[k] >= v else ABSTAIN for k, v in DEFECT.items()}
-    found["length"] = BAD if x.n_words < 50 else ABSTAIN
-    found["word_length"] = BAD if mean < 2 or mean > 20 and x.n_lower else ABSTAIN
-    found["prose"] = BAD if BAD in found.values() else GOOD if all(share[k] <= v for k, v in PROSE.items()) else ABSTAIN
+    found = {k: GOOD if share[k] <= low else BAD if share[k] >= high else ABSTAIN for k, (low, high) in LIMITS.items()}
+    if x.n_lines < LINES:
+        found["repeated_lines"] = ABSTAIN
+    if letters < SHORT:
+        found["capitals"] = ABSTAIN
+    found["length"] = BAD if x.n_words < SHORT else GOOD if x.n_words >= LONG else ABSTAIN
+    # Scripts without blanks make one word of a sentence.
+    spaced = bool(x.n_lower) or mean <= ODD[1]
+    found["word_length"] = GOOD if USUAL[0] <= mean <= USUAL[1] else BAD if spaced and not ODD[0] <= mean <= ODD[1] else ABSTAIN
+    ended = x.n_ended / max(x.n_lines, 1)
+    found["endings"] = ABSTAIN if x.n_lines < LINES else GOOD if ended >= ENDED else BAD if ended <= OPEN else ABSTAIN
     return tuple(found[k] for k in RULES)
 
 
@@ -110,39 +125,56 @@ def code(pattern: tuple[int, ...]) -> int:
     return out
 
 
+#: How often a rule is taken to say bad of good documents before any votes.
+FALSE_ALARM = {"symbols": 0.002, "capitals": 0.002, "exclaiming": 0.002, "word_length": 0.01, "length": 0.05, "repeated_lines": 0.05, "repeated_words": 0.05, "endings": 0.05}
+#: The telling rules, each with a sort of bad documents of which it says bad so often at least.
+TELLING, CAUGHT = ("symbols", "capitals", "exclaiming", "word_length"), 0.9
+#: Weight of these beliefs: so many votes, and so large a share of all documents, whatever the corpus's size.
+BELIEF, BELIEF_SHARE = 10.0, 0.002
+
+
 @dataclass(frozen=True)
 class VoteModel:
-    prior: float  # share of good documents
-    accuracy: tuple[float, ...]  # share of a rule's votes that are right
+    shares: tuple[float, ...]  # of good documents, then of each telling rule's bad ones
+    says_bad: tuple[tuple[float, ...], ...]  # for each of these sorts, the share of each rule's votes that say bad
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
-        """P(good) given the votes; a rule that abstains says nothing."""
-        odds = np.log(self.prior) - np.log1p(-self.prior)
-        for v, a in zip(pattern, self.accuracy, strict=True):
-            if v != ABSTAIN:
-                odds += (np.log(a) - np.log1p(-a)) * (1 if v == GOOD else -1)
-        return float(1 / (1 + np.exp(-odds)))
+        """P(good) given the votes."""
+        return float(_sorted_out(np.array([pattern]), np.array(self.shares), np.array(self.says_bad))[0, 0])
 
     def posteriors(self) -> dict[int, float]:
         """P(good) for every vote pattern, by its code."""
-        return {code(p): self.posterior(p) for p in product((BAD, GOOD, ABSTAIN), repeat=len(self.accuracy))}
-
-
-def estimate(counts: dict[int, int], rules: int = len(RULES), rounds: int = 200) -> VoteModel:
-    """EM from pattern counts. Beta priors hold each rule to be right more often than not."""
-    patterns = np.array([[c // 3**k % 3 for k in range(rules - 1, -1, -1)] for c in counts], np.int64).reshape(-1, rules)
-    n = np.array(list(counts.values()), np.float64)
-    sign = np.where(patterns == GOOD, 1.0, np.where(patterns == BAD, -1.0, 0.0))
-    prior, accuracy = 0.8, np.full(rules, 0.9)
+        every = np.array(list(product((BAD, GOOD, ABSTAIN), repeat=len(RULES))))
+        p = _sorted_out(every, np.array(self.shares), np.array(self.says_bad))[:, 0]
+        return dict(zip(map(code, every.tolist()), p.tolist(), strict=True))
+
+
+def _sorted_out(patterns: np.ndarray, shares: np.ndarray, says_bad: np.ndarray) -> np.ndarray:
+    """patterns x sorts: the probability of each sort given the votes."""
+    odds = np.log(shares) + (patterns == BAD) @ np.log(says_bad).T + (patterns == GOOD) @ np.log1p(-says_bad).T
+    p = np.exp(odds - odds.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def estimate(counts: dict[int, int], rounds: int = 500) -> VoteModel:
+    """EM from pattern counts, with Beta priors on how often rules say bad."""
+    rules, codes = len(RULES), sorted(counts)
+    patterns = np.array([[c // 3**k % 3 for k in range(rules - 1, -1, -1)] for c in codes], np.int64).reshape(-1, rules)
+    n = np.array([counts[c] for c in codes], np.float64)
+    anchors = np.array([[r == t for r in RULES] for t in ("", *TELLING)])
+    believed = np.where(anchors, CAUGHT, [FALSE_ALARM[r] for r in RULES])
+    usual = np.array([0.8, *[0.2 / len(TELLING)] * len(TELLING)])
+    shares, says_bad, belief = usual, believed, BELIEF + BELIEF_SHARE * n.sum()
     for _ in range(rounds):
-        good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sign @ np.log(accuracy / (1 - accuracy)))))
-        right = (n * good) @ (sign > 0) + (n * (1 - good)) @ (sign < 0)
-        old = np.array([prior, *accuracy])
-        prior = (n @ good + 8) / (n.sum() + 10)
-        accuracy = np.clip((right + 9) / (n @ np.abs(sign) + 10), 0.5, 1 - 1e-6)
-        if np.abs(old - [prior, *accuracy]).max() < 1e-10:
+        held = _sorted_out(patterns, shares, says_bad) * n[:, None]
+        old = np.concatenate([shares, says_bad.ravel()])
+        shares = (held.sum(axis=0) + BELIEF * usual) / (n.sum() + BELIEF)
+        bad, voted = held.T @ (patterns == BAD), held.T @ (patterns != ABSTAIN)
+        says_bad = np.clip((bad + belief * believed) / (voted + belief), 1e-6, 1 - 1e-6)
+        says_bad = np.where(anchors, np.maximum(says_bad, CAUGHT), says_bad)
+        if np.abs(old - np.concatenate([shares, says_bad.ravel()])).max() < 1e-10:
             break
-    return VoteModel(float(prior), tuple(map(float, accuracy)))
+    return VoteModel(tuple(shares.tolist()), tuple(map(tuple, says_bad.tolist())))
 
 
 def fit(docs: DataFrame) -> VoteModel:

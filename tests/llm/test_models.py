@@ -90,7 +90,65 @@ def test_cascade_is_exact(spark):
 
 def test_vote_model_without_documents():
     model = quality.estimate({})
-    assert 0.5 < model.prior < 1 and model.posterior((quality.ABSTAIN,) * len(quality.RULES)) == pytest.approx(model.prior)
+    assert 0.5 < model.shares[0] < 1 and model.posterior((quality.ABSTAIN,) * len(quality.RULES)) == pytest.approx(model.shares[0])
+
+
+def plain_em(votes, rounds=500):
+    """The vote model by loops over documents, rules and sorts."""
+    sorts = range(1 + len(quality.TELLING))
+    own = [[s > 0 and quality.TELLING[s - 1] == r for r in quality.RULES] for s in sorts]
+    believed = [[quality.CAUGHT if own[s][k] else quality.FALSE_ALARM[r] for k, r in enumerate(quality.RULES)] for s in sorts]
+    usual = [0.8, *[0.2 / len(quality.TELLING)] * len(quality.TELLING)]
+    shares, says = list(usual), [list(x) for x in believed]
+    belief = quality.BELIEF + quality.BELIEF_SHARE * len(votes)
+
+    def sorted_out(v):
+        p = list(shares)
+        for s in sorts:
+            for k, x in enumerate(v):
+                p[s] *= says[s][k] if x == quality.BAD else 1 - says[s][k] if x == quality.GOOD else 1.0
+        return [x / sum(p) for x in p]
+
+    for _ in range(rounds):
+        held = [sorted_out(v) for v in votes]
+        before = [*shares, *(y for x in says for y in x)]
+        shares = [(sum(h[s] for h in held) + quality.BELIEF * usual[s]) / (len(votes) + quality.BELIEF) for s in sorts]
+        new = []
+        for s in sorts:
+            row = []
+            for k in range(len(quality.RULES)):
+                bad = sum(h[s] for h, v in zip(held, votes, strict=True) if v[k] == quality.BAD)
+                voted = sum(h[s] for h, v in zip(held, votes, strict=True) if v[k] != quality.ABSTAIN)
+                p = min(max((bad + belief * believed[s][k]) / (voted + belief), 1e-6), 1 - 1e-6)
+                row.append(max(p, quality.CAUGHT) if own[s][k] else p)
+            new.append(row)
+        says = new
+        if max(abs(a - b) for a, b in zip(before, [*shares, *(y for x in says for y in x)], strict=True)) < 1e-10:
+            break
+    return [sorted_out(v)[0] for v in votes]
+
+
+def test_vote_model_as_by_loops(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    votes = [quality.votes(quality.features(t)) for t in texts]
+    model = quality.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert [model.posterior(v) for v in votes] == pytest.approx(plain_em(votes), abs=1e-6)
+
+
+def test_posterior_overrules_votes(spark):
+    """Some documents are kept against a bad vote and some dropped against good ones; labelled ones come out right."""
+    path = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = quality.judge(docs, quality.fit(docs)).where("NOT base_failed").collect()
+    votes = {r.doc_id: quality.votes(quality.features(text[r.doc_id])) for r in rows}
+    against = [r for r in rows if r.kept and quality.BAD in votes[r.doc_id]]
+    despite = [r for r in rows if not r.kept and votes[r.doc_id].count(quality.GOOD) > votes[r.doc_id].count(quality.BAD)]
+    assert len(against) > 50 and len(despite) > 50
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    good, bad = ([r for r in rows if label.get(r.doc_id) == k] for k in (1, 0))
+    assert sum(r.kept for r in good) >= 0.995 * len(good) and sum(r.kept for r in bad) <= 0.02 * len(bad)
+    assert sum(r.kept for r in good) > sum(quality.BAD not in votes[r.doc_id] for r in good)
 
 
 def test_best_fit_under_every_constraint():
