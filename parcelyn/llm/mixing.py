@@ -4,7 +4,8 @@ A keyed hash puts each document at a place on its source's line; equal stretches
 so their order is a random permutation. The mix runs over a source's line as often as its target holds its size and
 then over a part of it: a source's block quota is the number of blocks it draws in all runs. The splitting tree halves
 the output shards and draws each half's quota of every source without replacement, down to single shards, whose block
-ranges are disjoint. Rows of a shard are ordered by a second hash.
+ranges are disjoint. Its top is split on the driver, the subtrees in tasks, and the shards' ranges of draws are a table.
+A document is taken by the shards in whose ranges its draws lie. Rows of a shard are ordered by a second hash.
 
 Where a line is left is found digit by digit from sums over the hash's digits, so no source is ever sorted whole. The
 document at that place gives only the words that are still due, which makes every source's words exact.
@@ -16,8 +17,10 @@ gives an empty result; only doc_id, source and text are read to decide.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_name, quoted, written
@@ -27,8 +30,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the hash, of the digit that a round of the search decides, and of a source's block numbers.
 HASH_BITS, DIGIT_BITS, BLOCK_BITS = 60, 10, 16
 BLOCKS = 1 << BLOCK_BITS
-#: Shards grow in number up to MOST_SHARDS, so that one has about so many words.
-SHARD_WORDS, MOST_SHARDS = 1 << 25, 1 << 17
+#: Shards grow in number so that one has about so many words; a task splits a subtree of so many shards.
+SHARD_WORDS, SUBTREE = 1 << 25, 1 << 10
+#: Rows of the shards' ranges up to which their table (about 40 bytes each) is broadcast.
+SMALL_TABLE = 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -67,45 +72,65 @@ def _block(place: Column) -> Column:
     return F.shiftright(place, HASH_BITS - BLOCK_BITS)
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: each source's block quota, split by a tree of multivariate hypergeometric draws.
+def halve(own: np.ndarray, low: int, high: int, leaf: int, seed: int, ends) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(low, high, block quota of each source) of the nodes with `leaf` shards at most below the node [low, high).
 
-    A shard gets its equal share of all blocks. Each node's generator comes from the seed and the node's place.
+    Each half draws its number of blocks from the node's without replacement. A node's generator comes from the seed
+    and the node's place, so that it gives the same wherever it is split.
     """
-    out = np.zeros((shards, len(quotas)), np.int64)
-    total = int(quotas.sum())
-    ends = [total * k // shards for k in range(shards + 1)]
+    if high - low <= leaf:
+        yield low, high, own
+        return
+    middle = (low + high) // 2
+    rng = np.random.default_rng([seed, low, high])
+    first = rng.multivariate_hypergeometric(own, ends(middle) - ends(low), method="marginals") if own.sum() else own
+    yield from halve(first, low, middle, leaf, seed, ends)
+    yield from halve(own - first, middle, high, leaf, seed, ends)
+
+
+def even_ends(total: int, shards: int):
+    """Blocks of all shards before a given one: each gets its equal share."""
+    return lambda k: total * k // shards
+
+
+def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """shards x sources: each source's block quota, split by a tree of multivariate hypergeometric draws."""
+    own = quotas.astype(np.int64)
+    nodes = halve(own, 0, shards, 1, seed, even_ends(int(own.sum()), shards))
+    return np.array([x for _, _, x in nodes], np.int64).reshape(shards, len(own))
 
-    def halve(low: int, high: int, own: np.ndarray) -> None:
-        if high - low == 1:
-            out[low] = own
-            return
-        middle = (low + high) // 2
-        rng = np.random.default_rng([seed, low, high])
-        first = rng.multivariate_hypergeometric(own, ends[middle] - ends[low], method="marginals") if own.sum() else own
-        halve(low, middle, first)
-        halve(middle, high, own - first)
 
-    if len(quotas):
-        halve(0, shards, quotas.astype(np.int64))
-    return out
+def shard_ranges(spark: SparkSession, quotas: list[int], shards: int, seed: int) -> DataFrame:
+    """(rank, shard, first, last): the draws [first, last) of the source of that rank that each shard takes."""
+    own, total = np.array(quotas, np.int64), int(sum(quotas))
+    heads = [(low, high, [int(k) for k in np.flatnonzero(x)], [int(v) for v in x[x > 0]]) for low, high, x in halve(own, 0, shards, SUBTREE, seed, even_ends(total, shards))]
 
+    def split(batches):
+        import pyarrow as pa
 
-def _slack(ends: np.ndarray, quota: int) -> int:
-    """The most that draw * shards div quota is away from a draw's shard, over all draws of a source."""
-    draws = np.arange(quota)
-    return int(np.abs(draws * len(ends) // max(quota, 1) - np.searchsorted(ends, draws, "right")).max(initial=0))
+        for batch in batches:
+            for low, high, at, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.array(at, np.int64)
+                for shard, _, x in halve(np.array(held, np.int64), low, high, 1, seed, even_ends(total, shards)):
+                    some = np.flatnonzero(x)
+                    yield pa.record_batch([pa.array((at[some] + 1).astype(np.int32)), pa.array(np.full(len(some), shard, np.int32)), pa.array(x[some])], ["rank", "shard", "draws"])
 
+    rows = spark.createDataFrame(heads, "low int, high int, at array<int>, held array<long>")
+    if len(heads) > 1:
+        rows = rows.repartition(len(heads))
+    last = F.sum("draws").over(Window.partitionBy("rank").orderBy("shard"))
+    return rows.mapInArrow(split, "rank int, shard int, draws long").select("rank", "shard", (last - F.col("draws")).alias("first"), last.alias("last"))
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, int]:
-    """(sizes, decisions, shards). sizes: doc_id, source, size and place of each row. decisions: a row for each source.
+
+def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, shards: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(sizes, decisions, ranges, shards). sizes: row, doc_id, source, size and place of each row. decisions: one a source.
 
     decisions has target, runs (whole passes), stop (the place where the last pass ends), part (words of each row at
-    that place), quota (block draws), ends (for each shard, the draws of this source in it and the shards before it)
-    and slack (how far a shard may be from its even place). Without a number of shards it follows the words drawn.
+    that place), quota (block draws) and width (draws of one cell). ranges: each shard's draws of each source, by the
+    cells that they touch. Without a number of shards it follows the words drawn.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sizes = written(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), _place(F.col("source"), F.col("doc_id"), seed).alias("place")), "sizes")
+    sizes = written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), _place(F.col("source"), F.col("doc_id"), seed).alias("place")), "sizes")
     by_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.round("target").cast("long")
     by_source = by_source.withColumn("runs", F.coalesce(F.expr("try_divide(round(target), source_size)").cast("long"), F.lit(0).cast("long")))
@@ -132,42 +157,50 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: f
     state = state.withColumn("key", F.struct("source")).join(stops, "key", "left")
     state = state.withColumn("stop", F.coalesce("stop", F.lit(-1).cast("long"))).withColumn("part", F.coalesce(F.expr("due div sharing"), F.lit(0).cast("long")))
     state = state.withColumn("quota", F.when(F.col("source_size") > 0, F.col("runs") * BLOCKS + _block(F.greatest("stop", F.lit(0).cast("long"))) + 1).otherwise(0))
-    # One row for each source reaches the driver for the tree, as each of its nodes draws from all sources.
-    table = state.select("source", "source_size", "rank", "target", "runs", "stop", "part", "quota").orderBy("rank").collect()
+    # The quotas, a number for each source, reach the driver, as each node of the tree draws from all sources.
+    quotas = state.select("rank", "quota", "target").orderBy("rank").collect()
+    spark = docs.sparkSession
     if shards is None:
-        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        shards = min(MOST_SHARDS, max(least, int(sum(r.target for r in table)) // SHARD_WORDS))
-    ends = np.cumsum(split_quotas(np.array([r.quota for r in table], np.int64), shards, seed), axis=0)
-    decided = [(*r, ends[:, k].tolist(), _slack(ends[:, k], r.quota)) for k, r in enumerate(table)]
-    schema = "source string, source_size long, rank int, target double, runs long, stop long, part long, quota long, ends array<long>, slack int"
-    # Written, so that its size is known when it is joined.
-    return sizes, written(docs.sparkSession.createDataFrame(decided, schema).coalesce(1), "decisions"), shards
-
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sum(r.target for r in quotas)) // SHARD_WORDS)
+    state = state.withColumn("width", F.greatest(F.ceil(F.col("quota") / shards), F.lit(1)).cast("long"))
+    decisions = written(state.select("source", "source_size", "rank", "target", "runs", "stop", "part", "width").coalesce(1), "decisions")
+    ranges = shard_ranges(spark, [r.quota for r in quotas], shards, seed).join(decisions.select("rank", "width"), "rank")
+    cells = F.sequence(F.expr("first div width"), F.expr("(last - 1) div width"))
+    # Both are written, so that their sizes are known when they are joined.
+    ranges = written(ranges.select("rank", F.explode(cells).alias("cell"), "shard", "first", "last"), "ranges")
+    return sizes, decisions, ranges, shards
 
-def _decide(size: Column, place: Column) -> dict[str, Column]:
-    """From a row's size and place and its source's decisions: words of the last pass, all words, and shards of copies."""
-    last = F.when(place < F.col("stop"), size).when(place == F.col("stop"), F.least("part", size)).otherwise(0)
-    passes = F.col("runs") + F.when(last > 0, 1).otherwise(0)
-    draws = F.when(passes > 0, F.sequence(F.lit(0).cast("long"), passes - 1)).otherwise(F.array().cast("array<bigint>"))
 
-    def shard_of(p: Column) -> Column:
-        """The number of ends up to the draw; only those within the source's slack of its even place are looked at."""
-        draw = p * BLOCKS + _block(place)
-        first = F.greatest(F.expr("0L"), F.floor(draw * F.size("ends") / F.col("quota")) - F.col("slack"))
-        near = F.slice(F.col("ends"), (first + 1).cast("int"), (2 * F.col("slack") + 1).cast("int"))
-        return (first + F.size(F.filter(near, lambda e: e <= draw))).cast("int")
+def _drawn(rows: DataFrame, decisions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows (key: struct<source>, size, place, others) with copy, words, shard of each copy that a shard takes.
 
-    shard = F.transform(draws, shard_of)
-    return {"last": last, "taken": F.col("runs") * size + last, "shards": shard}
+    A row that no shard takes stays once, without a shard and with no words.
+    """
+    small = decisions.withColumn("key", F.struct("source")).drop("source")
+    x = rows.join(small, "key")
+    last = F.when(F.col("place") < F.col("stop"), F.col("size")).when(F.col("place") == F.col("stop"), F.least("part", "size")).otherwise(0)
+    x = x.withColumn("due", last.cast("long"))
+    passes = F.col("runs") + F.when(F.col("due") > 0, 1).otherwise(0)
+    copies = F.when(passes > 0, F.sequence(F.lit(0).cast("long"), passes - 1))
+    x = x.withColumn("copy", F.explode_outer(copies))
+    x = x.withColumn("draw", F.col("copy") * BLOCKS + _block(F.col("place"))).withColumn("cell", F.expr("draw div width"))
+    if ranges.count() <= SMALL_TABLE:
+        ranges = F.broadcast(ranges)
+    x = x.alias("x").join(ranges.alias("r"), F.expr("x.rank = r.rank AND x.cell = r.cell AND r.first <= x.draw AND x.draw < r.last"), "left")
+    words = F.when(F.col("r.shard").isNull(), 0).when(F.col("copy") < F.col("runs"), F.col("size")).otherwise(F.col("due"))
+    return x.select(*(F.col(f"x.{c}") for c in rows.columns if c != "key"), "source_size", "target", "copy", words.cast("long").alias("words"), "r.shard")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, shards): shards has the output shard of each copy that is taken."""
-    sizes, decisions, _ = plan(docs, **settings)
-    small = decisions.withColumn("key", F.struct("source")).drop("source")
-    x = sizes.withColumn("key", F.struct("source")).join(small, "key")
-    d = _decide(F.col("size"), F.col("place"))
-    return x.select("doc_id", "size", "source_size", "target", d["taken"].cast("long").alias("taken"), d["shards"].alias("shards"))
+    """(doc_id, size, source_size, target, taken, shards): words that the shards take of each row, and these shards.
+
+    shards has shard, copy, block and words of each copy.
+    """
+    sizes, decisions, ranges, _ = plan(docs, **settings)
+    x = _drawn(sizes.select("row", "doc_id", "size", "place", F.struct("source").alias("key")), decisions, ranges)
+    one = F.when(F.col("shard").isNotNull(), F.struct("shard", F.col("copy").cast("int").alias("copy"), _block(F.col("place")).cast("int").alias("block"), "words"))
+    by_row = x.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(one)).alias("shards"))
+    return by_row.drop("row")
 
 
 def draw(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
@@ -176,17 +209,15 @@ def draw(docs: DataFrame, seed: int = 7, **settings) -> DataFrame:
     A row at the place where a source's last pass ends keeps only the words that are due, with the white space before
     them. Columns and their order are those of docs.
     """
-    _, decisions, shards = plan(docs, seed=seed, **settings)
+    _, decisions, ranges, shards = plan(docs, seed=seed, **settings)
     columns = docs.columns
     tmp = fresh_name(docs, "mixing")
     text, doc_id = (next(c for c in columns if c.lower() == k) for k in ("text", "doc_id"))
     source = next(c for c in columns if c.lower() == "source")
     row = docs.select(F.struct(*map(quoted, columns)).alias(tmp))
     x = row.select(tmp, n_words(F.col(tmp)[text].cast("string")).alias("size"), _place(F.col(tmp)[source].cast("string"), F.col(tmp)[doc_id].cast("long"), seed).alias("place"), F.struct(F.col(tmp)[source].cast("string").alias("source")).alias("key"))
-    x = x.join(decisions.withColumn("key", F.struct("source")).drop("source"), "key")
-    d = _decide(F.col("size"), F.col("place"))
-    x = x.select(tmp, "place", "size", "runs", d["last"].alias("last"), F.posexplode(d["shards"]).alias("copy", "shard"))
-    due = F.array_join(F.slice(F.regexp_extract_all(F.col(tmp)[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("last").cast("int")), "")
-    cut = F.when((F.col("copy") == F.col("runs")) & (F.col("last") < F.col("size")), due).otherwise(F.col(tmp)[text])
+    x = _drawn(x, decisions, ranges).where("shard IS NOT NULL")
+    due = F.array_join(F.slice(F.regexp_extract_all(F.col(tmp)[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("words").cast("int")), "")
+    cut = F.when(F.col("words") < F.col("size"), due).otherwise(F.col(tmp)[text])
     x = x.select(F.struct(*(cut.alias(c) if c == text else F.col(tmp)[c].alias(c) for c in columns)).alias(tmp), "shard", F.xxhash64("place", "copy").alias("order"))
     return x.repartitionById(shards, "shard").sortWithinPartitions("order").select(*(F.col(tmp)[c].alias(c) for c in columns))

@@ -230,6 +230,33 @@ def test_quotas_split_exactly():
     assert (split == mixing.split_quotas(quotas, 7, 1)).all()
 
 
+@pytest.mark.parametrize("subtree", [1 << 10, 3])
+def test_shards_take_their_quotas(spark, monkeypatch, subtree):
+    """What the tree gives each shard is what its rows hold, wherever the tree is cut, and the words add up to taken."""
+    monkeypatch.setattr(mixing, "SUBTREE", subtree)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + i % 17)), f"s{i % 4}" if i % 9 else None, i) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    shards = 11
+    _, decisions, ranges, _ = mixing.plan(docs, shards=shards)
+    quotas = {r["rank"]: r.runs * mixing.BLOCKS + (max(r.stop, 0) >> mixing.HASH_BITS - mixing.BLOCK_BITS) + 1 for r in decisions.collect()}
+    split = mixing.split_quotas(np.array([quotas[k] for k in sorted(quotas)]), shards, 7)
+    spans = {(r["rank"], r.shard): (r["first"], r["last"]) for r in ranges.collect()}
+    for k, rank in enumerate(sorted(quotas)):
+        ends = np.cumsum(split[:, k])
+        for shard in range(shards):
+            due = (int(ends[shard] - split[shard, k]), int(ends[shard]))
+            assert spans.get((rank, shard), (0, 0)) == (due if due[0] < due[1] else (0, 0))
+    rank_of = {r.source: r["rank"] for r in decisions.collect()}
+    got = mixing.mix(docs, shards=shards).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.taken == sum(s.words for s in r.shards)
+        for s in r.shards:
+            first, last = spans[rank_of[rows[r.doc_id][2]], s.shard]
+            assert first <= s.copy * mixing.BLOCKS + s.block < last
+    assert len({s.shard for r in got for s in r.shards}) == shards
+
+
 def test_drawn_words(spark):
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + i % 17)), f"s{i % 4}" if i % 9 else None, i) for i in range(400)]
     docs = spark.createDataFrame(rows, DOCS)
