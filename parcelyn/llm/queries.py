@@ -65,7 +65,7 @@ def op9_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.audio_features(audio.clips(documents(spark, sf_dir))))
+    return audio.digests(audio.stored_features(audio.audio_features(audio.clips(documents(spark, sf_dir)))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
