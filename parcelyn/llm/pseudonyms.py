@@ -3,11 +3,15 @@
 Found in texts: e-mail addresses, IPv4 addresses, payment cards (Luhn), North American phone numbers, other phone
 numbers with a country code, social security numbers, IBANs (mod 97) and dates. A value that passes its kind's
 validation is permuted within the kind's set of valid values and put back in its own layout, so equal values get equal
-pseudonyms in all documents, whatever their layout, and different values never get the same one.
+pseudonyms in all documents, whatever their layout, and different values of a kind different ones. (Equal means: the
+same number, date or address. Capitals of an address, zeros before a number and a phone's country code 1 don't count.)
 
 The permutation is an alternating Feistel network on Z_a x Z_b: in turn L = (L + F(R)) mod a and R = (R + F(L)) mod b,
-with F from SHA-256 under the key. With a * b the size of the set no cycle has to be walked: 400 Gregorian years have
-146,097 = 189 * 773 days; phone numbers have 800 area codes by 800 * 10,000 numbers.
+with F from HMAC-SHA-256 under the key. With a * b the size of the set no cycle has to be walked: phone numbers have 800
+area codes by 800 * 10,000 numbers. Dates of 400 years are permuted within classes by how their day and month are
+written (one digit, two, or a day that can't be a month), so a text keeps its widths and stays as unambiguous as it was.
+
+The key reaches the executors as a value of a one-row table; plans show neither it nor anything derived from it.
 
 Defined results: null text stays null with no values found; a null doc_id and repeated rows are kept as rows; an empty
 table gives an empty result; a value that fails validation stays as it is; only doc_id and text are read.
@@ -19,12 +23,19 @@ a layout of cards goes first, then the earlier, then the longer. The other kinds
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Days of the 400 years from 1800-01-01 on.
-FIRST_DAY, DAY_PARTS = "1800-01-01", (189, 773)
+#: Dates of the 400 years from this one on are valid.
+FIRST_YEAR, YEARS = 1800, 400
+#: Days after the 12th before each month, of the months to September and of those from October, but for 29 February.
+LATE_DAYS = ((0, 19, 35, 54, 72, 91, 109, 128, 147, 165), (0, 19, 37, 56))
+#: Sizes of the halves for dates by (month of two digits, days: to 9, to 12, later); their product is the class's size.
+DATE_HALVES = {(0, 0): (180, 180), (1, 0): (100, 108), (0, 1): (100, 108), (1, 1): (60, 60), (0, 2): (250, 264), (1, 2): (140, 160)}
+LEAP_DAYS = 97
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -42,13 +53,26 @@ OTHERS = "|".join(f"(?:{p})" for k, p in KINDS.items() if k != "card")
 _LAYOUT = r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 
 
-def _keyed(key: str, what: Column, round_: Column, x: Column) -> Column:
-    """60 bits of SHA-256 over key, kind, round and the other half."""
-    text = F.concat_ws(":", F.lit(key), what, round_.cast("string"), x.cast("string"))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+def hmac_pads(key: str) -> tuple[bytes, bytes]:
+    """The key, padded for the inner and the outer hash of HMAC-SHA-256."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    return bytes(x ^ 0x36 for x in block), bytes(x ^ 0x5C for x in block)
+
+
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """One row with column key: struct<inner, outer>."""
+    return spark.createDataFrame([(hmac_pads(key),)], "key struct<inner:binary,outer:binary>")
+
 
+def _keyed(key: Column, what: Column, round_: Column, x: Column) -> Column:
+    """60 bits of HMAC-SHA-256 over kind, round and the other half."""
+    text = F.concat_ws(":", what, round_.cast("string"), x.cast("string")).cast("binary")
+    inner = F.unhex(F.sha2(F.concat(key["inner"], text), 256))
+    return F.conv(F.substring(F.sha2(F.concat(key["outer"], inner), 256), 1, 15), 16, 10).cast("long")
 
-def feistel(key: str, what: Column, left: Column, right: Column, a: Column, b: Column) -> Column:
+
+def feistel(key: Column, what: Column, left: Column, right: Column, a: Column, b: Column) -> Column:
     """struct<l, r>: the permuted pair of Z_a x Z_b."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
@@ -70,7 +94,7 @@ def _pow10(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), "0").cast("long")
 
 
-def permute_digits(key: str, what: str, digits: Column) -> Column:
+def permute_digits(key: Column, what: str, digits: Column) -> Column:
     """A string of 2 to 36 decimal digits, permuted among those of its length."""
 
     def body(d: Column) -> Column:
@@ -113,7 +137,7 @@ def _luhn_sum(digits: Column, last_doubled: bool) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), worth), F.lit(0), lambda s, x: s + x)
 
 
-def _card(key: str, v: Column) -> Column:
+def _card(key: Column, v: Column) -> Column:
     """The leading digit stays, the rest is permuted, the check digit is computed anew."""
 
     def body(d: Column) -> Column:
@@ -181,7 +205,7 @@ def segments(text: Column) -> Column:
     return F.when(text.rlike(_RUN), whole).otherwise(F.array(piece(False, text)))
 
 
-def _phone(key: str, v: Column) -> Column:
+def _phone(key: Column, v: Column) -> Column:
     """Area and exchange codes stay within 200 to 999."""
 
     def body(d: Column) -> Column:
@@ -193,12 +217,12 @@ def _phone(key: str, v: Column) -> Column:
     return _let(_only(v, "0-9"), body)
 
 
-def _abroad(key: str, v: Column) -> Column:
+def _abroad(key: Column, v: Column) -> Column:
     """The first two digits (the country code, most often) stay; 8 to 15 digits are valid."""
     return _let(_only(v, "0-9"), lambda d: F.when(F.length(d).between(8, 15), relaid(v, F.concat(F.substr(d, F.lit(1), F.lit(2)), permute_digits(key, "abroad", F.substr(d, F.lit(3), F.length(d) - 2))), "0-9")))
 
 
-def _ssn(key: str, v: Column) -> Column:
+def _ssn(key: Column, v: Column) -> Column:
     """Areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999, mapped among themselves."""
 
     def body(d: Column) -> Column:
@@ -212,7 +236,7 @@ def _ssn(key: str, v: Column) -> Column:
     return _let(_only(v, "0-9"), body)
 
 
-def _ip(key: str, v: Column) -> Column:
+def _ip(key: Column, v: Column) -> Column:
     def body(p: Column) -> Column:
         n = [p[i].cast("long") for i in range(4)]
         valid = (n[0] <= 255) & (n[1] <= 255) & (n[2] <= 255) & (n[3] <= 255)
@@ -232,7 +256,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
 
 
-def _iban(key: str, v: Column) -> Column:
+def _iban(key: Column, v: Column) -> Column:
     """The account's digits are permuted, its letters stay, the two check digits are computed anew."""
 
     def body(t: Column) -> Column:
@@ -246,7 +270,42 @@ def _iban(key: str, v: Column) -> Column:
     return _let(F.replace(v, F.lit(" "), F.lit("")), body)
 
 
-def _date(key: str, v: Column) -> Column:
+def _permuted_date(key: Column, x: Column) -> Column:
+    """struct<y, m, d>: a valid date permuted within its class."""
+    leap = (x["m"] == 2) & (x["d"] == 29)
+    late = lambda which: F.array(*map(F.lit, LATE_DAYS[which]))
+    autumn = (x["m"] >= 10).cast("int")
+    days = F.when(x["d"] < 10, 0).when(x["d"] <= 12, 1).otherwise(2)
+    month = x["m"] - 1 - autumn * 9
+    within = F.when(days == 0, month * 9 + x["d"] - 1).when(days == 1, month * 3 + x["d"] - 10).when(autumn == 1, late(1)[month] + x["d"] - 13).otherwise(late(0)[month] + x["d"] - 13)
+    each, left, right = F.lit(0), F.lit(0), F.lit(0)
+    for (two, kind), (a, b) in DATE_HALVES.items():
+        own = (autumn == two) & (days == kind)
+        each, left, right = F.when(own, a * b // YEARS).otherwise(each), F.when(own, a).otherwise(left), F.when(own, b).otherwise(right)
+    name = F.when(leap, "date leap").otherwise(F.concat_ws(" ", F.lit("date"), autumn.cast("string"), days.cast("string")))
+    # Leap days by their number among those of the 400 years; 1800, 1900 and 2100 have none.
+    number = F.floor((x["y"] - FIRST_YEAR) / 4) - 1 - (x["y"] > 1900).cast("int") - (x["y"] > 2100).cast("int")
+    place = F.when(leap, number).otherwise((x["y"] - FIRST_YEAR) * each + within).cast("long")
+    state = F.struct(place.alias("at"), name.alias("name"), each.cast("long").alias("each"), F.when(leap, 1).otherwise(left).alias("a"), F.when(leap, LEAP_DAYS).otherwise(right).alias("b"), autumn.alias("autumn"), days.alias("days"), leap.alias("leap"))
+
+    def back(p: Column, s: Column) -> Column:
+        raw = p + (p >= 24).cast("int") + (p >= 73).cast("int")
+        w = (p % s["each"]).cast("int")
+        starts = F.when(s["autumn"] == 1, late(1)).otherwise(late(0))
+        later = F.size(F.filter(starts, lambda v: v <= w)) - 1
+        month = F.when(s["days"] == 0, F.floor(w / 9)).when(s["days"] == 1, F.floor(w / 3)).otherwise(later).cast("int")
+        day = F.when(s["days"] == 0, w % 9 + 1).when(s["days"] == 1, w % 3 + 10).otherwise(w - starts[month] + 13)
+        plain = F.struct((F.floor(p / s["each"]) + FIRST_YEAR).cast("int").alias("y"), (month + 1 + s["autumn"] * 9).cast("int").alias("m"), day.cast("int").alias("d"))
+        return F.when(s["leap"], F.struct((raw * 4 + FIRST_YEAR + 4).cast("int").alias("y"), F.lit(2).alias("m"), F.lit(29).alias("d"))).otherwise(plain)
+
+    def mapped(s: Column) -> Column:
+        out = feistel(key, s["name"], F.floor(s["at"] / s["b"]), s["at"] % s["b"], s["a"], s["b"])
+        return _let(out, lambda o: _let((o["l"] * s["b"] + o["r"]).cast("long"), lambda p: back(p, s)))
+
+    return _let(state, mapped)
+
+
+def _date(key: Column, v: Column) -> Column:
     """Year first, or day before month (else month before day) and year; the permuted date in the same layout."""
 
     def body(p: Column) -> Column:
@@ -256,20 +315,25 @@ def _date(key: str, v: Column) -> Column:
         swapped = ~iso & (high > 12)
         day, month = F.when(swapped, high).otherwise(low), F.when(swapped, low).otherwise(high)
         date = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
-        n = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-        a, b = DAY_PARTS
-        out = feistel(key, F.lit("date"), F.floor(n / b), n % b, F.lit(a), F.lit(b))
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), _let(out, lambda s: (s["l"] * b + s["r"]).cast("int")))
-        mark = F.substr(_only(v, "./-"), F.lit(1), F.lit(1))
-        parts = (F.date_format(new, x) for x in ("yyyy", "MM", "dd"))
-        y, m, d = parts
-        laid = F.when(iso, F.concat_ws("-", y, m, d)).when(swapped, F.concat(m, mark, d, mark, y)).otherwise(F.concat(d, mark, m, mark, y))
-        return F.when(n.between(0, a * b - 1), laid)
+        return F.when(date.isNotNull() & year.between(FIRST_YEAR, FIRST_YEAR + YEARS - 1), laid(F.struct(year.alias("y"), month.alias("m"), day.alias("d"), iso.alias("iso"), swapped.alias("swapped")), p))
+
+    def laid(x: Column, p: Column) -> Column:
+        wide = lambda n, part: F.lpad(n.cast("string"), F.length(part), F.lit("0"))
+
+        def digits(x: Column) -> Column:
+            def put(new: Column) -> Column:
+                own = F.when(x["iso"], F.concat(wide(new["y"], p[0]), wide(new["m"], p[1]), wide(new["d"], p[2])))
+                own = own.when(x["swapped"], F.concat(wide(new["m"], p[0]), wide(new["d"], p[1]), wide(new["y"], p[2])))
+                return relaid(v, own.otherwise(F.concat(wide(new["d"], p[0]), wide(new["m"], p[1]), wide(new["y"], p[2]))), "0-9")
+
+            return _let(_permuted_date(key, x), put)
+
+        return _let(x, digits)
 
     return _let(F.split(v, "[./-]"), body)
 
 
-def _email(key: str, v: Column) -> Column:
+def _email(key: Column, v: Column) -> Column:
     """The name's letters and digits, as numbers in base 36, are permuted; marks and the host stay."""
 
     def body(name: Column) -> Column:
@@ -296,7 +360,7 @@ def _kind(v: Column) -> Column:
     return out
 
 
-def pseudonym(value: Column, key: str) -> Column:
+def pseudonym(value: Column, key: Column) -> Column:
     """struct<kind, value, new>: new is null where the value fails its kind's validation."""
     make = {"email": _email, "ip": _ip, "iban": _iban, "phone": _phone, "abroad": _abroad, "ssn": _ssn, "date": _date}
 
@@ -312,12 +376,12 @@ def pseudonym(value: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_values, kinds, text): each valid value in the text replaced by its pseudonym, and counts by kind."""
     values = "array<struct<kind:string,value:string,new:string>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", F.when(F.col("text").rlike(ANY), segments(F.col("text"))).alias("cut"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key_table(docs.sparkSession, key).scalar().alias("key"))
+    rows = rows.select("doc_id", "text", "key", F.when(F.col("text").rlike(ANY), segments(F.col("text"))).alias("cut"))
 
     def found(x: Column) -> Column:
-        plain = F.transform(F.regexp_extract_all(x["value"], F.lit(OTHERS), F.lit(0)), lambda v: pseudonym(v, key))
-        card = F.array(F.struct(F.lit("card").alias("kind"), x["value"].alias("value"), _card(key, x["value"]).alias("new")))
+        plain = F.transform(F.regexp_extract_all(x["value"], F.lit(OTHERS), F.lit(0)), lambda v: pseudonym(v, F.col("key")))
+        card = F.array(F.struct(F.lit("card").alias("kind"), x["value"].alias("value"), _card(F.col("key"), x["value"]).alias("new")))
         return F.struct(x["card"].alias("card"), x["value"].alias("value"), F.when(x["card"], card).otherwise(plain).cast(values).alias("found"))
 
     def put(x: Column) -> Column:
