@@ -1,14 +1,18 @@
 """Toxicity grades by cumulative-link (proportional-odds) ordinal regression on sparse text features.
 
-P(grade > k) = logistic(w . x - c_k): all thresholds c_0 < c_1 < ... share the weights w. x has log(1 + count)
-for each hashed word and each hashed stem (a word's first STEM letters); words are letters only, lower-cased. Those whose share of toxic documents differs from the rest's
-beyond chance get a weight, the others' is 0. The result is the expected severity, the sum of P(grade > k).
+P(grade > k) = logistic(w . x - c_k): all thresholds c_0 < c_1 < ... share the weights w. x has log(1 + count) for each
+hashed word and each hashed stem (a word's first STEM letters); words are letters only, lower-cased. Those whose share of
+toxic documents differs from the rest's beyond chance get a weight, the others' is 0. The result is the expected
+severity, the sum of P(grade > k).
 
-Labels say toxic or not. Grades of the labelled toxic documents come from how many words they hold with stems that mark
-labelled toxic documents: up to MILD of them is grade 1, more is grade 2, SEVERE or more is grade 3.
+Labels say toxic or not. Grades of the labelled toxic documents are thirds of a cross-fitted score: each half of the
+sample is scored by a model of two grades that was fitted on the other half, so a document's grade doesn't come from
+its own label.
 
-The model is fitted on a bounded sample of labelled rows (`most_labels`, all toxic ones first, in the order of a hash
-of doc_id); every document is scored.
+The model is fitted on a bounded sample of labelled rows (`most_labels`: half of them toxic, or more of one kind where
+the other has fewer, in the order of a hash of doc_id). Rows are weighted so that the kinds count as among all labels.
+Words are counted on the executors; of the sample only the features with a weight reach the driver. Every document is
+scored.
 
 Defined results: null text has no words and the score of an empty document; a null doc_id and repeated rows are kept as
 rows; labels with null toxic are left out; an empty table gives an empty result, and without labels of both kinds every
@@ -24,18 +28,15 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
 #: Words take the lower half of all features, stems the upper half.
 FEATURES = 1 << 20
 STEM = 5
 GRADES = 4
-MILD, SEVERE = 2, 5
-#: A stem marks toxic documents if so many labelled ones hold it, and this share at least of all that hold it are toxic.
-TELLING_DOCS, TELLING_SHARE = 5, 0.4
 #: A word gets a weight if so many labelled documents hold it, and if it lies so many standard errors from chance.
 LEAST_DOCS, LEAST_Z = 5, 6.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,39 +67,38 @@ class OrdinalModel:
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -60, 60)))).sum(axis=1)
 
 
-def _held(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np.ndarray:
-    """2 x FEATURES: clean and toxic documents that hold each feature."""
-    held = np.zeros((2, FEATURES), np.int64)
-    for (at, _), t in zip(rows, toxic, strict=True):
-        held[int(t), at] += 1
-    return held
+def _standard_errors(clean: Column, toxic: Column, n0: int, n1: int) -> Column:
+    """How far a feature's share among toxic documents is from that among clean ones."""
+    p = (clean + toxic) / (n0 + n1)
+    return F.abs(toxic / n1 - clean / n0) / F.sqrt(F.greatest(p * (F.lit(1.0) - p), F.lit(1e-9)) * (1 / n0 + 1 / n1))
 
 
-def _grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, held: np.ndarray) -> np.ndarray:
-    telling = (held[1] >= TELLING_DOCS) & (held[1] >= TELLING_SHARE * held.sum(axis=0)) & _chosen(held, toxic)
-    telling[: FEATURES // 2] = False
-    n = np.array([c[telling[at]].sum() for at, c in rows])
-    return np.where(toxic, np.where(n <= MILD, 1, np.where(n < SEVERE, 2, 3)), 0)
+def cross_fitted(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's score by a model of two grades, fitted on the rows of the other parity."""
+    fold, out = np.arange(len(rows)) % 2, np.zeros(len(rows))
+    for k in (0, 1):
+        at = np.flatnonzero(fold != k)
+        if not len(at) or toxic[at].all() or not toxic[at].any():
+            at = np.arange(len(rows))
+        model = fit_ordinal([rows[i] for i in at], toxic[at].astype(np.int64), weights[at], levels=2)
+        out[fold == k] = [model.weights[a] @ np.log1p(n) for (a, n), f in zip(rows, fold, strict=True) if f == k]
+    return out
 
 
-def _chosen(held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Features with a weight: two-proportion test of their share among toxic and among clean documents."""
-    n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    both = held.sum(axis=0)
-    p = both / (n0 + n1)
-    z = np.abs(held[1] / n1 - held[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    return (both >= LEAST_DOCS) & (z >= LEAST_Z)
+def graded(scores: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for clean rows, 1 to GRADES - 1 for toxic ones by equal parts of their scores."""
+    edges = np.quantile(scores[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+    return np.where(toxic, 1 + np.searchsorted(edges, scores, "left"), 0)
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, chosen: np.ndarray, penalty: float = 0.001, rounds: int = 500, rate: float = 0.05) -> OrdinalModel:
-    """Adam on the penalised log-likelihood; cuts are kept apart as a first cut and positive steps."""
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights: np.ndarray, levels: int = GRADES, penalty: float = 0.001, rounds: int = 500, rate: float = 0.05) -> OrdinalModel:
+    """Adam on the penalised, weighted log-likelihood; cuts are kept apart as a first cut and positive steps."""
     at = np.concatenate([r[0] for r in rows])
     value = np.concatenate([np.log1p(r[1]) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    at, value, owner = at[chosen[at]], value[chosen[at]], owner[chosen[at]]
     used, at = np.unique(at, return_inverse=True)
-    importance = np.full(len(rows), 1 / len(rows))
-    w, theta = np.zeros(len(used)), np.array([1.0, *np.zeros(GRADES - 2)])
+    importance = weights / weights.sum()
+    w, theta = np.zeros(len(used)), np.array([1.0, *np.zeros(levels - 2)])
     m, v = np.zeros(len(w) + len(theta)), np.zeros(len(w) + len(theta))
 
     def cdf(x):
@@ -109,53 +109,69 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, c
         score = np.bincount(owner, value * w[at], len(rows))
         edge = np.concatenate([[-np.inf], cuts, [np.inf]])
         up, down = cdf(edge[grades + 1] - score), cdf(edge[grades] - score)
-        up[grades == GRADES - 1], down[grades == 0] = 1.0, 0.0
+        up[grades == levels - 1], down[grades == 0] = 1.0, 0.0
         p = np.maximum(up - down, 1e-12)
         du, dd = up * (1 - up) / p * importance, down * (1 - down) / p * importance
         ds = du - dd
         gw = np.bincount(at, value * ds[owner], len(w)) + penalty * w
-        gc = np.zeros(GRADES - 1)
-        np.add.at(gc, grades[grades < GRADES - 1], -du[grades < GRADES - 1])
+        gc = np.zeros(levels - 1)
+        np.add.at(gc, grades[grades < levels - 1], -du[grades < levels - 1])
         np.add.at(gc, grades[grades > 0] - 1, dd[grades > 0])
         tail = np.cumsum(gc[::-1])[::-1]
         g = np.concatenate([gw, tail[:1], tail[1:] * np.exp(theta[1:])])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, theta = w - move[: len(w)], theta - move[len(w) :]
-    weights = np.zeros(FEATURES)
-    weights[used] = w
-    return OrdinalModel(weights, np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])])))
+    whole = np.zeros(FEATURES)
+    whole[used] = w
+    return OrdinalModel(whole, np.cumsum(np.concatenate([theta[:1], np.exp(theta[1:])])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 6000) -> OrdinalModel:
-    """Fit on at most most_labels labelled documents; the features of these alone reach the driver."""
+    """Fit on at most most_labels labelled documents."""
     bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic").cast("int") > 0).alias("toxic")).where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    half = most_labels // 2
-    order = F.xxhash64("doc_id")
-    chosen = marks.where("toxic").orderBy(order, "doc_id").limit(half).union(marks.where("NOT toxic").orderBy(order, "doc_id").limit(half))
+    number = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    order, half = F.xxhash64("doc_id"), most_labels // 2
+    limit = {k: max(half, most_labels - number.get(not k, 0)) for k in (True, False)}
+    chosen = marks.where("toxic").orderBy(order, "doc_id").limit(limit[True]).union(marks.where("NOT toxic").orderBy(order, "doc_id").limit(limit[False]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = written(rows.select("doc_id", "text", "toxic"), "labelled")
+
+    def tally(batches):
+        import pyarrow as pa
+
+        seen = np.zeros((2, FEATURES), np.int32)
+        for batch in batches:
+            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                seen[int(toxic), counted(text)[0]] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["at", "clean", "toxic"])
+
+    taken = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(taken) < 2:
+        return OrdinalModel(np.zeros(FEATURES), np.full(GRADES - 1, 60.0))
+    held = sample.mapInArrow(tally, "at int, clean long, toxic long").groupBy("at").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    far = _standard_errors(F.col("clean"), F.col("toxic"), taken[False], taken[True]) >= LEAST_Z
+    telling = np.array(sorted(r["at"] for r in held.where(far & (F.col("clean") + F.col("toxic") >= LEAST_DOCS)).select("at").collect()), np.int64)
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [counted(x) for x in batch.column(1).to_pylist()]
+            found = [(a[own], n[own]) for a, n in map(counted, batch.column(1).to_pylist()) for own in [np.isin(a, telling)]]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "at", "n"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(scan, "doc_id long, toxic boolean, at array<int>, n array<int>").toArrow()
-    got = got.sort_by("doc_id")
+    got = sample.mapInArrow(scan, "doc_id long, toxic boolean, at array<int>, n array<int>").toArrow().sort_by("doc_id")
     toxic = np.array(got.column("toxic").to_pylist(), bool)
-    if not toxic.any() or toxic.all():
-        return OrdinalModel(np.zeros(FEATURES), np.full(GRADES - 1, 60.0))
     sparse = [(np.array(a, np.int64), np.array(n, np.int64)) for a, n in zip(got.column("at").to_pylist(), got.column("n").to_pylist(), strict=True)]
-    return _fitted(sparse, toxic)
+    weights = np.where(toxic, number[True] / taken[True], number[False] / taken[False])
+    return fitted(sparse, toxic, weights)
 
 
-def _fitted(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> OrdinalModel:
-    held = _held(rows, toxic)
-    return fit_ordinal(rows, _grades(rows, toxic, held), _chosen(held, toxic))
+def fitted(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weights: np.ndarray) -> OrdinalModel:
+    return fit_ordinal(rows, graded(cross_fitted(rows, toxic, weights), toxic), weights)
 
 
 def score(docs: DataFrame, model: OrdinalModel, least: float = 0.5) -> DataFrame:

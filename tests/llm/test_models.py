@@ -24,6 +24,47 @@ def test_toxicity_held_out(spark):
     assert n.get((0, True), 0) <= 0.01 * n[0, False]
 
 
+def test_severity_ranks_toxic_documents(spark):
+    """Severities of two models, fitted on labels that share no document, rank held-out toxic documents alike."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = docs.join(labels.where("doc_id % 3 = 2 AND toxic = 1").select("doc_id"), "doc_id")
+    ranks = []
+    for k in (0, 1):
+        model = toxicity.fit(docs, labels.where(f"doc_id % 3 = {k}"))
+        rows = {r.doc_id: r.severity for r in toxicity.score(toxic, model).collect()}
+        ranks.append(np.argsort(np.argsort([rows[d] for d in sorted(rows)])))
+    assert len(ranks[0]) > 50 and np.corrcoef(*ranks)[0, 1] > 0.6
+
+
+def test_scores_as_by_loops(spark, odd_dir):
+    """Severity from given weights, word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(spark.read.parquet(f"{odd_dir}/documents.parquet").select("doc_id", "text"))
+    rng = np.random.default_rng(5)
+    weights = np.where(rng.random(toxicity.FEATURES) < 0.05, rng.normal(size=toxicity.FEATURES), 0.0)
+    model = toxicity.OrdinalModel(weights, np.array([0.5, 1.0, 3.0]))
+    due = []
+    for r in docs.collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (r.text or "").lower())]
+        at = [k for w in words for k in toxicity.features_of(w)]
+        score = sum(weights[k] * np.log1p(at.count(k)) for k in sorted(set(at))) if len(at) < 20_000 else None
+        due.append((r.doc_id, None if score is None else sum(1 / (1 + np.exp(np.clip(c - score, -60, 60))) for c in model.cuts)))
+    got = [(r.doc_id, r.severity) for r in toxicity.score(docs, model).collect()]
+    assert [d for d, _ in got] == [d for d, _ in due]
+    assert all(b is None or a == pytest.approx(b, abs=2e-6) for (_, a), (_, b) in zip(got, due, strict=True))
+
+
+def test_severity_of_odd_rows(spark, odd_dir):
+    """Null, empty and wordless texts have one severity; repeated rows and texts the same; every row has a score."""
+    rows = Q.op4_ordinal_toxicity(spark, odd_dir).collect()
+    texts = [r.text for r in spark.read.parquet(f"{odd_dir}/documents.parquet").collect()]
+    assert len(rows) == len(texts) and all(r.severity is not None and r.grade is not None for r in rows)
+    by_text = {}
+    for r, t in zip(rows, texts, strict=True):
+        key = " ".join(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        assert by_text.setdefault(key, r.severity) == r.severity
+
+
 def test_toxicity_without_labels(spark, odd_dir):
     rows = Q.op4_ordinal_toxicity(spark, odd_dir).collect()
     assert len(rows) == spark.read.parquet(f"{odd_dir}/documents.parquet").count()
