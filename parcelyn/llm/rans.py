@@ -145,7 +145,8 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows that share a doc_id are dealt by the beginning of their texts, which is in the order of the texts themselves.
+    rows = rows.repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
 
     def blocks(batches):
         import pyarrow as pa

@@ -1,13 +1,15 @@
 """Exact piecewise use of a tokenizers file: every distinct piece of text goes through the library once.
 
 Byte-pair tokenizers encode each pre-token on its own. A text is cut where no pre-token can cross, and each distinct
-piece is looked up in a bounded memo, filled by the library. The ids are those of encode() on the whole text.
+piece is looked up in a bounded memo, filled by the library. The ids are those of encode() on the whole text, for which
+the library reads the marks of special tokens in a text as these tokens, unless special_as_text is set.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 from array import array
 
@@ -48,11 +50,11 @@ class _Memo(dict):
 class PieceEncoder:
     """ids of whole texts as packed little-endian integers of `dtype`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model = self.tokenizer.model
         # Every word comes here once; a cache of the library's own would only cost.
         getattr(self.model, "_resize_cache", lambda _: None)(0)
@@ -62,6 +64,11 @@ class PieceEncoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.symbols = byte_symbols()
         self.kind = self._kind(spec)
+        added = spec.get("added_tokens") or []
+        self.marks = {} if special_as_text and all(x["special"] for x in added) else {x["content"]: self._bytes([x["id"]]) for x in added}
+        if self.marks and any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in added):
+            self.kind = "whole"
+        self.at_marks = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")") if self.marks else None
         self.bare, self.spaced = _Memo(self._bare), _Memo(self._spaced)
 
     @staticmethod
@@ -108,6 +115,12 @@ class PieceEncoder:
         return self._piece(piece, self.spaced, self.symbols[0x20])
 
     def packed(self, text: str) -> bytes:
+        if self.at_marks and self.kind != "whole" and self.at_marks.search(text):
+            # Marks are cut out first; what stands between two of them is a text of its own.
+            return b"".join(self.marks[x] if k % 2 else self._plain(x) for k, x in enumerate(self.at_marks.split(text)) if x)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if self.kind == "dropped":
             return b"".join(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
         if self.kind == "whole":
@@ -160,12 +173,12 @@ class PieceEncoder:
             k += 1
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """One encoder for each file and worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = PieceEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]

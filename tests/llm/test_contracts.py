@@ -30,9 +30,23 @@ def texts(spark, where):
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(Q.tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(Q.tokenizer_path(name))
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_encoder_as_the_library(name, special_as_text):
+    """Random texts of odd pieces, marks of special tokens among them, by the library itself."""
+    import random
+
+    from parcelyn.llm.tokens import PieceEncoder
+
+    t, own, rng = library(name), PieceEncoder(Q.tokenizer_path(name), special_as_text), random.Random(7)
+    t.encode_special_tokens = special_as_text
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", " ", "  ", "\n", "\n\n", "\t", "\u00a0", "word", "Don't", "é", "日本語", "12", "...", "#", "e\u0301", "😀", "a.b"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(own.packed(text), own.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def crc(ids):
