@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import fresh_path, release, remove, written
+from ..storage import fresh_path, n_written, release, remove, written
 
 #: Most bytes that Spark hands to a Python worker in one Arrow batch, so that very long texts don't pile up.
 ARROW_BYTES = 4 << 20
@@ -32,4 +32,4 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-__all__ = ["ARROW_BYTES", "bounded_batches", "documents", "fresh_name", "fresh_path", "quoted", "release", "remove", "written"]
+__all__ = ["ARROW_BYTES", "bounded_batches", "documents", "fresh_name", "fresh_path", "n_written", "quoted", "release", "remove", "written"]

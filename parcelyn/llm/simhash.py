@@ -19,16 +19,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, spread_join
 from .common import bounded_batches, written
+from .linking import minors_against_all
 
 SEGMENTS = (22, 21, 21)
 #: Fixed value: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the [23, 12, 7] code.
 GOLAY = 0b101011100011
 #: Distance at which fingerprints link, and the most that the keys cover.
 DISTANCE = 4
-#: Candidates of a key that one task compares at a time; larger sets go through pairs of such chunks.
-CHUNK = 4096
+#: Candidates of a key that one task compares at a time; larger sets are cut into such chunks, each of which is compared
+#: together with the first PIVOTS candidates.
+CHUNK, PIVOTS = 4096, 64
+#: Classes without a doc_id are numbered around this; doc_ids lie below all of these.
+NO_ID = 3 << 61
 #: Up to so many candidates of a key are compared by shifting the sorted rows against themselves.
 SHORT = 12
 
@@ -93,6 +97,15 @@ def keys_of(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(index)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        bits = np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones += bits.sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """Majority of XXH64 (seed 42) over shingles of `shingle` words, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest
@@ -105,12 +118,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     first = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
     spans = zip(first[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    n, ones = len(words) - k + 1, np.zeros(64, np.int64)
+    n = len(words) - k + 1
     hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-    for at in range(0, n, 65_536):
-        bits = np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -184,8 +194,8 @@ def _as_batch(pairs: list, parts: list):
 def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), enough of them to reach whatever all links reach.
 
-    A task holds at most CHUNK rows and a batch of one key. A key with more candidates is handed on in chunks, every
-    pair of which is then compared in a group of its own, so no key meets in one task.
+    A task holds at most CHUNK rows and a batch of one key. A key with more candidates is cut into chunks; those of its
+    candidates that the chunks leave outside its largest component are then compared with all chunks.
     """
     if distance > DISTANCE:
         raise ValueError(f"the keys find at most {DISTANCE} differing bits")
@@ -203,7 +213,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 yield pa.record_batch([pa.array(key), pa.array(fps[at : at + 1024][who].view(np.int64))], ["key", "fp"])
 
     def compare(batches):
-        k, f, large, seen, found = np.zeros(0, np.int64), np.zeros(0, np.uint64), None, 0, []
+        k, f, large, seen, found, pivots = np.zeros(0, np.int64), np.zeros(0, np.uint64), None, 0, [], None
         for batch in batches:
             k = np.concatenate([k, batch.column(0).to_numpy()])
             f = np.concatenate([f, batch.column(1).to_numpy().view(np.uint64)])
@@ -211,14 +221,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
             if large is not None:
                 m = int(np.searchsorted(k, large, "right"))
                 parts.append((k[:m], f[:m], (seen + np.arange(m)) // CHUNK))
+                found.extend(near(pivots, f[:m]))
                 k, f, seen = k[m:], f[m:], seen + m
             if len(k):
                 large, open_run = None, int(np.searchsorted(k, k[-1]))
                 found.extend(_links_of_runs(k[:open_run], f[:open_run], distance))
                 k, f = k[open_run:], f[open_run:]
                 if len(k) > CHUNK:
-                    large, seen = k[0], len(k)
+                    large, seen, pivots = k[0], len(k), f[:PIVOTS]
                     parts.append((k, f, np.arange(len(k)) // CHUNK))
+                    found.extend(near(pivots, f))
                     k, f = k[:0], f[:0]
             if parts or sum(len(p[0]) for p in found) > 1 << 17:
                 found = _unique(found)
@@ -227,21 +239,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
                     found = []
         yield _as_batch(_unique([*found, *_links_of_runs(k, f, distance)]), [])
 
+    def near(pivots: np.ndarray, fps: np.ndarray) -> list:
+        out = []
+        for at in range(0, len(fps), CHUNK):
+            out.extend(_forest(np.unique(np.concatenate([pivots, fps[at : at + CHUNK]])), distance))
+        return out
+
     def across(table):
         import pyarrow as pa
 
-        fps = np.unique(table.column("b").to_numpy()).view(np.uint64)
-        batch = _as_batch(_unique(_forest(fps, distance)), [])
+        minor = table.column("minor").to_numpy()
+        fps, root = table.column("node").to_numpy().view(np.uint64), table.column("root").to_numpy()
+        pairs, all_fps, all_roots = [], fps[~minor], root[~minor]
+        for x, own in zip(fps[minor], root[minor], strict=True):
+            hit = np.flatnonzero((np.bitwise_count(all_fps ^ x) <= distance) & (all_roots != own))
+            _, first = np.unique(all_roots[hit], return_index=True)
+            pairs.append((np.full(len(first), x, np.uint64), all_fps[hit[first]]))
+        batch = _as_batch(_unique(pairs), [])
         return pa.Table.from_batches([batch.select(["a", "b"])])
 
     # A fingerprint becomes some 180 rows, so its few bytes are dealt evenly first.
     rows = distinct.select("fp").repartition(n).mapInArrow(emit, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
     first = written(rows.mapInArrow(compare, "a long, b long, chunk int"), "links")
     direct, parts = first.where("chunk IS NULL").select("a", "b"), first.where("chunk IS NOT NULL")
-    sizes = parts.groupBy("a").agg(F.max("chunk").alias("most"))
-    paired = parts.join(sizes, "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most"))))
-    paired = paired.select("a", "b", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return direct.union(paired.groupBy("a", "i", "j").applyInArrow(across, "a long, b long"))
+    if parts.isEmpty():
+        return direct
+    members = parts.select(F.col("a").alias("key"), F.col("b").alias("node"), "chunk")
+    left = minors_against_all(members, components(direct), CHUNK)
+    return direct.union(left.groupBy("key", "i", "j").applyInArrow(across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE) -> DataFrame:
@@ -252,10 +277,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE)
     of such rows alone has a null id; an empty table gives an empty result; other columns are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), distance))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "classes")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    # A class is known by its least doc_id, so that a component's root is its result; classes without one come last.
+    node = F.coalesce("least", F.lit(NO_ID).cast("long") + F.shiftright("fp", 2))
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")).select("fp", node.alias("node"), "held")
+    classes = written(classes, "classes")
+    a, b = (classes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
+    pairs = links(classes.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    rooted = classes.join(components(pairs), "node", "left").select("fp", "held", F.coalesce("root", "node").alias("root"))
+    joined = spread_join(marked, written(rooted, "rooted"), "fp", "held", "doc_id")
+    return joined.select("doc_id", "fp", F.when(F.col("root") < NO_ID - (1 << 61), F.col("root")).alias("component_id"))

@@ -18,7 +18,7 @@ import numpy as np
 #: ASCII characters that are neither letters, digits nor white space.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A memo starts anew at so many entries (about 200 bytes each).
-MEMO_ENTRIES = 900_000
+MEMO_ENTRIES = 500_000
 LITTLE = sys.byteorder == "little"
 #: Longer pieces aren't kept.
 MEMO_PIECE = 40
