@@ -41,10 +41,20 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that written() made in this process; frames over them can't be read any more."""
-    while _written:
-        remove(spark, _written.pop())
+def n_written() -> int:
+    """How many tables of written() this process has now; the last is the latest."""
+    return len(_written)
+
+
+def release(spark: SparkSession, first: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that written() made in this process from number `first` on, perhaps but for the latest.
+
+    Frames over deleted tables can't be read any more.
+    """
+    kept = _written[-1:] if keep_last else []
+    for path in _written[first : len(_written) - len(kept)]:
+        remove(spark, path)
+    _written[first:] = kept
 
 
 def replace_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
