@@ -184,3 +184,50 @@ def learning_features(x) -> dict[str, Column]:
         "same_calc_area": same("area"),
         "same_category_canonical": category.cast("double"),
     }
+
+
+#: Pairs of sites whose one-hot columns the model knows, by the sites' names in order of the alphabet.
+SOURCE_PAIRS = {
+    "src_gl_greek": ("glrealestate.gr", "greekexclusiveproperties.com"),
+    "src_gl_real": ("glrealestate.gr", "realestatecenter.gr"),
+    "src_greek_real": ("greekexclusiveproperties.com", "realestatecenter.gr"),
+}
+
+
+def tri_state(match: Column) -> Column:
+    """1 where a comparison holds, 0 where it doesn't, -1 where it is unknown."""
+    return F.coalesce(match.cast("int"), F.lit(-1))
+
+
+def model_features(x) -> dict[str, Column]:
+    """The 14 features of the pair model, in fixed order; x(side, name) gives a column. NaN where a measure is missing.
+
+    Unlike learning_features, a place or number of bedrooms that one side lacks is unknown (-1), not different.
+    """
+
+    def both(name: str) -> tuple[Column, Column]:
+        return x("a", name), x("b", name)
+
+    def measure(c: Column) -> Column:
+        return F.coalesce(c.cast("double"), F.lit(float("nan")))
+
+    def state(name: str) -> Column:
+        a, b = both(name)
+        return tri_state(a == b)
+
+    first, second = F.least(*both("source_domain")), F.greatest(*both("source_domain"))
+    photos = [F.filter(F.coalesce(p, F.array().cast("array<string>")), lambda h: h.isNotNull() & (h != "")) for p in both("photos")]
+    out = {
+        "cosine_sim": measure(cosine(*both("embedding"))),
+        "gps_distance_m": measure(distance_m(x("a", "lat"), x("a", "lng"), x("b", "lat"), x("b", "lng"))),
+        "year_diff": measure(F.abs(x("a", "year_built") - x("b", "year_built"))),
+        "price_diff_pct": measure(relative_difference(*both("price"))),
+        "size_diff_pct": measure(relative_difference(*both("size_sqm"))),
+        "shared_phash_count": shared_photos(*photos).cast("double"),
+        "same_canonical_category": (canonical_category(x("a", "category")) == canonical_category(x("b", "category"))).cast("int"),
+        "bedrooms_match_state": state("bedrooms"),
+        "same_municipality_state": state("municipality"),
+        "same_calc_area_state": state("area"),
+    }
+    out |= {name: ((first == a) & (second == b)).cast("int") for name, (a, b) in SOURCE_PAIRS.items()}
+    return out | {"src_same_source": (first == second).cast("int")}

@@ -186,6 +186,19 @@ def materialised(members: DataFrame, duplicates: DataFrame) -> DataFrame:
     return x.select("root", "cluster_id", "member_count", F.when(F.col("cluster_id").isNull(), F.col("mean")).alias("ai_score"))
 
 
+def pending_clusters(made: DataFrame, members: DataFrame, now: Column, version: str = "2") -> tuple[DataFrame, DataFrame]:
+    """(clusters, junction) rows of new clusters: made has root, member_count, ai_score and no cluster yet.
+
+    A cluster's id comes from its members. Junction rows are (cluster_id, property_id), each once.
+    """
+    own = members.join(made.where("cluster_id IS NULL").select("root", "member_count", "ai_score"), "root")
+    ids = own.groupBy("root", "member_count", "ai_score").agg(cluster_id(F.collect_set("property_id")).alias("id"))
+    note = F.concat(F.lit("engine: created at "), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))
+    clusters = ids.select("id", F.lit("PENDING").alias("status"), "member_count", "ai_score", F.lit(None).cast("int").alias("phash_matches"), note.alias("notes"), F.lit(version).alias("engine_version"), now.alias("created_at"))
+    junction = members.select("root", "property_id").join(ids.select("root", F.col("id").alias("cluster_id")), "root").select("cluster_id", "property_id").distinct()
+    return clusters, junction
+
+
 def new_flags(flags: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("cluster_id", "pair_a_id", "pair_b_id", "flag_type")) -> DataFrame:
     """Flags that aren't there yet."""
     return flags.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import matching as M
+from ..storage import written
 
 
 def block_pairs(listings: DataFrame, salts: int = 1) -> DataFrame:
@@ -76,11 +77,18 @@ def _band(x: Column, tolerance: float) -> Column:
     return F.when(x > 0, F.floor(F.log(x.cast("double")) / -math.log(1 - tolerance)).cast("int"))
 
 
+def against_all(queries: DataFrame, rows: DataFrame, by: str, parts: int = 32) -> DataFrame:
+    """Each query with every row, in blocks: rows are dealt over parts by a hash, and the few queries go to all of them."""
+    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    sent = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return sent.join(dealt, "_block").drop("_block")
+
+
 def tolerant_join(a: DataFrame, b: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs of rows a_* and b_* of different sources, a_id < b_id, whose prices and sizes are within tolerance or missing.
 
-    A band join: known values meet by their band and its neighbours, so only rows that lack a value in both dimensions
-    are compared with rows whatever these hold.
+    A band join: known values meet by their band and its neighbours. A missing value rules nothing out, so a row without
+    price and size is a query against all rows, and so is one that lacks the price against those that lack the size.
     """
     a = a.withColumns({"a_pb": _band(F.col("a_price"), config.price_tolerance), "a_sb": _band(F.col("a_size_sqm"), config.size_tolerance)})
     b = b.withColumns({"b_pb": _band(F.col("b_price"), config.price_tolerance), "b_sb": _band(F.col("b_size_sqm"), config.size_tolerance)})
@@ -91,7 +99,10 @@ def tolerant_join(a: DataFrame, b: DataFrame, config: Config = DEFAULT) -> DataF
         a.join(by_price.where("b_sb IS NOT NULL").withColumn("sb", near("b_sb")), (F.col("a_pb") == F.col("pb")) & (F.col("a_sb") == F.col("sb"))).drop("pb", "sb"),
         a.join(by_size, F.col("a_sb") == F.col("sb")).where(no_price).drop("sb"),
         a.join(by_price, F.col("a_pb") == F.col("pb")).where(no_size).drop("pb"),
-        a.join(b, F.expr(f"{no_price} AND {no_size} AND a_id < b_id")),
+        against_all(a.where("a_pb IS NULL AND a_sb IS NULL"), b, "b_id"),
+        against_all(b.where("b_pb IS NULL AND b_sb IS NULL"), a.where("a_pb IS NOT NULL OR a_sb IS NOT NULL"), "a_id"),
+        against_all(a.where("a_pb IS NULL AND a_sb IS NOT NULL"), b.where("b_pb IS NOT NULL AND b_sb IS NULL"), "b_id"),
+        against_all(a.where("a_pb IS NOT NULL AND a_sb IS NULL"), b.where("b_pb IS NULL AND b_sb IS NOT NULL"), "b_id"),
     ]
     pairs = joined[0]
     for j in joined[1:]:
@@ -122,21 +133,35 @@ def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -
 def nearest_area(points: DataFrame, areas: DataFrame, degrees: float = 0.25, spherical: bool = False) -> DataFrame:
     """(id, area_id, distance) of the nearest area by planar distance in degrees (or metres); of equals the least id.
 
-    Points and areas meet in cells of a grid: an area is found in its own cell and the eight around it, and a point with
-    no area there, or a nearest one farther than a cell, is compared with all areas. `areas` is reference data of a
-    size that the caller vouches for.
+    Points and areas meet in cells of a grid: an area is found in its own cell and the eight around it. A point whose
+    nearest area there isn't surely the nearest of all goes on to a grid of cells four times as wide, until one cell
+    holds the globe, so only points far from all areas are ever compared with many.
     """
-    cell = lambda c: F.floor(c / degrees).cast("long")
     own = areas.where("lat IS NOT NULL AND lng IS NOT NULL").select("area_id", F.col("lat").alias("area_lat"), F.col("lng").alias("area_lng"))
-    around = own.withColumn("dx", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    around = around.withColumn("cx", cell(F.col("area_lat")) + F.col("dx")).withColumn("cy", cell(F.col("area_lng")) + F.col("dy")).drop("dx", "dy")
-    spots = points.where("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng", cell(F.col("lat")).alias("cx"), cell(F.col("lng")).alias("cy"))
+    if spherical:
+        own = own.withColumn("area_lng", F.explode(F.array(F.col("area_lng") - 360, F.col("area_lng"), F.col("area_lng") + 360)))
     planar = F.sqrt(F.pow(F.col("lat") - F.col("area_lat"), 2) + F.pow(F.col("lng") - F.col("area_lng"), 2))
-    metres = M.distance_m(F.col("lat"), F.col("lng"), F.col("area_lat"), F.col("area_lng"))
-    shown = metres if spherical else planar
-    best = F.min(F.struct(shown.alias("distance"), planar.alias("planar"), "area_id")).alias("best")
-    near = spots.join(around, ["cx", "cy"]).groupBy("id").agg(best).where(F.col("best.planar") <= degrees) if not spherical else None
-    if near is None:
-        return spots.join(F.broadcast(own)).groupBy("id").agg(best).select("id", "best.area_id", "best.distance")
-    rest = spots.join(near, "id", "left_anti").join(F.broadcast(own)).groupBy("id").agg(best)
-    return near.union(rest).select("id", "best.area_id", "best.distance")
+    shown = M.distance_m(F.col("lat"), F.col("lng"), F.col("area_lat"), F.col("area_lng")) if spherical else planar
+    left, done = points.where("lat IS NOT NULL AND lng IS NOT NULL").select("id", "lat", "lng"), []
+    while True:
+        whole = degrees > 720
+        cell = lambda c, d=degrees: F.floor(c / d).cast("long")
+        steps = F.array(*map(F.lit, (-1, 0, 1)))
+        around = own.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
+        around = around.select("area_id", "area_lat", "area_lng", (cell(F.col("area_lat")) + F.col("dx")).alias("cx"), (cell(F.col("area_lng")) + F.col("dy")).alias("cy"))
+        best = F.min(F.struct(shown.alias("distance"), planar.alias("planar"), "area_id")).alias("best")
+        found = left.withColumns({"cx": cell(F.col("lat")), "cy": cell(F.col("lng"))}).join(around, ["cx", "cy"]).groupBy("id", "lat", "lng").agg(best)
+        # No area outside the nine cells is nearer than this.
+        sure = F.asin(F.sin(F.radians(F.lit(min(degrees, 90.0)))) * F.cos(F.radians("lat"))) * M.EARTH_M if spherical else F.lit(degrees)
+        found = written(found if whole else found.where(F.col("best.distance") <= sure), "nearest")
+        done.append(found)
+        if whole:
+            break
+        left = written(left.join(found.select("id"), "id", "left_anti"), "unplaced")
+        if left.isEmpty():
+            break
+        degrees *= 4
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out.select("id", "best.area_id", "best.distance")

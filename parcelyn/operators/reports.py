@@ -137,14 +137,54 @@ def agent_report(agents: DataFrame, tokens: DataFrame, devices: DataFrame) -> Da
     return x.withColumns({"tokens_used": F.coalesce("tokens_used", F.lit(0)), "devices": F.coalesce("devices", F.lit(0))})
 
 
+#: Marks a text file as UTF-8 for spreadsheet programs.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_agents(report: DataFrame, path: str) -> None:
-    report.write.option("sep", ";").option("header", True).csv(path)
+    """Rows behind a header, with semicolons; every file begins with a byte order mark in its first column's name."""
+    first, *rest = report.columns
+    report.select(F.col(first).alias(BYTE_ORDER_MARK + first), *rest).write.option("sep", ";").option("header", True).csv(path)
 
 
 def valid_tokens(tokens: DataFrame, agents: DataFrame, now: Column) -> DataFrame:
     return tokens.where(~F.col("used") & (F.col("expires_at") > now)).join(agents.where("is_active").select("agent_id"), "agent_id", "left_semi")
 
 
+def of_day(listings: DataFrame, day: Column) -> DataFrame:
+    """Listings made or changed on a day, dearest first; those without a price come before all others."""
+    hit = (F.to_date("created_at") == day) | (F.to_date("updated_at") == day)
+    return listings.where(F.coalesce(hit, F.lit(False))).orderBy(F.col("price").desc_nulls_first(), "id")
+
+
+def domain_totals(domains: DataFrame) -> DataFrame:
+    """One row over all domains (status and counts): domains by status and the sums of what was found."""
+    status = F.col("status")
+    sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("listings_found", "new_count", "delisted_count", "revived_count", "price_changed")}
+    counts = {"ok": F.count_if(status == "OK"), "warning": F.count_if(status == "WARNING"), "critical": F.count_if(status.isin("CRITICAL", "CLOUDFLARE"))}
+    return domains.agg(*(c.cast("long").alias(k) for k, c in (counts | sums).items()))
+
+
+def refresh_summary(outcomes: DataFrame) -> DataFrame:
+    """Counters over refreshed listings: ok, new_images, extras_added, fields_patched (arrays) and n_media before.
+
+    What a failed listing reports counts for nothing but its error.
+    """
+    ok, none = F.col("ok"), F.col("n_media") == 0
+    size = lambda c: F.coalesce(F.sum(F.when(ok, F.greatest(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))), F.lit(0)))), F.lit(0))
+    counters = {
+        "total": F.count("*"),
+        "ok": F.count_if(ok),
+        "errors": F.count_if(~ok),
+        "new_images_total": F.coalesce(F.sum(F.when(ok, F.col("new_images"))), F.lit(0)),
+        "extras_added_total": size("extras_added"),
+        "had_zero_media": F.count_if(ok & none),
+        "rescued_from_zero": F.count_if(ok & none & (F.col("new_images") > 0)),
+        "columns_patched_total": size("fields_patched"),
+    }
+    return outcomes.agg(*(c.cast("long").alias(k) for k, c in counters.items()))
+
+
 def due_reports(listings: DataFrame) -> DataFrame:
     return listings.where(F.col("status").isin("NEW", "PRICE_CHANGED"))
 

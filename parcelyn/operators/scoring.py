@@ -162,6 +162,22 @@ def cached(pairs: DataFrame, cache: DataFrame, version: str, now: Column) -> tup
     return hits, x.where(~valid).select(*pairs.columns)
 
 
+def predictions(scored: DataFrame, now: Column) -> DataFrame:
+    """Rows for the history of predictions, one a pair: append them; a pair has a row for every run."""
+    key = M.pair_key(F.col("a_id"), F.col("b_id"))
+    cost = F.col("cost_usd") if "cost_usd" in scored.columns else F.lit(0.0)
+    return scored.select(key.alias("pair_key"), "a_id", "b_id", "verdict", "confidence", F.nullif("reasoning", F.lit("")).alias("reasoning"), F.col("tier").alias("tier_emitted"), cost.cast("double").alias("cost_usd"), now.alias("scored_at")).dropDuplicates(["pair_key"])
+
+
+def run_counters(scored: DataFrame, hits: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row over a run: pairs by tier, uncertain ones, and those that were cached, skipped or failed."""
+    tier = F.col("tier")
+    own = scored.agg(*(F.count_if(tier == k).alias(f"tier_{k}") for k in range(4)), F.count_if(F.col("verdict") == UNCERTAIN).alias("uncertain"))
+    for name, rows in (("cached", hits), ("skipped", skipped), ("errors", errors)):
+        own = own.join(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return own
+
+
 def dedup_report(scored: DataFrame) -> DataFrame:
     """Pairs by tier and verdict."""
     return scored.groupBy("tier", "verdict").agg(F.count("*").alias("n_pairs"))

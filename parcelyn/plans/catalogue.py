@@ -48,7 +48,7 @@ def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def blocked(spark: SparkSession, sf: str) -> DataFrame:
     own = listings(spark, sf).withColumn("norm", M.norm(F.col("embedding")))
-    return P.hydrate(P.block_pairs(own), own, [*PAIR_COLUMNS, "norm"]).withColumn("has_feedback", F.lit(False))
+    return P.hydrate(P.block_pairs(own, salts=4), own, [*PAIR_COLUMNS, "norm"]).withColumn("has_feedback", F.lit(False))
 
 
 def cosine_of_pair() -> Column:
@@ -588,7 +588,7 @@ def cost_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {OBSERVED_SQL}, h AS (SELECT id, strftime(seen_at, '%Y-%m-%d') || ': ' || old_price || ' -> ' || price AS line FROM (SELECT *, lag(price) OVER (PARTITION BY id ORDER BY seen_at, price) AS old_price FROM observed) WHERE old_price IS NOT NULL AND price <> old_price AND id % 20 = 0)
+    f"""WITH {OBSERVED_SQL}, h AS (SELECT id, strftime(seen_at, '%Y-%m-%d') || ': ' || old_price || ' -> ' || price AS line FROM (SELECT *, lag(price) OVER (PARTITION BY id ORDER BY seen_at, price) AS old_price FROM observed) WHERE old_price IS NOT NULL AND price <> old_price)
     SELECT p_partkey AS id, n_photos, n_changes FROM part JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_photos FROM lineitem GROUP BY 1) ON l_partkey = p_partkey JOIN (SELECT id, count(DISTINCT line) AS n_changes FROM h GROUP BY 1) x ON x.id = p_partkey"""
 )
 def price_history_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -715,4 +715,4 @@ def stream_promotions(spark: SparkSession, sf: str) -> DataFrame:
     return streamed(spark, attempts(spark, sf).coalesce(1), jobs.promotions, "append")
 
 
-from . import more  # noqa: E402, F401 - registers further queries
+from . import further, more  # noqa: E402, F401 - register further queries

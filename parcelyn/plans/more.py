@@ -143,8 +143,8 @@ def bridge_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 AND c_custkey < 500 THEN 'APPROVED' WHEN c_custkey % 10 = 5 AND c_custkey < 500 THEN 'PENDING' WHEN c_custkey % 2 = 0 THEN 'PENDING' ELSE 'APPROVED' END AS status,
-    CASE WHEN c_custkey % 10 = 0 AND c_custkey < 500 THEN true WHEN c_custkey % 10 = 5 AND c_custkey < 500 THEN false ELSE c_custkey % 2 = 1 END AS locked FROM customer"""
+    """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'APPROVED' WHEN c_custkey % 10 = 5 THEN 'PENDING' WHEN c_custkey % 2 = 0 THEN 'PENDING' ELSE 'APPROVED' END AS status,
+    CASE WHEN c_custkey % 10 = 0 THEN true WHEN c_custkey % 10 = 5 THEN false ELSE c_custkey % 2 = 1 END AS locked FROM customer"""
 )
 def bulk_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     k, c = F.col("c_custkey"), table(spark, sf, "customer")

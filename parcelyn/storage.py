@@ -70,6 +70,30 @@ def replace_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
     files.delete(old, True)
 
 
+def deltas(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(name, before, after, delta): rows of each table before and after a change, for a look before it is made."""
+    one = lambda tables, column: [df.agg(F.count("*").alias(column)).select(F.lit(name).alias("name"), column) for name, df in tables.items()]
+    old, new = (_union(one(t, c)) for t, c in ((before, "before"), (after, "after")))
+    x = old.join(new, "name", "full_outer").select("name", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+    return x.withColumn("delta", F.col("after") - F.col("before"))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def changed(spark: SparkSession, paths: dict[str, str], after: dict[str, DataFrame], dry_run: bool = True) -> DataFrame:
+    """deltas() of tables at `paths` against their new states, which are written only if this is no dry run."""
+    report = written(deltas({k: spark.read.parquet(paths[k]) for k in after}, after), "deltas")
+    if not dry_run:
+        for name, rows in after.items():
+            replace_table(spark, rows, paths[name])
+    return report
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], protected: tuple[str, ...] = ()) -> DataFrame:
     """old with new merged in by keys: a non-null new value wins unless its column is protected; new keys are added.
 
