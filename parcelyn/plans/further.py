@@ -306,6 +306,65 @@ def flat_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("doc_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("flat"))
 
 
+# --- the ten sites ---------------------------------------------------------------------------------------------------
+
+
+def _items(*pairs: tuple[str, str], start: str, middle: str, end: str) -> str:
+    return "".join(f"{start}{label}{middle}{value}{end}" for label, value in pairs)
+
+
+_KF = dict(start="<li>", middle=": ", end="</li>")
+#: A listing in the markup of each site. %1: price, %2: size, %3: land, %4: bedrooms, %5: bathrooms, %6: year, %7: part's name.
+SITE_PAGES = {
+    "glrealestate.gr": '<ul class="kf_property_detail_Essentail">' + _items(("Price", "%1$s€"), ("Size", "%2$s m²"), ("Land area", "%3$s m²"), ("Bedrooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year of Construction", "%6$s"), ("Area", "Nikiti"), ("Kitchens", "2"), ("Furnished", "Yes"), ("Type", "For Sale"), **_KF) + '<li>Pool</li></ul><div class="kf_property_detail_uptwon">%7$s</div>',
+    "realestatecenter.gr": _items(("Price", "€ %1$s"), ("Size", "%2$s sqm"), ("Plot", "%3$s sqm"), ("Bedrooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year built", "%6$s"), start='<div class="spec"><h3>', middle="</h3><p>", end="</p></div>") + '<div class="accordion-content"><ul><li>Pool</li></ul></div><span class="full-desc">%7$s</span>',
+    "greekexclusiveproperties.com": '<h5 class="price">%1$s €</h5><span class="property-meta-size">%2$s m2</span><span class="property-meta-lot-size">%3$s m2</span><span class="property-meta-bedrooms">%4$s Bedrooms</span><span class="property-meta-bath">%5$s Baths</span><address class="title">Hanioti, Halkidiki</address><div class="detail">Year built: %6$s</div><div class="detail">Furnished: Yes</div><li class="feature">Pool</li><div class="property-description">%7$s</div>',
+    "sousouras-realestate.gr": '<span class="price">%1$s €</span><span class="area">%2$s m²</span><table class="info-table">' + _items(("Rooms", "%4$s"), ("Bathrooms", "%5$s"), ("Construction year", "%6$s"), ("Plot size", "%3$s m²"), ("Neighborhood", "Nikiti"), ("Kitchens", "2"), start="<tr><th>", middle="</th><td>", end="</td></tr>") + '</table><ul class="property-amenities"><li>Pool</li></ul><div class="property-content">%7$s</div>',
+    "sithoniarental-sales.gr": '<ul class="kf_property_detail_Essentail">' + _items(("Price", "%1$s€"), ("Area", "%2$s m²"), ("Land", "%3$s m²"), ("Bedrooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year built", "%6$s"), ("Neighborhood", "Nikiti"), ("Kitchens", "2"), ("Furnished", "Yes"), **_KF) + '<li>Pool</li></ul><div class="kf_property_detail_uptwon">%7$s</div>',
+    "halkidikiestate.com": '<div class="property-price"><span>%1$s €</span></div><div class="property-title"><span>Sarti</span></div><ul class="information-list">' + _items(("Area", "%2$s m²"), ("Plot area", "%3$s m²"), ("Rooms", "%4$s"), ("Bathroom", "%5$s"), ("Year of manufacture", "%6$s"), ("Kitchen", "2"), ("Code", "x1"), **_KF) + '<li>Pool</li></ul><div id="property-desc">%7$s</div>',
+    "engelvoelkers.com": '<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"dehydratedState":{"queries":[{"queryKey":["other"],"state":{}},{"queryKey":["listing",{}],"state":{"data":{"listing":{"price":{"salesPrice":%1$s},"area":{"livingSurface":%2$s,"plotSurface":%3$s},"bedrooms":{"min":%4$s,"max":9},"bathrooms":{"min":%5$s},"constructionYear":%6$s,"profile":{"description":"%7$s"}}}}}]}}}}</script>',
+    "halkidikirealestate.com": '<div class="propertyPrice">€%1$s</div>' + _items(("Size", "%2$s m²"), ("Plot", "%3$s m²"), ("Bedrooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year built", "%6$s"), ("Area", "Nikiti"), ("Sea", "1.5 km"), ("Furnished", "Yes"), start='<div class="detailsToProperty"><div class="row"><div><span>', middle="</span></div><div>", end="</div></div></div>") + '<div class="indexTitle">%7$s</div>',
+    "ellasestate.com": '<script type="application/ld+json">{"@type":"RealEstateListing","offers":{"price":"%1$s"},"description":"%7$s","address":{"streetAddress":"Gerakini"}}</script>' + _items(("Area size", "%2$s sqm"), ("Plot size", "%3$s sqm"), ("Bedrooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year built", "%6$s"), start='<div class="rh_ultra_prop_card__meta"><span class="rh-ultra-meta-label">', middle='</span><span class="figure">', end="</span></div>") + '<div class="rh_property__features_wrap"><a>Pool</a></div>',
+    "grekodom.com": '<div class="property-pricing"><div class="property-price">€ %1$s</div></div><ul class="property-main-features">' + _items(("Size", "%2$s"), ("Land area", "%3$s"), ("Rooms", "%4$s"), ("Bathrooms", "%5$s"), ("Year built", "%6$s"), ("Floors", "2"), ("Furniture", "Yes"), ("Sq. meters", "7"), **_KF) + '</ul><div class="property-description">%7$s</div>',
+}
+#: What else each site's page holds: (area, municipality, notes, features).
+SITE_EXTRAS = {
+    "glrealestate.gr": ("Nikiti", None, "kitchens_count=2", "furnished=true,pool=true"),
+    "realestatecenter.gr": (None, None, "", "pool=true"),
+    "greekexclusiveproperties.com": (None, "Kassandra", "", "furnished=true,pool=true"),
+    "sousouras-realestate.gr": ("Nikiti", None, "kitchens_count=2", "pool=true"),
+    "sithoniarental-sales.gr": ("Nikiti", None, "kitchens_count=2", "furnished=true,pool=true"),
+    "halkidikiestate.com": (None, "Sithonia", "kitchen_count=2", "pool=true"),
+    "engelvoelkers.com": (None, None, "", ""),
+    "halkidikirealestate.com": ("Nikiti", None, "distance_from_sea_m=1500", "furnished=true"),
+    "ellasestate.com": (None, "Polygyros", "", "pool=true"),
+    "grekodom.com": (None, None, "floors_total=2", "furnished=true"),
+}
+_EXTRAS_SQL = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in (domain, *extras)) + ")" for domain, extras in SITE_EXTRAS.items())
+
+
+@query(
+    f"""SELECT 'http://' || domain || '/property/' || p_partkey AS url, p_partkey::VARCHAR AS site_property_id, domain AS source_domain, (100000 + p_partkey * 7)::BIGINT AS price, (80 + p_partkey % 100)::DOUBLE AS size_sqm, (500 + p_partkey % 400)::DOUBLE AS land_size_sqm,
+    (1 + p_partkey % 6)::INTEGER AS bedrooms, (1 + p_partkey % 3)::INTEGER AS bathrooms, (1950 + p_partkey % 70)::INTEGER AS year_built, area, municipality, p_name AS description, notes, features FROM part CROSS JOIN (VALUES {_EXTRAS_SQL}) e(domain, area, municipality, notes, features)"""
+)
+def parsed_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings out of pages in the markup of all ten sites."""
+    from ..sources import html
+
+    k, part, out = F.col("p_partkey"), table(spark, sf, "part"), None
+    values = [100000 + k * 7, 80 + k % 100, 500 + k % 400, 1 + k % 6, 1 + k % 3, 1950 + k % 70]
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    for domain, page in SITE_PAGES.items():
+        url = F.concat(F.lit(f"http://{domain}/property/"), k.cast("string"))
+        pages = part.select(url.alias("url"), F.format_string(page, *(v.cast("string") for v in values), F.col("p_name")).alias("html"))
+        spec = html.SITES[domain]
+        x = html.routed(html.parse_pages(pages, spec), spec)
+        columns = ["url", "site_property_id", "source_domain", F.col("price").cast("long").alias("price"), "size_sqm", "land_size_sqm", "bedrooms", "bathrooms", "year_built", "area", "municipality", "description"]
+        x = x.select(*columns, shown("notes").alias("notes"), shown("features").alias("features"))
+        out = x if out is None else out.union(x)
+    return out
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
