@@ -682,18 +682,34 @@ def report_texts(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def streamed(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Write rows to the shared folder, stream them through a job until all are read, and return what it gave."""
+def streamed(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], mode: str, batches: int = 1, split: Column | None = None, closing: DataFrame | None = None) -> DataFrame:
+    """Write rows to the shared folder, stream them through a job until all are read, and return what it gave.
+
+    With several batches a row goes into the one that split says; closing rows come last, alone.
+    """
     from ..storage import fresh_path
 
     path, out, log = (fresh_path(spark, k) for k in ("stream-in", "stream-out", "stream-log"))
-    rows.write.parquet(path)
-    result = job(spark.readStream.schema(rows.schema).parquet(path))
+    parts = [rows] if batches == 1 else [rows.where(split == k) for k in range(batches)]
+    for part in [*parts, *([closing] if closing is not None else [])]:
+        (part if batches == 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    source = spark.readStream.schema(rows.schema)
+    result = job((source.option("maxFilesPerTrigger", 1) if batches > 1 else source).parquet(path))
     last = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
     result.writeStream.outputMode(mode).option("checkpointLocation", log).trigger(availableNow=True).foreachBatch(last).start().awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
 
 
+def disordered(rows: DataFrame, at: str, by: str, batches: int = 4) -> dict:
+    """Settings of streamed(): rows by time, but every other one a batch late, and a closing row long after the last."""
+    seconds = F.col(at).cast("timestamp").cast("long")
+    first, last = rows.agg(F.min(seconds), F.max(seconds)).first()
+    width = max(((last or 0) - (first or 0)) // (batches - 1) + 1, 1)
+    split = F.floor((seconds - F.lit(first or 0)) / width) + F.pmod(F.xxhash64(by, at), F.lit(2))
+    closing = rows.limit(1).withColumns({at: F.timestamp_seconds(F.lit((last or 0) + 4 * width)), by: F.lit(-1).cast(rows.schema[by].dataType)})
+    return {"batches": batches, "split": split, "closing": closing, "late": f"{2 * width} seconds"}
+
+
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, (user_id % 3)::INTEGER AS stage, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS failed, round(avg(value) FILTER (event_type <> 'error'), 4) AS mean_ms FROM events GROUP BY 1, 2")
 def stream_stage_stats(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
@@ -705,14 +721,23 @@ def stream_stage_stats(spark: SparkSession, sf: str) -> DataFrame:
 def stream_price_history(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
-    return streamed(spark, observed(spark, sf).coalesce(1), jobs.price_history, "append")
+    rows = observed(spark, sf).withColumn("seen_at", F.col("seen_at").cast("timestamp"))
+    plan = disordered(rows, "seen_at", "id")
+    late = plan.pop("late")
+    return streamed(spark, rows, lambda x: jobs.price_history(x, late), "append", **plan)
 
 
-@query()
+@query(
+    """WITH b AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS n FROM b WHERE event_type <> 'error') SELECT user_id::VARCHAR AS domain, (user_id % 3)::INTEGER AS stage, ts AS created_at FROM r WHERE n = 3 AND user_id % 3 > 0"""
+)
 def stream_promotions(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import jobs
 
-    return streamed(spark, attempts(spark, sf).coalesce(1), jobs.promotions, "append")
+    rows = attempts(spark, sf)
+    plan = disordered(rows, "created_at", "domain")
+    late = plan.pop("late")
+    return streamed(spark, rows, lambda x: jobs.promotions(x, late), "append", **plan)
 
 
 from . import further, more  # noqa: E402, F401 - register further queries

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,56 +31,64 @@ def retained(attempts: DataFrame, days: int = 30) -> DataFrame:
     return attempts.withWatermark("created_at", f"{days} days").dropDuplicatesWithinWatermark(["id"])
 
 
-def promotions(attempts: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """(domain, stage, created_at) whenever a domain reaches the streak of successes at a stage above 0.
+def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, step: Callable, out: str) -> DataFrame:
+    """A fold over each key's rows in order of (at, order), whatever order and batches they come in.
 
-    The state of a domain is its current stage and streak.
+    A row waits in its key's state until the watermark has passed it, so none that comes before it can still arrive;
+    rows later than `late` are dropped. step(carry, row) gives (new carry, output row or None); carry starts as None and
+    is kept as JSON. Output rows have the schema `out`, the key first.
     """
-    need = config.promotion_streak
+    columns = [c for c in rows.columns if c != key]
 
-    def update(key, frames: Iterator, state: GroupState):
+    def update(keys, frames: Iterator, state: GroupState):
         import pandas as pd
 
-        stage, streak = state.get if state.exists else (-1, 0)
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["created_at", "id"])
-        for r in rows.itertuples():
-            if not r.success:
-                stage, streak = -1, 0
-            else:
-                streak = streak + 1 if r.stage == stage else 1
-                stage = r.stage
-                if streak == need and stage > 0:
-                    out.append((key[0], int(stage), r.created_at))
-        state.update((int(stage), int(streak)))
-        yield pd.DataFrame(out, columns=["domain", "stage", "created_at"])
+        carry, waiting = (json.loads(x) for x in state.get) if state.exists else (None, [])
+        for frame in frames:
+            for r in frame[columns].itertuples(index=False):
+                row = dict(zip(columns, r, strict=True))
+                row[at] = int(row[at].value // 1000)
+                waiting.append({c: None if isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v for c, v in row.items()})
+        mark, found = state.getCurrentWatermarkMs(), []
+        ready = sorted((r for r in waiting if r[at] // 1000 < mark), key=lambda r: (r[at], r[order]))
+        waiting = [r for r in waiting if r[at] // 1000 >= mark]
+        for r in ready:
+            carry, made = step(carry, r | {at: pd.Timestamp(r[at], unit="us")})
+            if made is not None:
+                found.append((keys[0], *made))
+        state.update((json.dumps(carry), json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(r[at] for r in waiting) // 1000, mark + 1))
+        yield pd.DataFrame(found, columns=[x.split()[0] for x in out.split(", ")])
+
+    marked = rows.withWatermark(at, late)
+    return marked.groupBy(key).applyInPandasWithState(update, out, "carry string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def promotions(attempts: DataFrame, late: str = "1 day", config: Config = DEFAULT) -> DataFrame:
+    """(domain, stage, created_at) whenever a domain reaches the streak of successes at a stage above 0, in event time."""
+    need = config.promotion_streak
 
-    return attempts.groupBy("domain").applyInPandasWithState(update, "domain string, stage int, created_at timestamp", "stage int, streak int", "append", GroupStateTimeout.NoTimeout)
+    def step(carry, r):
+        stage, streak = carry or (-1, 0)
+        if not r["success"]:
+            return (-1, 0), None
+        streak = streak + 1 if r["stage"] == stage else 1
+        stage = r["stage"]
+        return (stage, streak), (int(stage), r["created_at"]) if streak == need and stage > 0 else None
 
+    rows = attempts.select("domain", "created_at", "id", "success", "stage")
+    return in_event_time(rows, "domain", "created_at", "id", late, step, "domain string, stage int, created_at timestamp")
 
-def price_history(observations: DataFrame) -> DataFrame:
-    """(id, old_price, new_price, changed_at) as prices are observed; the state of a listing is its last price.
 
-    Within a batch a listing's rows are taken in order of time.
-    """
+def price_history(observations: DataFrame, late: str = "1 day") -> DataFrame:
+    """(id, old_price, new_price, changed_at) of prices that changed, in event time; missing prices are passed over."""
 
-    def update(key, frames: Iterator, state: GroupState):
-        import pandas as pd
+    def step(last, r):
+        return r["price"], (float(last), float(r["price"]), r["seen_at"]) if last is not None and r["price"] != last else None
 
-        last = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values(["seen_at", "price"])
-        for r in rows.itertuples():
-            if r.price is None or r.price != r.price:
-                continue
-            if last is not None and r.price != last:
-                out.append((key[0], float(last), float(r.price), r.seen_at))
-            last = float(r.price)
-        if last is not None:
-            state.update((float(last),))
-        yield pd.DataFrame(out, columns=["id", "old_price", "new_price", "changed_at"])
-
-    return observations.groupBy("id").applyInPandasWithState(update, "id long, old_price double, new_price double, changed_at timestamp", "price double", "append", GroupStateTimeout.NoTimeout)
+    rows = observations.select("id", "seen_at", "price").where("price IS NOT NULL")
+    return in_event_time(rows, "id", "seen_at", "price", late, step, "id long, old_price double, new_price double, changed_at timestamp")
 
 
 def incremental_dedup(new: DataFrame, pool: DataFrame, config: Config = DEFAULT) -> DataFrame:
