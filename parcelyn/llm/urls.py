@@ -4,6 +4,10 @@ Level 0 of the cascade encodes the listed keys. Each further level encodes the k
 far let through; the other side is the complete universe of keys. The level that stops a key tells its side, so within
 the universe membership is exact, and it is tested by arithmetic on literals: no join.
 
+Lists too long for literals are cut into shards by a hash of the key. Each shard has a cascade of its own, whose words
+are a row of a table; the distinct keys of the universe meet their shard's row, and only hosts that turn out to be listed
+meet the pages.
+
 Defined results: a null url, and one without "://", has an empty host and path and no rule; an empty host is never
 listed; repeated rows are judged each; an empty table gives an empty result; only page_id and url are read.
 """
@@ -24,8 +28,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 LISTED = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 #: Bits of a filter for each key it holds, and the bits that a key sets.
 BITS_PER_KEY, HASHES = 12, 6
-#: Largest filter in bits: a level becomes a literal of the plan, 8 MB at most.
-MOST_BITS = 1 << 26
+#: Largest filter in bits that becomes a literal of the plan (8 MB), and bits of a shard's first level beyond that.
+MOST_BITS, SHARD_BITS = 1 << 26, 1 << 22
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,14 +90,13 @@ class Cascade:
         return out
 
 
-def _filter(keys: DataFrame, level: int) -> tuple[int, str]:
+def bits_for(count: int) -> int:
+    """The least power of two that gives each key its bits."""
+    return max(64, 1 << (count * BITS_PER_KEY - 1).bit_length()) if count else 64
+
+
+def _filter(keys: DataFrame, level: int, bits: int) -> tuple[int, str]:
     """A Bloom filter of keys: each set bit is or-ed into its word before the shuffle; the words reach the driver."""
-    count = keys.count()
-    bits = 64
-    while bits < count * BITS_PER_KEY:
-        bits *= 2
-    if bits > MOST_BITS:
-        raise ValueError(f"{count} keys need a filter of {bits} bits; the bound is {MOST_BITS}")
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
     out = [0] * (bits // 64)
@@ -102,14 +105,24 @@ def _filter(keys: DataFrame, level: int) -> tuple[int, str]:
     return bits, ",".join(map(str, out))
 
 
-def cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Cascade:
-    """The cascade for the listed keys (column key) over all keys of universe (column key)."""
+def sides(listed: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct listed keys, and those of the universe that aren't listed, both written (column key)."""
     listed = written(listed.where("key IS NOT NULL").select("key").distinct(), "listed")
-    others = written(universe.where("key IS NOT NULL").select("key").distinct().join(listed, "key", "left_anti"), "others")
+    return listed, written(universe.where("key IS NOT NULL").select("key").distinct().join(listed, "key", "left_anti"), "others")
+
+
+def cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Cascade | None:
+    """The cascade for the listed keys (column key) over all keys of universe (column key).
+
+    None if a level would take more than MOST_BITS; then members() gives the same answers.
+    """
+    inside, outside = sides(listed, universe)
     levels: list[tuple[int, str]] = []
-    inside, outside = listed, others
     while len(levels) < most_levels:
-        levels.append(_filter(inside, len(levels)))
+        bits = bits_for(inside.count())
+        if bits > MOST_BITS:
+            return None
+        levels.append(_filter(inside, len(levels), bits))
         through = written(outside.where(Cascade(tuple(levels)).passes(F.col("key"), len(levels) - 1)), "through")
         if through.isEmpty():
             return Cascade(tuple(levels))
@@ -117,19 +130,68 @@ def cascade(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> Ca
     raise RuntimeError("the cascade did not end")
 
 
+def _shard_filter(keys: DataFrame, level: int, shards: int, bits: int) -> DataFrame:
+    """(shard, words): a Bloom filter for each shard of keys (key, shard), as a dense array of 64-bit words."""
+    at = keys.select("shard", F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("at"))
+    words = at.select("shard", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    none = keys.sparkSession.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bits // 64 - 1).cast("long"))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    dense = words.union(none).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    return dense.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+
+
+def members(listed: DataFrame, universe: DataFrame, most_levels: int = 64) -> DataFrame:
+    """The keys of the universe that are listed, told by sharded cascades. No level's size is bounded."""
+    shards = max(1, -(-bits_for(listed.count()) // SHARD_BITS))
+    shard = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(shards)).alias("shard")
+    inside, outside = (x.select("key", shard) for x in sides(listed, universe))
+    open_, found = written(universe.where("key IS NOT NULL").select("key").distinct().select("key", shard), "universe"), []
+    for level in range(most_levels):
+        bits = bits_for(-(-inside.count() // shards))
+        filters = written(_shard_filter(inside, level, shards, bits), "filters")
+
+        def passing(keys: DataFrame) -> DataFrame:
+            hit = F.lit(True)
+            for p in _positions(F.col("key"), level, bits):
+                hit = hit & (F.call_function("shiftrightunsigned", F.element_at("words", (F.shiftright(p, 6) + 1).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
+            return keys.join(filters, "shard").select("key", "shard", hit.alias("hit"))
+
+        # A key that this level stops is of the other side than the one it encodes.
+        tested = written(passing(open_), "tested")
+        if level % 2:
+            found.append(tested.where("NOT hit").select("key"))
+        open_ = tested.where("hit").select("key", "shard")
+        through = written(passing(outside).where("hit").select("key", "shard"), "through")
+        if through.isEmpty():
+            if level % 2 == 0:
+                found.append(open_.select("key"))
+            break
+        inside, outside = through, inside
+    else:
+        raise RuntimeError("the cascade did not end")
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, listed: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict): the longest rule's verdict, else block for listed hosts and allow for others."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     listed = listed if listed is not None else listed_hosts(spark)
-    built = cascade(listed, rows.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key")))
+    universe = rows.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("key"))
+    built = cascade(listed, universe)
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     by_rule = F.lit(None).cast("string")
     for text, verdict in rules:
         by_rule = F.when(F.col("rule") == text, F.lit(verdict)).otherwise(by_rule)
-    found = F.exists(suffixes(F.col("host")), built.holds)
-    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when(found, "block").otherwise("allow")))
+    if built is None:
+        hosts = universe.join(members(listed, universe), "key").select("host").distinct().withColumn("found", F.lit(True))
+        rows, found = rows.join(hosts, "host", "left").select("page_id", "host", "path", "found"), F.coalesce("found", F.lit(False))
+    else:
+        found = F.exists(suffixes(F.col("host")), built.holds)
+    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(by_rule, F.when(found, "block").otherwise("allow"))).select("page_id", "host", "path", "rule", "verdict")
 
 
 def listed_hosts(spark: SparkSession, hosts: Sequence[str] = LISTED) -> DataFrame:

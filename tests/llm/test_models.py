@@ -122,6 +122,20 @@ def test_cascade_is_exact(spark):
     assert wrong.isEmpty()
 
 
+def test_lists_beyond_literals(spark, monkeypatch):
+    """Sharded cascades give the very members, at several levels, and the same verdicts as literals."""
+    keys = spark.range(6000).select(F.concat(F.lit("h"), "id").alias("key"))
+    listed = keys.where("length(key) % 3 = 1").union(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
+    monkeypatch.setattr(urls, "SHARD_BITS", 1 << 12)
+    got = [r.key for r in urls.members(listed, keys.union(keys)).collect()]
+    assert sorted(got) == sorted(r.key for r in keys.where("length(key) % 3 = 1").collect())
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    due = sorted(map(tuple, urls.judge_urls(pages).collect()))
+    monkeypatch.setattr(urls, "MOST_BITS", 64)
+    assert urls.cascade(listed, keys) is None
+    assert sorted(map(tuple, urls.judge_urls(pages).collect())) == due
+
+
 def test_vote_model_without_documents():
     model = quality.estimate({})
     assert 0.5 < model.shares[0] < 1 and model.posterior((quality.ABSTAIN,) * len(quality.RULES)) == pytest.approx(model.shares[0])
