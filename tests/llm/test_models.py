@@ -214,6 +214,33 @@ def test_best_fit_under_every_constraint():
         packing.best_fit(np.array([5000]), (4096, 5, 5_000_000), (1.0, 0.5, 0.5))
 
 
+def plain_best_fit(lengths, caps, weights):
+    """Longest first, each piece into the bin with the least weighted norm of what is left in it; loops over all bins."""
+    left, bins = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        fits = [k for k, x in enumerate(left) if all(a >= n for a, n in zip(x, need, strict=True))]
+        if fits:
+            k = min(fits, key=lambda k: (sum(w * ((a - n) / c) ** 2 for w, a, n, c in zip(weights, left[k], need, caps, strict=True)), k))
+        else:
+            k = len(left)
+            left.append(list(caps))
+        left[k] = [a - n for a, n in zip(left[k], need, strict=True)]
+        bins[i] = k
+    return bins
+
+
+@pytest.mark.parametrize("caps", [(4096, 4096, 4096**2), (4096, 6, 4096**2), (4096, 4096, 3_000_000), (4096, 5, 4_000_000)])
+def test_best_fit_as_by_loops(caps):
+    rng = np.random.default_rng(3)
+    lengths = np.concatenate([rng.integers(1, 1500, 300), rng.integers(1, 40, 200)])
+    bins, _ = packing.best_fit(lengths, caps, (1.0, 0.05, 0.05))
+    due = plain_best_fit(lengths.tolist(), caps, (1.0, 0.05, 0.05))
+    assert bins.max() == max(due)
+    filled = lambda b: sorted(tuple(sorted(lengths[np.array(b) == k].tolist())) for k in range(max(b) + 1))
+    assert filled(bins.tolist()) == filled(due)
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 300_000, 700_000])
 def test_frames(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 50_000).astype(np.uint16)
