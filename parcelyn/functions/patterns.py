@@ -62,7 +62,7 @@ METRICS = {
     ],
     "buildings_count": [
         r"(?:no\.?\s+of\s+buildings?|number\s+of\s+buildings?)\s*[\s:\-=>]*\s*(\d+)",
-        r"\b(\d+)\s+buildings?\b(?!\s*area)",  # Avoid match "buildings area"
+        r"\b(\d+)\s+buildings?\b(?!\s*area)",  # not the area of buildings
     ],
     "rooms_count": [
         r"\b(\d+)\s+rooms?\s+(?:of\s+which|in\s+total|total)",
@@ -91,71 +91,71 @@ METRICS = {
 # Fixed values. Types: the most matches win, the earlier of equals.
 TYPES = {
     "Hotel/Commercial": [r"\b(?:hotels?|ξενοδοχεί[οα]|commercial|επαγγελματικός χώρος)\b"],
-    "Maisonette":       [r"\b(?:maisonettes?|μεζονέτ[αες]|mezonet[aes])\b"],
-    "Townhouse":        [r"\b(?:townhouses?|συγκρότημα(?: κατοικιών)?)\b"],
-    "Detached House":   [r"\b(?:detached houses?|μονοκατοικία|single family homes?)\b"],
-    "Apartment":        [r"\b(?:apartments?|flats?|διαμέρισμα(?:τα)?)\b"],
-    "Villa":            [r"\b(?:villas?|βίλ[αες]|βιλ[αες])\b"],
-    "Studio":           [r"\b(?:studios?|στούντιο|γκαρσονιέρα)\b"],
-    "Land/Plot":        [r"\b(?:plots?|lands?|parcels?|οικόπεδ[οα]|αγροτεμάχι[οα])\b"],
+    "Maisonette": [r"\b(?:maisonettes?|μεζονέτ[αες]|mezonet[aes])\b"],
+    "Townhouse": [r"\b(?:townhouses?|συγκρότημα(?: κατοικιών)?)\b"],
+    "Detached House": [r"\b(?:detached houses?|μονοκατοικία|single family homes?)\b"],
+    "Apartment": [r"\b(?:apartments?|flats?|διαμέρισμα(?:τα)?)\b"],
+    "Villa": [r"\b(?:villas?|βίλ[αες]|βιλ[αες])\b"],
+    "Studio": [r"\b(?:studios?|στούντιο|γκαρσονιέρα)\b"],
+    "Land/Plot": [r"\b(?:plots?|lands?|parcels?|οικόπεδ[οα]|αγροτεμάχι[οα])\b"],
 }
 
 # Fixed values. Features that a text has or not.
 FEATURES = {
-    "helipad":           [r"\b(?:helipad|heliport|helicopter landing pad|ελικοδρόμιο)\b"],
-    "private_marina":    [r"\b(?:private marina|private dock|pier|boat slip|ιδιωτική μαρίνα|μαρίνα|προβλήτα)\b"],
-    "swimming_pool":     [r"\b(?:pool|swimming pool|private pool|shared pool|πισίνα|ιδιωτική πισίνα)\b"],
-    "parking":           [r"\b(?:parking|garage|carport|πάρκινγκ|στάθμευση|γκαράζ)\b"],
-    "air_conditioning":  [r"\b(?:a/c|air condition(?:ing)?|klima|κλιματισμός|κλιματιστικό|aircon|air-conditioned)\b"],
-    "heating":           [r"\b(?:heating|central heating|underfloor heating|θέρμανση|ενδοδαπέδια|καλοριφέρ|heat pump|αντλία θερμότητας)\b"],
-    "fireplace":         [r"\b(?:fireplaces?|τζάκι(?:α)?)\b"],
-    "furnished":         [r"\b(?:fully furnished|furnished|επιπλωμένο|πλήρως επιπλωμένο)\b"],
-    "alarm_system":      [r"\b(?:alarm|security system|cctv|συναγερμός|κάμερες|σύστημα ασφαλείας)\b"],
-    "garden":            [r"\b(?:gardens?|landscaped garden|yard|κήπος|αυλή)\b"],
-    "bbq":               [r"\b(?:bbq|barbeque|barbecue|μπάρμπεκιου|ψησταριά)\b"],
-    "solar_panels":      [r"\b(?:solar(?: panels?)?|solar water heater|ηλιακός|ηλιακός θερμοσίφωνας)\b"],
-    "sea_view":          [r"\b(?:sea view|ocean view|panoramic sea view|view to the sea|view of the sea|θέα θάλασσα|απεριόριστη θέα)\b"],
-    "elevator":          [r"\b(?:elevators?|lifts?|ασανσέρ|ανελκυστήρας)\b"],
-    "storage_room":      [r"\b(?:storage(?: room)?|αποθήκη)\b"],
-    "playroom":          [r"\b(?:playrooms?|πλέιρουμ|play room)\b"],
-    "renovated":         [r"\b(?:renovated|recently renovated|refurbished|ανακαινισμένο|πλήρως ανακαινισμένο)\b"],
-    "smart_home":        [r"\b(?:smart home|έξυπνο σπίτι|home automation)\b"],
-    "gym":               [r"\b(?:gym|fitness room|γυμναστήριο)\b"],
-    "jacuzzi_sauna":     [r"\b(?:jacuzzi|sauna|hammam|τζακούζι|σάουνα|χαμάμ)\b"],
-    "mosquito_nets":     [r"\b(?:mosquito nets?|fly screens?|window screens?|σίτες?|σιτες?)\b"],
-    "awnings":           [r"\b(?:awnings?|sunshades?|τέντες?|τεντες?)\b"],
-    "security_door":     [r"\b(?:security door|armored door|πόρτα ασφαλείας|θωρακισμένη πόρτα)\b"],
-    "water_well":        [r"\b(?:water well|drilling|borehole|γεώτρηση|well\b)\b"],
-    "wine_cellar":       [r"\b(?:wine cellar|wine room|cava|κάβα|κελάρι)\b"],
-    "home_cinema":       [r"\b(?:home cinema|movie room|home theater|σινεμά|home theatre)\b"],
-    "staff_quarters":    [r"\b(?:maid's room|staff quarters|service room|staff room|δωμάτιο υπηρεσίας|δωμάτιο προσωπικού)\b"],
-    "infinity_pool":     [r"\b(?:infinity pool|overflow pool|υπερχείλιση|πισίνα υπερχείλισης)\b"],
-    "tennis_court":      [r"\b(?:tennis court|basketball court|padel court|sports court|γήπεδο τένις|γήπεδο μπάσκετ)\b"],
-    "private_beach":     [r"\b(?:private beach|direct access to (?:the )?sea|front line|ιδιωτική παραλία|πρώτο στη θάλασσα|άμεση πρόσβαση στη θάλασσα)\b"],
-    "walk_in_closet":    [r"\b(?:walk-in closet|dressing room|walk in closet|βεστιάριο)\b"],
-    "ev_charger":        [r"\b(?:ev charger|electric car charging|φόρτιση ηλεκτρικού αυτοκινήτου|wallbox)\b"],
-    "guest_house":       [r"\b(?:guest house|independent guest house|guesthouse|ξενώνας|αυτόνομος ξενώνας)\b"],
-    "smart_locking":     [r"\b(?:fingerprint lock|keyless entry|smart lock|έξυπνη κλειδαριά)\b"],
-    "indoor_pool":       [r"\b(?:indoor pool|heated pool|εσωτερική πισίνα|θερμαινόμενη πισίνα)\b"],
-    "landscape_design":  [r"\b(?:landscaped garden|automatic irrigation|botanical garden|αυτόματο πότισμα|αρχιτεκτονική τοπίου)\b"],
-    "beachfront":        [r"\b(?:beachfront|sea\s*front|seafront|first line of (?:the )?beach|just in front of the beach|on the (?:water|sea)front|by the sea\b|on the beach)\b"],
-    "solarium":          [r"\b(?:solariums?|σολάριουμ|σολαριουμ)\b"],
-    "balcony":           [r"\b(?:balcon(?:y|ies)|μπαλκόνι|βεραντούλα)\b"],
-    "terrace":           [r"\b(?:terraces?|covered terraces?|βεράντα|ταράτσα)\b"],
-    "wifi":              [r"\b(?:wi-?fi|wireless internet|wlan|ασύρματο\s+(?:internet|δίκτυο))\b"],
-    "tv_satellite":      [r"\b(?:satellite tv|sat tv|sky\s*tv|δορυφορική τηλεόραση)\b"],
-    "dishwasher":        [r"\b(?:dishwashers?|machine for dishes|πλυντήριο πιάτων)\b"],
-    "washing_machine":   [r"\b(?:washing machines?|automatic washing|laundry machines?|πλυντήρ[ιί][οα] ρούχων)\b"],
-    "sun_deck":          [r"\b(?:sun ?decks?|wooden deck|sundeck|ξύλινο\s+ντεκ)\b"],
-    "outdoor_dining":    [r"\b(?:outdoor dining|covered dining area|al fresco dining|outdoor (?:lounge|seating))\b"],
-    "hotel_restaurant":  [r"\b(?:on-?site restaurant|hotel restaurant|hotel taverna|in-?house restaurant)\b"],
-    "hotel_bar":         [r"\b(?:pool bar|beach bar|lobby bar|hotel bar)\b"],
+    "helipad": [r"\b(?:helipad|heliport|helicopter landing pad|ελικοδρόμιο)\b"],
+    "private_marina": [r"\b(?:private marina|private dock|pier|boat slip|ιδιωτική μαρίνα|μαρίνα|προβλήτα)\b"],
+    "swimming_pool": [r"\b(?:pool|swimming pool|private pool|shared pool|πισίνα|ιδιωτική πισίνα)\b"],
+    "parking": [r"\b(?:parking|garage|carport|πάρκινγκ|στάθμευση|γκαράζ)\b"],
+    "air_conditioning": [r"\b(?:a/c|air condition(?:ing)?|klima|κλιματισμός|κλιματιστικό|aircon|air-conditioned)\b"],
+    "heating": [r"\b(?:heating|central heating|underfloor heating|θέρμανση|ενδοδαπέδια|καλοριφέρ|heat pump|αντλία θερμότητας)\b"],
+    "fireplace": [r"\b(?:fireplaces?|τζάκι(?:α)?)\b"],
+    "furnished": [r"\b(?:fully furnished|furnished|επιπλωμένο|πλήρως επιπλωμένο)\b"],
+    "alarm_system": [r"\b(?:alarm|security system|cctv|συναγερμός|κάμερες|σύστημα ασφαλείας)\b"],
+    "garden": [r"\b(?:gardens?|landscaped garden|yard|κήπος|αυλή)\b"],
+    "bbq": [r"\b(?:bbq|barbeque|barbecue|μπάρμπεκιου|ψησταριά)\b"],
+    "solar_panels": [r"\b(?:solar(?: panels?)?|solar water heater|ηλιακός|ηλιακός θερμοσίφωνας)\b"],
+    "sea_view": [r"\b(?:sea view|ocean view|panoramic sea view|view to the sea|view of the sea|θέα θάλασσα|απεριόριστη θέα)\b"],
+    "elevator": [r"\b(?:elevators?|lifts?|ασανσέρ|ανελκυστήρας)\b"],
+    "storage_room": [r"\b(?:storage(?: room)?|αποθήκη)\b"],
+    "playroom": [r"\b(?:playrooms?|πλέιρουμ|play room)\b"],
+    "renovated": [r"\b(?:renovated|recently renovated|refurbished|ανακαινισμένο|πλήρως ανακαινισμένο)\b"],
+    "smart_home": [r"\b(?:smart home|έξυπνο σπίτι|home automation)\b"],
+    "gym": [r"\b(?:gym|fitness room|γυμναστήριο)\b"],
+    "jacuzzi_sauna": [r"\b(?:jacuzzi|sauna|hammam|τζακούζι|σάουνα|χαμάμ)\b"],
+    "mosquito_nets": [r"\b(?:mosquito nets?|fly screens?|window screens?|σίτες?|σιτες?)\b"],
+    "awnings": [r"\b(?:awnings?|sunshades?|τέντες?|τεντες?)\b"],
+    "security_door": [r"\b(?:security door|armored door|πόρτα ασφαλείας|θωρακισμένη πόρτα)\b"],
+    "water_well": [r"\b(?:water well|drilling|borehole|γεώτρηση|well\b)\b"],
+    "wine_cellar": [r"\b(?:wine cellar|wine room|cava|κάβα|κελάρι)\b"],
+    "home_cinema": [r"\b(?:home cinema|movie room|home theater|σινεμά|home theatre)\b"],
+    "staff_quarters": [r"\b(?:maid's room|staff quarters|service room|staff room|δωμάτιο υπηρεσίας|δωμάτιο προσωπικού)\b"],
+    "infinity_pool": [r"\b(?:infinity pool|overflow pool|υπερχείλιση|πισίνα υπερχείλισης)\b"],
+    "tennis_court": [r"\b(?:tennis court|basketball court|padel court|sports court|γήπεδο τένις|γήπεδο μπάσκετ)\b"],
+    "private_beach": [r"\b(?:private beach|direct access to (?:the )?sea|front line|ιδιωτική παραλία|πρώτο στη θάλασσα|άμεση πρόσβαση στη θάλασσα)\b"],
+    "walk_in_closet": [r"\b(?:walk-in closet|dressing room|walk in closet|βεστιάριο)\b"],
+    "ev_charger": [r"\b(?:ev charger|electric car charging|φόρτιση ηλεκτρικού αυτοκινήτου|wallbox)\b"],
+    "guest_house": [r"\b(?:guest house|independent guest house|guesthouse|ξενώνας|αυτόνομος ξενώνας)\b"],
+    "smart_locking": [r"\b(?:fingerprint lock|keyless entry|smart lock|έξυπνη κλειδαριά)\b"],
+    "indoor_pool": [r"\b(?:indoor pool|heated pool|εσωτερική πισίνα|θερμαινόμενη πισίνα)\b"],
+    "landscape_design": [r"\b(?:landscaped garden|automatic irrigation|botanical garden|αυτόματο πότισμα|αρχιτεκτονική τοπίου)\b"],
+    "beachfront": [r"\b(?:beachfront|sea\s*front|seafront|first line of (?:the )?beach|just in front of the beach|on the (?:water|sea)front|by the sea\b|on the beach)\b"],
+    "solarium": [r"\b(?:solariums?|σολάριουμ|σολαριουμ)\b"],
+    "balcony": [r"\b(?:balcon(?:y|ies)|μπαλκόνι|βεραντούλα)\b"],
+    "terrace": [r"\b(?:terraces?|covered terraces?|βεράντα|ταράτσα)\b"],
+    "wifi": [r"\b(?:wi-?fi|wireless internet|wlan|ασύρματο\s+(?:internet|δίκτυο))\b"],
+    "tv_satellite": [r"\b(?:satellite tv|sat tv|sky\s*tv|δορυφορική τηλεόραση)\b"],
+    "dishwasher": [r"\b(?:dishwashers?|machine for dishes|πλυντήριο πιάτων)\b"],
+    "washing_machine": [r"\b(?:washing machines?|automatic washing|laundry machines?|πλυντήρ[ιί][οα] ρούχων)\b"],
+    "sun_deck": [r"\b(?:sun ?decks?|wooden deck|sundeck|ξύλινο\s+ντεκ)\b"],
+    "outdoor_dining": [r"\b(?:outdoor dining|covered dining area|al fresco dining|outdoor (?:lounge|seating))\b"],
+    "hotel_restaurant": [r"\b(?:on-?site restaurant|hotel restaurant|hotel taverna|in-?house restaurant)\b"],
+    "hotel_bar": [r"\b(?:pool bar|beach bar|lobby bar|hotel bar)\b"],
     "conference_center": [r"\b(?:conference (?:center|centre|rooms?|hall)|αίθουσα συνεδρίων|meeting rooms?)\b"],
-    "spa":               [r"\b(?:spa\s*(?:center|centre|facilities)?|wellness center|wellness centre)\b"],
-    "pergola":           [r"\b(?:pergolas?|πέργκολα)\b"],
-    "outdoor_wc":        [r"\b(?:outdoor|external|exterior)\s+(?:wc|toilet|bathroom)\b"],
-    "marble_floor":      [r"\bmarble\s+(?:floors?|flooring|tiles?)\b|\bflooring[^.\n]{0,40}marble\b"],
-    "wooden_floor":      [r"\b(?:wooden?|hardwood|parquet)\s+(?:floors?|flooring)\b|\bflooring[^.\n]{0,40}(?:wood|parquet)\b"],
+    "spa": [r"\b(?:spa\s*(?:center|centre|facilities)?|wellness center|wellness centre)\b"],
+    "pergola": [r"\b(?:pergolas?|πέργκολα)\b"],
+    "outdoor_wc": [r"\b(?:outdoor|external|exterior)\s+(?:wc|toilet|bathroom)\b"],
+    "marble_floor": [r"\bmarble\s+(?:floors?|flooring|tiles?)\b|\bflooring[^.\n]{0,40}marble\b"],
+    "wooden_floor": [r"\b(?:wooden?|hardwood|parquet)\s+(?:floors?|flooring)\b|\bflooring[^.\n]{0,40}(?:wood|parquet)\b"],
 }
 
 # Fixed values. Data of the listing site.

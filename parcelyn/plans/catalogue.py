@@ -589,13 +589,13 @@ def cost_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {OBSERVED_SQL}, h AS (SELECT id, strftime(seen_at, '%Y-%m-%d') || ': ' || old_price || ' -> ' || price AS line FROM (SELECT *, lag(price) OVER (PARTITION BY id ORDER BY seen_at, price) AS old_price FROM observed) WHERE old_price IS NOT NULL AND price <> old_price)
-    SELECT p_partkey AS id, n_photos, n_changes FROM part JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_photos FROM lineitem GROUP BY 1) ON l_partkey = p_partkey JOIN (SELECT id, count(DISTINCT line) AS n_changes FROM h GROUP BY 1) x ON x.id = p_partkey"""
+    SELECT p_partkey AS id, n_photos, n_changes, history FROM part JOIN (SELECT l_partkey, count(DISTINCT l_suppkey) AS n_photos FROM lineitem GROUP BY 1) ON l_partkey = p_partkey JOIN (SELECT id, count(DISTINCT line) AS n_changes, string_agg(DISTINCT line, ' | ' ORDER BY line) AS history FROM h GROUP BY 1) x ON x.id = p_partkey"""
 )
 def price_history_report(spark: SparkSession, sf: str) -> DataFrame:
     history = L.price_changes(observed(spark, sf)).withColumnRenamed("id", "property_id")
     media = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("property_id"), F.col("l_suppkey").alias("image_url"))
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
-    return R.price_report(p, media, history).where("history IS NOT NULL AND n_photos > 0").select("id", "n_photos", F.size(F.split("history", r" \| ")).cast("long").alias("n_changes"))
+    return R.price_report(p, media, history).where("history IS NOT NULL AND n_photos > 0").select("id", "n_photos", F.size(F.split("history", r" \| ")).cast("long").alias("n_changes"), "history")
 
 
 GOLD_SQL = "m AS (SELECT c_custkey // 4 AS cluster_id, c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN (c_custkey * 37 % 900)::INTEGER END AS price, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 3 * 10)::DOUBLE END AS size_sqm, CASE WHEN c_custkey % 6 <> 0 THEN (c_custkey * 7 % 3)::INTEGER END AS bedrooms, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS category, 'site' || c_nationkey AS source_domain FROM customer)"

@@ -290,6 +290,26 @@ def photo_distances(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("doc_id", "d.least", "d.close")
 
 
+@query("SELECT doc_id, (bit_count(xor(doc_id, doc_id * 5)) <= 6)::INTEGER AS matches, (doc_id % 2 = 0 AND bit_count(xor(doc_id, doc_id * 5)) <= 6)::INTEGER AS without_stock FROM documents")
+def near_photo_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Photos count as the same up to a few differing bits; every other one is a stock photo."""
+    k = F.col("doc_id")
+    a, b = F.array(_hash(k), F.lit("")), F.array(F.lit("").cast("string"), _hash(k * 5))
+    stock = F.when(k % 2 == 1, F.array(_hash(k))).otherwise(F.array(F.lit("none")))
+    return table(spark, sf, "documents").select("doc_id", M.greedy_photo_matches(a, b).alias("matches"), M.greedy_photo_matches(a, b, stock).alias("without_stock"))
+
+
+#: Names of categories as sites write them, and what they are.
+KNOWN = (("Villa", "villa"), (" BUNGALOW ", "detached_house"), ("STUDIO", "studio"), ("apartment complex", "multi_unit_building"), ("Maisonette", "maisonette"), ("", "unknown"), ("Castle", "unknown_label_castle"))
+_KNOWN_SQL = " ".join(f"WHEN {k} THEN '{v[1]}'" for k, v in enumerate(KNOWN))
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(KNOWN)} {_KNOWN_SQL} END AS canonical FROM documents")
+def known_categories(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*(F.lit(n) for n, _ in KNOWN))
+    return table(spark, sf, "documents").select("doc_id", M.canonical_category(F.element_at(names, (F.col("doc_id") % len(KNOWN) + 1).cast("int"))).alias("canonical"))
+
+
 @query("SELECT doc_id, (doc_id % 3 = doc_id % 2)::INTEGER + (doc_id % 3 = 7)::INTEGER AS shared FROM documents")
 def shared_photos(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")

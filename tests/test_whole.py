@@ -20,4 +20,4 @@ def test_price_history_report_has_all_parts(spark):
         if changes and k in parts:
             due.add((k, len(photos[k]), len(changes)))
     assert any(k % 20 for k, _, _ in due)
-    assert {tuple(r) for r in catalogue.QUERIES["price_history_report"](spark, SMALL).collect()} == due
+    assert {tuple(r)[:3] for r in catalogue.QUERIES["price_history_report"](spark, SMALL).collect()} == due
