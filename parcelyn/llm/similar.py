@@ -120,6 +120,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     """(pivot, node), node > pivot: the least class of each key with the others, and classes that fingerprints link."""
     rows = classes.select("least", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("least").alias("pivot"), F.max("least").alias("other"), F.count("*").alias("held")).where("pivot < other").select("key", "pivot", "held")
+    shared = written(shared, "shared")
     by_key = spread_join(rows, shared, "key", "held", "least").select("pivot", F.col("least").alias("node"))
     alike = classes.groupBy("fp").agg(F.min("least").alias("node"), F.count("*").alias("held"))
     same = spread_join(classes.select("fp", "least"), alike, "fp", "held", "least").select(F.col("node").alias("pivot"), F.col("least").alias("node"))
