@@ -130,11 +130,13 @@ def pack_documents(
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05),
     select: str = "residual_norm",
     window_tokens: int = 1 << 22,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Pieces of docs (doc_id, text) with their ids (little-endian unsigned 32-bit) and their place in a sequence.
 
     max_documents and max_attention are the other two capacities of a sequence; by default the most that `capacity`
     tokens can need, so that tokens alone bind. A task holds at most window_tokens tokens and one document besides.
+    special_as_text: marks of special tokens in a text are ordinary text.
     """
     capacities = (capacity, max_documents or capacity, max_attention or capacity * capacity)
     bounded_batches(docs.sparkSession)
@@ -142,7 +144,7 @@ def pack_documents(
     def pack(batches):
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special_as_text)
         end = np.array([end_id], enc.dtype).tobytes()
         window = _Window(TaskContext.get().partitionId(), capacities, weights, select, enc.dtype)
         for batch in batches:

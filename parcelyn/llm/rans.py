@@ -138,7 +138,7 @@ class Coder:
         return self._run(state.astype(np.uint64), words, word, step, starts[part + 1][0] if part < n_marks else steps, n, lanes)
 
 
-def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, special_as_text: bool) -> DataFrame:
     """Range-partitioned by doc_id (a shard each), tokenised, in blocks of whole documents.
 
     Each task ends with a row of block -1, whose ids are the counts of all its ids (64-bit).
@@ -152,7 +152,7 @@ def _raw_blocks(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer_path, special_as_text), TaskContext.get().partitionId()
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
         at, block, first, ids, counts, packed = 0, 0, 0, [], [], []
         total = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
@@ -190,12 +190,15 @@ def _unit(tokenizer_path: str) -> str:
     return encoder(tokenizer_path).dtype.str
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
-    """Encode every text of docs under `path`: blocks and frequencies. The table of frequencies is over all ids."""
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, special_as_text: bool = False) -> None:
+    """Encode every text of docs under `path`: blocks and frequencies. The table of frequencies is over all ids.
+
+    special_as_text: marks of special tokens in a text are ordinary text.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     unit, temporary = _unit(tokenizer_path), fresh_path(spark, "ids")
-    _raw_blocks(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(temporary)
+    _raw_blocks(docs, tokenizer_path, end_id, special_as_text).write.option("compression", "zstd").parquet(temporary)
     raw = spark.read.schema(RAW).parquet(temporary)
 
     def tally(batches):
