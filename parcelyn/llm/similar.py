@@ -27,6 +27,8 @@ SHINGLE, BAR = 5, 0.8
 ROWS, BANDS = 6, 32
 #: Documents of a candidate group that are compared at a time with as many others.
 CHUNK = 256
+#: Numbers up to which a list of documents (16 bytes each) is broadcast.
+SMALL_LIST = 1 << 21
 
 _RANDOM = np.random.default_rng(20)
 _FACTORS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,7 +166,10 @@ def similar_documents(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             out.extend((int(node[x]), int(node[y])) for y in hit[first])
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
+    # Only texts of candidates move; a list of them of known size is broadcast.
+    wanted = written(members.select("node").distinct(), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    texts = written(texts.join(F.broadcast(wanted) if wanted.count() <= SMALL_LIST else wanted, "node", "left_semi"), "texts")
     found = written(members.join(texts, "node").groupBy("pivot", "chunk").applyInArrow(verify, "a long, b long"), "verified")
     large = members.join(sizes.where(F.col("held") > chunk).select("pivot"), "pivot", "left_semi")
     if not large.isEmpty():
