@@ -23,7 +23,7 @@ def hot_from(spark: SparkSession, rows: int) -> int:
     return max(FEW, 2 * rows // int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, held: str, by: str, most: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, held: str, by: str, most: int | None = None, how: str = "inner") -> DataFrame:
     """rows joined to the one row of table with their key. table's `held` counts the rows of each key.
 
     Hot keys, those with more than `most` rows, are dealt over several tasks by a hash of column `by`, and their row of
@@ -34,12 +34,12 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, held: str, by: str,
         n, top = table.agg(F.sum(held), F.max(held)).first()
         most = hot_from(rows.sparkSession, n or 0)
         if (top or 0) <= most:
-            return rows.join(table.drop(held), key)
+            return rows.join(table.drop(held), key, how)
     parts = F.ceil(F.col(held) / most).cast("int")
     hot = table.where(F.col(held) > most).select(key, parts.alias("_parts"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     repeated = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return dealt.join(repeated, [key, "_part"]).drop("_part", held)
+    return dealt.join(repeated, [key, "_part"], how).drop("_part", held)
 
 
 def _large_star(edges: DataFrame, most: int) -> DataFrame:
