@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mixing, packing, pseudonyms, quality, rans, secret_scan, simhash, toxicity, urls
+from . import audio, lines, merkle, mixing, packing, pseudonyms, quality, rans, search, secret_scan, simhash, toxicity, urls
 from .common import documents, fresh_path
 
 #: Key of the pseudonyms in the registered query. In use, pass one from a key store.
@@ -68,6 +68,21 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.stored_features(audio.audio_features(audio.clips(documents(spark, sf_dir)))))
 
 
+def op11_bloom_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), least=10, keep="none")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_shared_term_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_midstate_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    checked = merkle.verified(*merkle.manifest(merkle.leaves(documents(spark, sf_dir), tampered)))
+    return checked.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_golay_simhash,
         op9_splitting_tree_mix,
         op10_audio_features,
+        op11_bloom_line_dedup,
+        op12_shared_term_search,
+        op13_midstate_merkle,
     )
 }
 
@@ -118,4 +136,27 @@ SELECT d.doc_id, d.size, q.source_size, q.target,
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN c ON c.source IS NOT DISTINCT FROM d.source AND c.place = d.place
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_bloom_cascade": _url_sql(), "op9_splitting_tree_mix": _MIX_SQL}
+_LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+  k AS (SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  f AS (SELECT key AS often FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(often) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE often IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON key = often GROUP BY row, doc_id
+"""
+
+_SEARCH_SQL = r"""
+WITH t AS (SELECT row, doc_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents)),
+  n AS (SELECT row, doc_id, count(*) AS n FROM t GROUP BY ALL),
+  s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n),
+  i AS (SELECT item, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS item, item_id,
+    list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms FROM benchmark)),
+  c AS (SELECT row, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM c, s GROUP BY term, docs),
+  v AS (SELECT c.row, doc_id, c.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))) AS v FROM c JOIN w USING (term) JOIN n USING (row), s),
+  r AS (SELECT item, item_id, row, doc_id, sum(v)::BIGINT AS score FROM i JOIN v USING (term) GROUP BY ALL HAVING sum(v) > 0)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM r) WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_bloom_cascade": _url_sql(), "op9_splitting_tree_mix": _MIX_SQL, "op11_bloom_line_dedup": _LINES_SQL, "op12_shared_term_search": _SEARCH_SQL}

@@ -27,6 +27,8 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame([(1, 1, 0), (8, None, None), (12, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     urls = [None, "", "no scheme", "http://", "https://A.Example.NET/en/x?q", "http://net/x", "http://x.net", "http://example.com/de/", "http://spam-farm.example.org#x", "http://www.Cheap-Pills.example.com/a?b#c", "a://b://c/d", "http://notnet/", "http://b.org/fr/1", "http://spam-farm.example.org#x"]
     spark.createDataFrame([(i if i else None, u, "<p>", "z") for i, u in enumerate(urls)], "page_id long, url string, html string, host string").write.parquet(f"{path}/pages.parquet")
+    items = [(1, "Alpha beta"), (2, "ALPHA gamma the of x"), (2, "alpha gamma délta"), (None, "日本 eta"), (4, None), (5, "!!"), (6, "alpha beta gamma délta")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -36,4 +38,5 @@ def empty_dir(spark, tmp_path_factory):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(1, "alpha")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
