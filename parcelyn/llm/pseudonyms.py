@@ -16,8 +16,8 @@ The key reaches the executors as a value of a one-row table; plans show neither
 Defined results: null text stays null with no values found; a null doc_id and repeated rows are kept as rows; an empty
 table gives an empty result; a value that fails validation stays as it is; only doc_id and text are read.
 
-Cards are sought in runs of digit groups, however long: a card is a stretch of whole groups with 13 to 19 digits that
-passes Luhn, so an expiry date, a security code or a number beside it doesn't hide it. Of stretches that overlap, one in
+Cards are sought in runs of digit groups, however long: a card is a stretch of whole groups, parted by single blanks or
+hyphens, with 13 to 19 digits that passes Luhn, so an expiry date, a security code or a number beside it doesn't hide it. Of stretches that overlap, one in
 a layout of cards goes first, then the earlier, then the longer. The other kinds are sought in the text between cards.
 """
 
@@ -44,7 +44,8 @@ _PHONE = r"(?<![0-9A-Za-z])(?:\+?1[-. ]?)?(?:\([2-9][0-9]{2}\)[-. ]?|[2-9][0-9]{
 _ABROAD = r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}(?:[-. ]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[./-][0-9])"
-_RUN = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,}(?![0-9A-Za-z])"
+# One character class, so that the matcher loops over a run of any length; blanks and hyphens in a row are judged later.
+_RUN = r"(?<![0-9A-Za-z])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z])"
 #: In this order the first that fits at a place is taken.
 KINDS = {"email": _EMAIL, "ip": _IP, "iban": _IBAN, "phone": _PHONE, "abroad": _ABROAD, "ssn": _SSN, "date": _DATE, "card": _RUN}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -148,35 +149,65 @@ def _card(key: Column, v: Column) -> Column:
     return _let(_only(v, "0-9"), body)
 
 
-def _cards(run: Column) -> Column:
-    """array<struct<start, length>> of the cards in a run of digit groups, in their order; places count from 0."""
-    spot = "array<struct<start:int,length:int>>"
+#: A group has a digit at least, so no more than 19 of them make a card.
+_MOST_GROUPS = 19
 
-    def place(s: Column, g: Column) -> Column:
-        start = s["at"] + F.length(g["before"])
-        one = F.struct(start.cast("int").alias("start"), F.length(g["digits"]).cast("int").alias("length"))
-        return F.struct((start + F.length(g["digits"])).cast("int").alias("at"), F.array_append(s["out"], one).alias("out"))
 
-    groups = F.zip_with(F.slice(F.split(run, "[0-9]+", -1), 1, F.size(F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)))), F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0)), lambda b, d: F.struct(b.alias("before"), d.alias("digits")))
-    places = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast(spot).alias("out")), place, lambda s: s["out"])
+def _groups(run: Column) -> Column:
+    """array<struct<before, digits>>: the run's groups of digits, each with the blanks and hyphens before it."""
+    digits = F.regexp_extract_all(run, F.lit("[0-9]+"), F.lit(0))
+    return F.zip_with(F.split(run, "[0-9]+", -1), digits, lambda b, d: F.when(d.isNotNull(), F.struct(b.alias("before"), d.alias("digits"))))
 
-    def stretches(g: Column) -> Column:
-        def from_(first: Column, i: Column) -> Column:
-            def upto(last: Column) -> Column:
-                length = last["start"] + last["length"] - first["start"]
-                return _let(F.substr(run, first["start"] + 1, length), lambda t: F.struct((~t.rlike(_LAYOUT)).alias("odd"), first["start"].alias("start"), (-length).alias("shorter"), t.alias("text")))
 
-            # A group has a digit at least, so no more than 19 of them make a card.
-            return F.filter(F.transform(F.slice(g, i + 1, F.lit(19)), upto), lambda x: _let(_only(x["text"], "0-9"), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0)))
+def _laid(groups: Column) -> Column:
+    return F.array_join(F.transform(groups, lambda g: F.concat(g["before"], g["digits"])), "")
 
-        return F.flatten(F.transform(g, from_))
 
-    def pick(out: Column, x: Column) -> Column:
-        length = -x["shorter"]
-        clear = ~F.exists(out, lambda o: (o["start"] < x["start"] + length) & (x["start"] < o["start"] + o["length"]))
-        return F.when(clear, F.array_append(out, F.struct(x["start"].alias("start"), length.alias("length")))).otherwise(out)
+def _cards(groups: Column) -> Column:
+    """array<struct<first, last>> of the cards among the groups of a run, in their order; groups count from 0.
 
-    return F.array_sort(F.aggregate(F.array_sort(_let(places, stretches)), F.array().cast(spot), pick))
+    Two sweeps from left to right: cards in a layout of cards first, then others clear of those. Each takes the longest
+    stretch from a group on, if it begins after the last one taken.
+    """
+    spot = "array<struct<first:int,last:int>>"
+
+    def stretches(g: Column, i: Column) -> Column:
+        """The cards that begin at a group, the longest first. Single blanks or hyphens part their groups."""
+
+        def grow(s: Column, x: Column) -> Column:
+            ok = s["open"] & ((s["n"] == 0) | (F.length(x["before"]) == 1)) & (F.length(s["digits"]) + F.length(x["digits"]) <= 19)
+            digits = F.concat(s["digits"], x["digits"])
+            text = F.when(s["n"] == 0, x["digits"]).otherwise(F.concat(s["text"], x["before"], x["digits"]))
+            one = F.struct((i + s["n"]).cast("int").alias("last"), digits.alias("digits"), text.alias("text"))
+            out = F.when(ok & (F.length(digits) >= 13), F.concat(F.array(one), s["out"])).otherwise(s["out"])
+            return F.struct(ok.alias("open"), (s["n"] + 1).alias("n"), digits.alias("digits"), text.alias("text"), out.alias("out"))
+
+        start = F.struct(F.lit(True).alias("open"), F.lit(0).alias("n"), F.lit("").alias("digits"), F.lit("").alias("text"), F.array().cast("array<struct<last:int,digits:string,text:string>>").alias("out"))
+        found = F.aggregate(F.slice(g, i + 1, F.lit(_MOST_GROUPS)), start, grow, lambda s: s["out"])
+        valid = F.filter(found, lambda x: _luhn_sum(x["digits"], False) % 10 == 0)
+        return F.transform(valid, lambda x: F.struct(i.cast("int").alias("first"), x["last"].alias("last"), (~x["text"].rlike(_LAYOUT)).alias("odd")))
+
+    def sweep(every: Column) -> Column:
+        start = F.struct(F.lit(-1).alias("end"), F.array().cast(spot).alias("out"))
+
+        def take(s: Column, own: Column) -> Column:
+            new = F.array_append(s["out"], F.struct(own[0]["first"].alias("first"), own[0]["last"].alias("last")))
+            return F.when((F.size(own) > 0) & (F.get(own, F.lit(0))["first"] > s["end"]), F.struct(own[0]["last"].alias("end"), new.alias("out"))).otherwise(s)
+
+        return F.aggregate(every, start, take, lambda s: s["out"])
+
+    def both(every: Column) -> Column:
+        laid = sweep(F.filter(F.transform(every, lambda own: F.filter(own, lambda x: ~x["odd"])), lambda own: F.size(own) > 0))
+
+        def others(taken: Column) -> Column:
+            clear = lambda x: ~F.exists(taken, lambda o: (o["first"] <= x["last"]) & (x["first"] <= o["last"]))
+            rest = F.transform(every, lambda own: F.filter(own, lambda x: x["odd"] & clear(x)))
+            return F.array_sort(F.concat(taken, sweep(F.filter(rest, lambda own: F.size(own) > 0))))
+
+        return _let(laid, others)
+
+    every = F.filter(F.transform(groups, lambda x, i: stretches(groups, i)), lambda own: F.size(own) > 0)
+    return _let(every, both)
 
 
 def segments(text: Column) -> Column:
@@ -185,24 +216,36 @@ def segments(text: Column) -> Column:
     piece = lambda card, value: F.struct(F.lit(card).alias("card"), value.alias("value"))
 
     def cut(run: Column) -> Column:
-        def step(s: Column, c: Column) -> Column:
-            gap = F.substr(run, s["at"] + 1, c["start"] - s["at"])
-            return F.struct((c["start"] + c["length"]).cast("int").alias("at"), F.concat(s["out"], F.array(piece(False, gap), piece(True, F.substr(run, c["start"] + 1, c["length"])))).alias("out"))
+        def at_cards(groups: Column) -> Column:
+            part = lambda low, n: F.slice(groups, low + 1, n)
 
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(_cards(run), start, step, lambda s: F.array_append(s["out"], piece(False, F.substr(run, s["at"] + 1))))
+            def step(s: Column, c: Column) -> Column:
+                before = groups[c["first"]]["before"]
+                gap = F.concat(_laid(part(s["at"], c["first"] - s["at"])), before)
+                card = F.substr(_laid(part(c["first"], c["last"] - c["first"] + 1)), F.length(before) + 1)
+                return F.struct((c["last"] + 1).cast("int").alias("at"), F.concat(s["out"], F.array(piece(False, gap), piece(True, card))).alias("out"))
+
+            start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+            return F.aggregate(_cards(groups), start, step, lambda s: F.array_append(s["out"], piece(False, _laid(part(s["at"], F.size(groups) - s["at"])))))
+
+        return _let(F.filter(_groups(run), lambda g: g.isNotNull()), at_cards)
 
     found, pieces = F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.split(text, ANY, -1)
     each = F.transform(found, lambda v: F.when(v.rlike(f"^(?:{_RUN})$") & (_kind(v) == "card"), cut(v)).otherwise(F.array(piece(False, v))))
     rows = F.flatten(F.zip_with(pieces, each, lambda p, m: F.concat(F.array(piece(False, F.coalesce(p, F.lit("")))), F.coalesce(m, F.array().cast(kind)))))
 
-    def join(s: Column, x: Column) -> Column:
-        out = F.when(x["card"], F.concat(s["out"], F.array(piece(False, s["open"]), x))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.when(x["card"], F.lit("")).otherwise(F.concat(s["open"], x["value"])).alias("open"))
+    def join(rows: Column) -> Column:
+        """The pieces between cards become one each."""
+        between = lambda low, n: piece(False, F.array_join(F.transform(F.slice(rows, low + 1, n), lambda x: x["value"]), ""))
+
+        def step(s: Column, i: Column) -> Column:
+            return F.struct((i + 1).cast("int").alias("at"), F.concat(s["out"], F.array(between(s["at"], i - s["at"]), rows[i])).alias("out"))
+
+        cards = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: rows[i]["card"])
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(cards, start, step, lambda s: F.array_append(s["out"], between(s["at"], F.size(rows) - s["at"])))
 
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit("").alias("open"))
-    whole = F.aggregate(rows, start, join, lambda s: F.array_append(s["out"], piece(False, s["open"])))
-    return F.when(text.rlike(_RUN), whole).otherwise(F.array(piece(False, text)))
+    return F.when(text.rlike(_RUN), _let(rows, join)).otherwise(F.array(piece(False, text)))
 
 
 def _phone(key: Column, v: Column) -> Column:
