@@ -31,8 +31,6 @@ DISTANCE = 4
 #: Candidates of a key that one task compares at a time; larger sets are cut into such chunks, each of which is compared
 #: together with the first PIVOTS candidates.
 CHUNK, PIVOTS = 4096, 64
-#: Classes without a doc_id are numbered around this; doc_ids lie below all of these.
-NO_ID = 3 << 61
 #: Up to so many candidates of a key are compared by shifting the sorted rows against themselves.
 SHORT = 12
 
@@ -277,12 +275,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = DISTANCE)
     of such rows alone has a null id; an empty table gives an empty result; other columns are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    # A class is known by its least doc_id, so that a component's root is its result; classes without one come last.
-    node = F.coalesce("least", F.lit(NO_ID).cast("long") + F.shiftright("fp", 2))
+    # A class is known by its least doc_id, so that a component's root is its result; those without one come last.
+    node = F.struct(F.col("least").isNull().alias("no_id"), F.coalesce("least", "fp").alias("value"))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")).select("fp", node.alias("node"), "held")
     classes = written(classes, "classes")
     a, b = (classes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in "ab")
     pairs = links(classes.select("fp"), distance).join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     rooted = classes.join(components(pairs), "node", "left").select("fp", "held", F.coalesce("root", "node").alias("root"))
     joined = spread_join(marked, written(rooted, "rooted"), "fp", "held", "doc_id")
-    return joined.select("doc_id", "fp", F.when(F.col("root") < NO_ID - (1 << 61), F.col("root")).alias("component_id"))
+    return joined.select("doc_id", "fp", F.when(~F.col("root.no_id"), F.col("root.value")).alias("component_id"))
