@@ -17,6 +17,7 @@ gives an empty result; only doc_id, source and text are read to decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ BLOCKS = 1 << BLOCK_BITS
 SHARD_WORDS, SUBTREE = 1 << 25, 1 << 10
 #: Rows of the shards' ranges up to which their table (about 40 bytes each) is broadcast.
 SMALL_TABLE = 1 << 20
+#: Fixed value: the library draws from fewer blocks than this.
+LIBRARY_DRAWS = 10**9
 
 
 def n_words(text: Column) -> Column:
@@ -72,6 +75,36 @@ def _block(place: Column) -> Column:
     return F.shiftright(place, HASH_BITS - BLOCK_BITS)
 
 
+def hypergeometric(good: int, bad: int, taken: int, rng: np.random.Generator) -> int:
+    """How many of `taken` draws without replacement are good, for any numbers: by inversion around the mode.
+
+    Weights follow from the ratios of neighbouring ones within 40 standard deviations, beyond which they vanish in doubles.
+    """
+    low, high, total = max(0, taken - bad), min(good, taken), good + bad
+    spread = 40 * (math.sqrt(taken / total * (good / total) * bad * ((total - taken) / max(total - 1, 1))) + 1) if total else 0
+    mode = min(max((taken + 1) * (good + 1) // (total + 2), low), high)
+    first, last = max(low, mode - int(spread)), min(high, mode + int(spread))
+    up = np.arange(mode, last, dtype=np.float64)
+    down = np.arange(mode, first, -1, dtype=np.float64)
+    above = np.cumsum(np.log(good - up) + np.log(taken - up) - np.log(up + 1) - np.log(bad - taken + up + 1))
+    below = np.cumsum(np.log(down) + np.log(bad - taken + down) - np.log(good - down + 1) - np.log(taken - down + 1))
+    sums = np.cumsum(np.exp(np.concatenate([below[::-1], [0.0], above])))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
+
+
+def without_replacement(own: np.ndarray, taken: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of `taken` draws fall on each source. Sources are halved while they hold more than the library draws from."""
+    total = int(own.sum())
+    if not total or len(own) == 1:
+        return np.full(len(own), taken, np.int64) if total else own
+    if total < LIBRARY_DRAWS:
+        return rng.multivariate_hypergeometric(own, taken, method="marginals")
+    middle = len(own) // 2
+    left = int(own[:middle].sum())
+    n = hypergeometric(left, total - left, taken, rng)
+    return np.concatenate([without_replacement(own[:middle], n, rng), without_replacement(own[middle:], taken - n, rng)])
+
+
 def halve(own: np.ndarray, low: int, high: int, leaf: int, seed: int, ends) -> Iterator[tuple[int, int, np.ndarray]]:
     """(low, high, block quota of each source) of the nodes with `leaf` shards at most below the node [low, high).
 
@@ -83,7 +116,7 @@ def halve(own: np.ndarray, low: int, high: int, leaf: int, seed: int, ends) -> I
         return
     middle = (low + high) // 2
     rng = np.random.default_rng([seed, low, high])
-    first = rng.multivariate_hypergeometric(own, ends(middle) - ends(low), method="marginals") if own.sum() else own
+    first = without_replacement(own, ends(middle) - ends(low), rng)
     yield from halve(first, low, middle, leaf, seed, ends)
     yield from halve(own - first, middle, high, leaf, seed, ends)
 
