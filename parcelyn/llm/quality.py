@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
 Each rule votes good, bad or abstains on a document, on evidence of its own. A document is good or bad in one of a few
-ways, each the way of one telling rule. Expectation-maximisation over the counts of vote patterns (at most 3 ** rules
+ways: the way of one telling rule, or that of the hinting rules, of which several agree. Expectation-maximisation over the counts of vote patterns (at most 3 ** rules
 rows, whatever the corpus) estimates the share of good documents and of each way of being bad, and how often each rule
 says bad of documents of each sort, where it votes. A document's posterior probability of being good then decides: a
 rule that says bad of good documents as well is overruled, and a telling one overrules all that speak for a document.
@@ -39,6 +39,7 @@ class Features:
     n_symbols: int
     n_dup_lines: int
     n_repeat_words: int
+    n_own_repeats: int  # the same where a repeated line counts once
     n_lines: int
     n_ended: int
     n_upper: int
@@ -55,27 +56,35 @@ _UPPER = np.array([chr(c).isupper() for c in range(256)])
 _LOWER = np.array([chr(c).islower() for c in range(256)])
 
 
+def repeats(words: list[bytes]) -> int:
+    """Words in windows of three that are found twice or more."""
+    windows = list(zip(words, words[1:], words[2:], strict=False))
+    if len(set(windows)) == len(windows):
+        return 0
+    seen = Counter(windows)
+    hit = np.array([seen[w] > 1 for w in windows])
+    cover = np.zeros(len(words), bool)
+    for k in range(3):
+        cover[k : k + len(hit)] |= hit
+    return int(cover.sum())
+
+
 def features(text: str | None) -> Features:
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    repeat = 0
-    if len(words) > 3:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        if len(set(windows)) < len(windows):
-            seen = Counter(windows)
-            hit = np.array([seen[w] > 1 for w in windows])
-            cover = np.zeros(len(words), bool)
-            for k in range(3):
-                cover[k : k + len(hit)] |= hit
-            repeat = int(cover.sum())
+    once = list(dict.fromkeys(lines))
+    repeat = own = repeats(words)
+    if repeat and len(once) < len(lines):
+        own = repeats("\n".join(once).encode("utf-8", "surrogatepass").split())
     codes = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
     return Features(
         n_words=len(words),
         word_chars=len(text) - sum(map(text.count, SPACES)),
         n_symbols=sum(map(text.count, SYMBOLS)),
-        n_dup_lines=len(lines) - len(set(lines)),
+        n_dup_lines=len(lines) - len(once),
         n_repeat_words=repeat,
+        n_own_repeats=own,
         n_lines=len(lines),
         n_ended=sum(x.rstrip(SPACES).endswith(ENDINGS) for x in lines),
         n_upper=int(_UPPER[codes].sum()),
@@ -100,7 +109,8 @@ def votes(x: Features) -> tuple[int, ...]:
     share = {
         "symbols": x.n_symbols / n,
         "repeated_lines": x.n_dup_lines / max(x.n_lines, 1),
-        "repeated_words": x.n_repeat_words / n,
+        # Repeated lines are the other rule's evidence.
+        "repeated_words": x.n_own_repeats / n,
         "capitals": x.n_upper / max(letters, 1),
         "exclaiming": x.n_exclaims / n,
     }
@@ -129,13 +139,20 @@ def code(pattern: tuple[int, ...]) -> int:
 FALSE_ALARM = {"symbols": 0.002, "capitals": 0.002, "exclaiming": 0.002, "word_length": 0.01, "length": 0.05, "repeated_lines": 0.05, "repeated_words": 0.05, "endings": 0.05}
 #: The telling rules, each with a sort of bad documents of which it says bad so often at least.
 TELLING, CAUGHT = ("symbols", "capitals", "exclaiming", "word_length"), 0.9
+#: The hinting rules, with one sort of bad documents of which each of them says bad so often at least: one alone is
+#: outvoted by the others' good votes, three of them outweigh a good vote of the fourth.
+HINTING, HINTED = ("length", "repeated_lines", "repeated_words", "endings"), 0.5
+#: So often at least they say bad of good documents, even where the corpus has no such case.
+ERRING = 0.01
+#: Least shares of bad votes by sort, good documents first, and rule.
+LEAST = np.array([[ERRING if r in HINTING else 0.0 for r in RULES], *([CAUGHT if r == t else 0.0 for r in RULES] for t in TELLING), [HINTED if r in HINTING else 0.0 for r in RULES]])
 #: Weight of these beliefs: so many votes, and so large a share of all documents, whatever the corpus's size.
 BELIEF, BELIEF_SHARE = 10.0, 0.002
 
 
 @dataclass(frozen=True)
 class VoteModel:
-    shares: tuple[float, ...]  # of good documents, then of each telling rule's bad ones
+    shares: tuple[float, ...]  # of good documents, then of each telling rule's bad ones, then of hinted ones
     says_bad: tuple[tuple[float, ...], ...]  # for each of these sorts, the share of each rule's votes that say bad
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
@@ -161,9 +178,8 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> VoteModel:
     rules, codes = len(RULES), sorted(counts)
     patterns = np.array([[c // 3**k % 3 for k in range(rules - 1, -1, -1)] for c in codes], np.int64).reshape(-1, rules)
     n = np.array([counts[c] for c in codes], np.float64)
-    anchors = np.array([[r == t for r in RULES] for t in ("", *TELLING)])
-    believed = np.where(anchors, CAUGHT, [FALSE_ALARM[r] for r in RULES])
-    usual = np.array([0.8, *[0.2 / len(TELLING)] * len(TELLING)])
+    believed = np.maximum(LEAST, [FALSE_ALARM[r] for r in RULES])
+    usual = np.array([0.8, *[0.2 / (len(LEAST) - 1)] * (len(LEAST) - 1)])
     shares, says_bad, belief = usual, believed, BELIEF + BELIEF_SHARE * n.sum()
     for _ in range(rounds):
         held = _sorted_out(patterns, shares, says_bad) * n[:, None]
@@ -171,7 +187,7 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> VoteModel:
         shares = (held.sum(axis=0) + BELIEF * usual) / (n.sum() + BELIEF)
         bad, voted = held.T @ (patterns == BAD), held.T @ (patterns != ABSTAIN)
         says_bad = np.clip((bad + belief * believed) / (voted + belief), 1e-6, 1 - 1e-6)
-        says_bad = np.where(anchors, np.maximum(says_bad, CAUGHT), says_bad)
+        says_bad = np.maximum(says_bad, LEAST)
         if np.abs(old - np.concatenate([shares, says_bad.ravel()])).max() < 1e-10:
             break
     return VoteModel(tuple(shares.tolist()), tuple(map(tuple, says_bad.tolist())))
