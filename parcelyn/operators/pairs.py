@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import matching as M
 from ..storage import written
+from . import vectors
 
 
 def block_pairs(listings: DataFrame, salts: int = 1) -> DataFrame:
@@ -87,7 +89,7 @@ def against_all(queries: DataFrame, rows: DataFrame, by: str, parts: int = 32) -
 def tolerant_join(a: DataFrame, b: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Pairs of rows a_* and b_* of different sources, a_id < b_id, whose prices and sizes are within tolerance or missing.
 
-    A band join: known values meet by their band and its neighbours. A missing value rules nothing out, so a row without
+    For narrow rows without vectors. A band join: known values meet by their band and its neighbours. A missing value rules nothing out, so a row without
     price and size is a query against all rows, and so is one that lacks the price against those that lack the size.
     """
     a = a.withColumns({"a_pb": _band(F.col("a_price"), config.price_tolerance), "a_sb": _band(F.col("a_size_sqm"), config.size_tolerance)})
@@ -111,18 +113,28 @@ def tolerant_join(a: DataFrame, b: DataFrame, config: Config = DEFAULT) -> DataF
     return pairs.where(within_tolerance(F.col("a_price"), F.col("b_price"), config.price_tolerance) & within_tolerance(F.col("a_size_sqm"), F.col("b_size_sqm"), config.size_tolerance))
 
 
+def _apart(a, b, most: float):
+    """Whether known values above zero of two numpy arrays differ by `most` or more of the larger."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (a > 0) & (b > 0) & ~(np.abs(a - b) / np.maximum(a, b) < most)
+
+
 def similar_pairs(listings: DataFrame, config: Config = DEFAULT, reject: float | None = None) -> DataFrame:
     """(a_id, b_id, similarity): for each listing the most similar later ones of other sources, within tolerance.
 
-    At most config.candidates_per_listing a listing, by similarity and then id; similarity must be above `reject`.
-    Ranks are limited before the window's shuffle.
+    At most config.candidates_per_listing a listing, by similarity and then id; similarity must be above `reject`. A
+    missing price or size rules nothing out. Candidates come from the cells of a vector index that can hold such a
+    similarity, so a listing meets its neighbours whatever its price, and full vectors are read for the best ones only.
     """
-    own = listings.select("id", "source_domain", "price", "size_sqm", "embedding", M.norm(F.col("embedding")).alias("norm"))
-    a, b = (own.select(*(F.col(c).alias(f"{s}_{c}") for c in own.columns)) for s in "ab")
-    similarity = M.cosine(F.col("a_embedding"), F.col("b_embedding"), F.col("a_norm"), F.col("b_norm"))
-    pairs = tolerant_join(a, b, config).select("a_id", "b_id", similarity.alias("similarity"))
-    pairs = pairs.where(F.col("similarity") > (config.reject_similarity if reject is None else reject))
-    return top_per_group(pairs, ["a_id"], [F.col("similarity").desc(), F.col("b_id")], config.candidates_per_listing)
+    columns = ("source_domain", "price", "size_sqm")
+    own = listings.select("id", "source_domain", F.col("price").cast("double").alias("price"), F.col("size_sqm").cast("double").alias("size_sqm"), "embedding")
+
+    def allowed(a, b):
+        other = (a["source_domain"] != b["source_domain"]) & (a["source_domain"] >= 0) & (b["source_domain"] >= 0)
+        near = ~_apart(a["price"], b["price"], config.price_tolerance) & ~_apart(a["size_sqm"], b["size_sqm"], config.size_tolerance)
+        return other & near & (a["rank"] < b["rank"])
+
+    return vectors.best(own, config.candidates_per_listing, allowed, columns, above=config.reject_similarity if reject is None else reject)
 
 
 def top_per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import lifecycle as L
 from ..operators import pairs as P
 from ..operators import reports as R
 from ..operators import scoring as S
+from ..operators import vectors as V
 from ..sources import readers
 from ..sources.readers import table
 from ..storage import upsert
@@ -120,10 +121,17 @@ def cascade_summary(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a_id, b_id, round(c, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY c DESC, b_id) <= 5"""
 )
 def topk_similar(spark: SparkSession, sf: str) -> DataFrame:
-    own = table(spark, sf, "embeddings").withColumn("norm", M.norm(F.col("embedding")))
-    a, b = (own.select("label", F.col("vec_id").alias(f"{s}_id"), F.col("embedding").alias(f"{s}_embedding"), F.col("norm").alias(f"{s}_norm")) for s in "ab")
-    pairs = a.join(b, "label").where("a_id <> b_id").select("a_id", "b_id", cosine_of_pair().alias("c"))
-    return P.top_per_group(pairs, ["a_id"], [F.col("c").desc(), F.col("b_id")], 5).select("a_id", "b_id", F.round("c", 6).alias("similarity"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    found = V.best(rows, 5, lambda a, b: a["label"] == b["label"], ("label",), above=-1.0)
+    return found.select("a_id", "b_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def index_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 nearest vectors of each one, from as many cells of an index as a sample of queries needs."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    cells = V.fit(rows)
+    return V.best(rows, 10, lambda a, b: a["rank"] != b["rank"], probes=V.probes_needed(rows, cells, 10), cells=cells)
 
 
 EDGES_SQL = (
