@@ -247,15 +247,23 @@ def merge_clusters(members: DataFrame, commands: DataFrame) -> DataFrame:
     return members.join(to, "cluster_id", "left").select(F.coalesce("target", "cluster_id").alias("cluster_id"), *(c for c in members.columns if c != "cluster_id")).distinct()
 
 
-def verdicts(clusters: DataFrame, commands: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def verdicts(clusters: DataFrame, commands: DataFrame, now: Column, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(clusters, outcomes) after commands (id, verdict, by): approve locks a cluster, unknown ids and verdicts fail alone.
 
-    All commands are taken, however many, and each has its outcome.
+    All commands are taken, however many, and each has its outcome (id, verdict, ok, outcome). Of several valid ones on a
+    cluster the last by column `order` counts and the others are superseded; of equal last ones, and without an order, all
+    are refused as ambiguous.
     """
-    known = clusters.select("id").withColumn("_known", F.lit(True))
-    judged = commands.join(known, "id", "left").withColumn("ok", F.coalesce("_known", F.lit(False)) & F.col("verdict").isin("APPROVED", "PENDING"))
-    good = judged.where("ok").select("id", F.col("verdict").alias("_verdict"), F.col("by").alias("_by"))
-    x = clusters.join(good, "id", "left")
+    known = clusters.select("id").distinct().withColumn("_known", F.lit(True))
+    judged = commands.withColumn("_at", F.struct(F.col(order) if order else F.lit(0))).join(known, "id", "left")
+    judged = judged.withColumn("_valid", F.coalesce("_known", F.lit(False)) & F.coalesce(F.col("verdict").isin("APPROVED", "PENDING"), F.lit(False)))
+    # One aggregate a cluster: its last place and how many commands are there.
+    valid = judged.where("_valid")
+    last = valid.groupBy("id").agg(F.max("_at").alias("_last"), F.max_by(F.struct("verdict", "by"), "_at").alias("_said"))
+    at_last = valid.join(last.select("id", "_last"), "id").where(F.col("_at").eqNullSafe(F.col("_last"))).groupBy("id").agg(F.count("*").alias("_equal"))
+    last = last.join(at_last, "id")
+    taken = last.where("_equal = 1").select("id", F.col("_said.verdict").alias("_verdict"), F.col("_said.by").alias("_by"))
+    x = clusters.join(taken, "id", "left")
     hit, approve = F.col("_verdict").isNotNull(), F.col("_verdict") == "APPROVED"
     x = x.withColumns(
         {
@@ -265,7 +273,10 @@ def verdicts(clusters: DataFrame, commands: DataFrame, now: Column) -> tuple[Dat
             "verdict_locked_by": F.when(hit & approve, F.col("_by")).when(hit, F.lit(None)).otherwise(F.col("verdict_locked_by")),
         }
     )
-    return x.select(*clusters.columns), judged.select("id", "verdict", "ok")
+    ours = F.col("_at").eqNullSafe(F.col("_last"))
+    outcome = F.when(~F.coalesce("_known", F.lit(False)), "unknown cluster").when(~F.col("_valid"), "unknown verdict").when(~ours, "superseded").when(F.col("_equal") > 1, "ambiguous").otherwise("done")
+    outcomes = judged.join(last.select("id", "_last", "_equal"), "id", "left").select("id", "verdict", outcome.alias("outcome"))
+    return x.select(*clusters.columns), outcomes.select("id", "verdict", (F.col("outcome") == "done").alias("ok"), "outcome")
 
 
 def recurrences(feedback: DataFrame, members: DataFrame) -> DataFrame:
