@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.matching import pair_key
+from ..storage import written
 from .graph import components
 
 
@@ -112,12 +113,63 @@ def bridges(cases: DataFrame, clusters: DataFrame, config: Config = DEFAULT) ->
     )
 
 
+def ordered_union(edges: DataFrame, labels: DataFrame, most_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(members, blocked) of taking edges (a_id, b_id) in their order: each joins its ends' components, unless both hold
+    different labels already.
+
+    labels: node, cluster_id. members: node, root (the component's least node), cluster_id. blocked: a_id, b_id,
+    cluster_a, cluster_b of the edges that would have joined two labels.
+
+    An edge is taken just when it belongs to the least spanning forest, by order, of the graph in which all labelled nodes
+    are one: what closes a ring there is within one component or between two labels. That forest grows in rounds in
+    which every component takes its least edge, so that a component of any size needs some log2 of its nodes, and none is
+    ever held by one task.
+    """
+    edges = edges.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).where("a_id <> b_id").distinct()
+    edges = written(edges, "ordered-edges")
+    nodes = edges.select(F.explode(F.array("a_id", "b_id")).alias("node")).distinct()
+    own = nodes.join(labels.groupBy("node").agg(F.min("cluster_id").alias("cluster_id")), "node", "left")
+    # The labelled nodes are one component, the least of all.
+    free = F.col("cluster_id").isNull()
+    own = written(own.select("node", "cluster_id", F.struct(free.alias("free"), F.when(free, F.col("node")).alias("id")).alias("comp")), "ordered-nodes")
+    at, live, taken = own.select("node", "comp"), edges, []
+    for _ in range(most_rounds):
+        a, b = (at.select(F.col("node").alias(f"{s}_id"), F.col("comp").alias(f"{s}_comp")) for s in "ab")
+        live = written(live.join(a, "a_id").join(b, "b_id").where("a_comp <> b_comp"), "ordered-edges")
+        least = F.min(F.struct("a_id", "b_id", "comp", "other")).alias("e")
+        ends = live.select("a_id", "b_id", F.col("a_comp").alias("comp"), F.col("b_comp").alias("other"))
+        ends = ends.union(live.select("a_id", "b_id", "b_comp", "a_comp"))
+        chosen = written(ends.groupBy(F.col("comp").alias("of")).agg(least).select("e.*"), "ordered-taken")
+        if chosen.isEmpty():
+            break
+        taken.append(chosen.select("a_id", "b_id"))
+        roots = components(chosen.select(F.col("comp").alias("a"), F.col("other").alias("b")))
+        # Nodes of the labelled component stay there; only the others look for their new one.
+        moving = at.where("comp.free").join(roots.select(F.col("node").alias("comp"), "root"), "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+        at, live = written(at.where("NOT comp.free").unionByName(moving), "ordered-nodes"), live.select("a_id", "b_id")
+    else:
+        raise RuntimeError("the union did not settle")
+    forest = taken[0] if taken else edges.limit(0)
+    for t in taken[1:]:
+        forest = forest.union(t)
+    trees = components(forest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    named = own.select("node", "cluster_id").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = named.groupBy("root").agg(F.min("cluster_id").alias("label"))
+    named = written(named.select("node", "root").join(label, "root").select("node", "label"), "ordered-labels")
+    a, b = (named.select(F.col("node").alias(f"{s}_id"), F.col("label").alias(f"{s}_label")) for s in "ab")
+    both = written(edges.join(a, "a_id").join(b, "b_id"), "ordered-edges")
+    roots = components(both.where("a_label <=> b_label").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    members = named.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("label").alias("cluster_id"))
+    blocked = both.where("NOT (a_label <=> b_label)").select("a_id", "b_id", F.least("a_label", "b_label").alias("cluster_a"), F.greatest("a_label", "b_label").alias("cluster_b"))
+    return members, blocked
+
+
 def seeded_components(duplicates: DataFrame, seeds: DataFrame, clusters: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, flags, disagreements) of clustering around approved clusters, which never merge with each other.
 
     members: property_id, root, cluster_id (null for a new cluster), mean confidence of new ones. Components that would
-    touch at most one approved cluster don't depend on order. In the others the free edges are taken in order of (a, b)
-    by a sequential union within that component, and an edge that would join two approved clusters is left out.
+    touch at most one approved cluster don't depend on order. In the others the free edges are taken in order of (a, b),
+    and an edge that would join two approved clusters is left out (ordered_union).
     """
     cases = edge_cases(duplicates, seeds)
     won = bridges(cases, clusters, config)
@@ -131,47 +183,10 @@ def seeded_components(duplicates: DataFrame, seeds: DataFrame, clusters: DataFra
 
     conflict = touched.where("n > 1").select("root")
     with_root = free.join(nodes.select(F.col("node").alias("a_id"), "root"), "a_id").join(conflict, "root", "left_semi")
-    own = held.select(F.col("property_id").alias("_p"), F.col("cluster_id").alias("_c"))
-    with_root = with_root.join(own.withColumnsRenamed({"_p": "a_id", "_c": "a_own"}), "a_id", "left").join(own.withColumnsRenamed({"_p": "b_id", "_c": "b_own"}), "b_id", "left")
-
-    def sequential(pdf):
-        import pandas as pd
-
-        parent, label, blocked = {}, {}, []
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        pdf = pdf.sort_values(["a_id", "b_id"])
-        for r in pdf.itertuples():
-            for p, c in ((r.a_id, r.a_own), (r.b_id, r.b_own)):
-                if isinstance(c, str):
-                    label.setdefault(find(p), c)
-                find(p)
-        for r in pdf.itertuples():
-            a, b = find(r.a_id), find(r.b_id)
-            if a == b:
-                continue
-            la, lb = label.get(a), label.get(b)
-            if la and lb and la != lb:
-                blocked.append((r.a_id, r.b_id, min(la, lb), max(la, lb)))
-                continue
-            top, low = min(a, b), max(a, b)
-            parent[low] = top
-            if la or lb:
-                label[top] = la or lb
-        rows = [(p, find(p), label.get(find(p)), None, None, None) for p in sorted(parent)]
-        rows += [(a, None, x, b, y, True) for a, b, x, y in blocked]
-        return pd.DataFrame(rows, columns=["property_id", "root", "cluster_id", "other_id", "other_cluster", "blocked"]).astype(object)
-
-    done = with_root.groupBy("root").applyInPandas(sequential, "property_id string, root string, cluster_id string, other_id string, other_cluster string, blocked boolean")
-    members = plain.unionByName(done.where("blocked IS NULL").select("property_id", "root", "cluster_id"))
+    joined, blocked = ordered_union(with_root.select("a_id", "b_id"), held.select(F.col("property_id").alias("node"), "cluster_id"))
+    members = plain.unionByName(joined.select(F.col("node").alias("property_id"), "root", "cluster_id"))
     alone = won.select("property_id", F.col("property_id").alias("root"), F.col("winner").alias("cluster_id")).join(nodes.select(F.col("node").alias("property_id")), "property_id", "left_anti")
     disagreements = cases.where("kind = 'disagree'").select("a_id", "b_id", F.least("a_cluster", "b_cluster").alias("cluster_a"), F.greatest("a_cluster", "b_cluster").alias("cluster_b"))
-    blocked = done.where("blocked").select(F.col("property_id").alias("a_id"), F.col("other_id").alias("b_id"), F.col("cluster_id").alias("cluster_a"), F.col("other_cluster").alias("cluster_b"))
     return members.unionByName(alone), flags, disagreements.unionByName(blocked)
 
 

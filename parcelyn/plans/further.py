@@ -18,7 +18,7 @@ from ..operators import scoring as S
 from ..sources.readers import table
 from ..storage import deltas
 from .catalogue import JUDGED_SQL, MEMBERS_SQL, RULED_SQL, attempts, blocked, members, pairs_judged, query, scored, streamed
-from .listings import SQL, listings
+from .listings import SCALED, SQL, listings
 from .more import day, later
 
 # --- what models are given -------------------------------------------------------------------------------------------
@@ -412,3 +412,53 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     x = listings(spark, sf)
     return streamed(spark, x.where("label < 5"), lambda new: jobs.incremental_dedup(new, x), "append").select("a_id", "b_id")
+
+
+def grown(spark: SparkSession, sf: str):
+    """The state after a stream has brought the active listings in three batches."""
+    from ..operators import incremental
+    from ..storage import fresh_path
+
+    x, path, folder, log = listings(spark, sf).where("is_active"), *(fresh_path(spark, k) for k in ("stream-in", "stream-state", "stream-log"))
+    for k in range(3):
+        x.where(F.pmod(F.xxhash64("id"), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(path)
+    state = incremental.GrowingClusters(spark, folder, SCALED, linking=("duplicate", "uncertain"))
+    state.create(x, buckets=4)
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    incremental.grow(stream, state, log).trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+@query(
+    f"""WITH RECURSIVE {RULED_SQL}, arcs AS (SELECT a_id AS x, b_id AS y FROM scored WHERE verdict <> 'different' UNION ALL SELECT b_id, a_id FROM scored WHERE verdict <> 'different'),
+    walk AS (SELECT DISTINCT x AS node, x AS reach FROM arcs UNION SELECT w.node, b.y FROM walk w JOIN arcs b ON w.reach = b.x),
+    joined AS (SELECT node, min(reach) AS root FROM walk GROUP BY 1),
+    judged AS (SELECT node, count(*) AS n_pairs, count(*) FILTER (verdict <> 'different') AS n_linked, round(sum(confidence), 5) AS confidence FROM (SELECT unnest([a_id, b_id]) AS node, verdict, confidence FROM scored) GROUP BY 1)
+    SELECT id AS node, coalesce(root, id) AS root, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_linked, 0) AS n_linked, coalesce(judged.confidence, 0)::DOUBLE AS confidence
+    FROM listings LEFT JOIN joined ON joined.node = id LEFT JOIN judged ON judged.node = id WHERE is_active"""
+)
+def stream_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters and verdicts that grew batch by batch are those of all listings at once."""
+    state = grown(spark, sf)
+    ends = state.verdicts().select(F.explode(F.array("a_id", "b_id")).alias("node"), "verdict", "confidence")
+    judged = ends.groupBy("node").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("verdict") != "different").alias("n_linked"), F.round(F.sum("confidence"), 5).alias("confidence"))
+    nothing = {"n_pairs": 0, "n_linked": 0, "confidence": 0.0}
+    return state.clusters().join(judged, "node", "left").fillna(nothing)
+
+
+@query(
+    """WITH m AS (SELECT c_custkey AS k, c_custkey // 7 AS g, c_custkey % 7 AS i FROM customer), n AS (SELECT * FROM m WHERE (SELECT max(k) FROM m) >= g * 7 + 5 AND i BETWEEN 1 AND 5 AND g * 7 + 1 >= (SELECT min(k) FROM m))
+    SELECT lpad(k::VARCHAR, 9, '0') AS node, lpad((CASE WHEN i = 5 THEN k ELSE g * 7 + 1 END)::VARCHAR, 9, '0') AS root, CASE WHEN i = 5 THEN 'B' ELSE 'A' END || g AS cluster_id,
+    CASE WHEN i = 5 THEN lpad((k - 1)::VARCHAR, 9, '0') END AS blocked_from FROM n"""
+)
+def contested_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains of five listings between two approved clusters each: the last link of a chain comes too late."""
+    k = F.col("c_custkey")
+    name = lambda x: F.lpad(x.cast("string"), 9, "0")
+    c = table(spark, sf, "customer").select(k, (k % 7).alias("i"), F.expr("c_custkey div 7").alias("g"))
+    whole = c.where("i BETWEEN 1 AND 5").groupBy("g").agg(F.count("*").alias("n")).where("n = 5").select("g")
+    c = c.join(whole, "g")
+    edges = c.where("i BETWEEN 1 AND 4").select(name(k).alias("a_id"), name(k + 1).alias("b_id"))
+    labels = c.where("i IN (1, 5)").select(name(k).alias("node"), F.concat(F.when(F.col("i") == 1, "A").otherwise("B"), F.col("g").cast("string")).alias("cluster_id"))
+    members, blocked = K.ordered_union(edges, labels)
+    return members.join(blocked.select(F.col("b_id").alias("node"), F.col("a_id").alias("blocked_from")), "node", "left")
