@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass, field, fields, replace
 
 
 @dataclass(frozen=True)
@@ -79,3 +80,12 @@ class Config:
 
 
 DEFAULT = Config()
+
+
+def weighted(rows: Iterable[tuple[str, float]], config: Config = DEFAULT) -> Config:
+    """config with the weights of rows (name, weight), say those of a table that is kept apart; unknown names are refused."""
+    given = dict(rows)
+    unknown = given.keys() - {f.name for f in fields(Weights)}
+    if unknown:
+        raise ValueError(f"no such weights: {sorted(unknown)}")
+    return replace(config, weights=replace(config.weights, **{k: float(v) for k, v in given.items()}))

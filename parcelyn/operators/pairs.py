@@ -177,3 +177,17 @@ def nearest_area(points: DataFrame, areas: DataFrame, degrees: float = 0.25, sph
     for d in done[1:]:
         out = out.union(d)
     return out.select("id", "best.area_id", "best.distance")
+
+
+def located(points: DataFrame, areas: DataFrame, municipalities: DataFrame, prefectures: DataFrame, degrees: float = 0.25) -> DataFrame:
+    """points (id, lat, lng) with area_id, distance, municipality_id and prefecture_id of the nearest area.
+
+    areas: area_id, lat, lng (numbers or texts, a blank one is missing), municipality_id. municipalities: municipality_id,
+    prefecture_id. An area counts only where its municipality and that one's prefecture are known. A point without a place
+    keeps its row with nulls.
+    """
+    number = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).try_cast("double").alias(c)
+    known = areas.join(municipalities.join(prefectures.select("prefecture_id"), "prefecture_id", "left_semi").select("municipality_id", "prefecture_id"), "municipality_id")
+    near = nearest_area(points, known.select("area_id", number("lat"), number("lng")), degrees)
+    placed = near.join(known.select("area_id", "municipality_id", "prefecture_id"), "area_id")
+    return points.join(placed, "id", "left")

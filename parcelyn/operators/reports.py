@@ -86,6 +86,14 @@ def evaluation(scored: DataFrame, by: str | None = None) -> DataFrame:
     return x.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "coverage")})
 
 
+def evaluation_costs(scored: DataFrame, by: str | None = None) -> DataFrame:
+    """Pairs with their dollars and latencies (verdict, cost_usd, latency_ms): sums, means, and seconds a thousand pairs."""
+    cost, ms = F.coalesce("cost_usd", F.lit(0.0)), F.coalesce("latency_ms", F.lit(0.0))
+    x = (scored.groupBy(by) if by else scored.groupBy()).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 6).alias("cost_usd"), F.coalesce(F.sum(ms), F.lit(0.0)).alias("total_ms"))
+    mean = F.coalesce(F.try_divide("total_ms", "n"), F.lit(0.0))
+    return x.withColumns({"mean_ms": F.round(mean, 1), "seconds_per_1000": F.round(mean, 2), "total_ms": F.round("total_ms", 1)})
+
+
 def calibrated_thresholds(predictions: DataFrame, least_precision: float = 0.95, step: float = 0.05) -> DataFrame:
     """(low, high, coverage, precision): of all grids low <= high the one that covers most at the wanted precision.
 

@@ -763,4 +763,4 @@ def stream_promotions(spark: SparkSession, sf: str) -> DataFrame:
     return streamed(spark, rows, lambda x: jobs.promotions(x, late), "append", **plan)
 
 
-from . import further, more  # noqa: E402, F401 - register further queries
+from . import deeper, further, more  # noqa: E402, F401 - register further queries
