@@ -227,3 +227,29 @@ def weighted_scores(spark: SparkSession, sf: str) -> DataFrame:
     weights = spark.createDataFrame([("bedrooms_same", DEFAULT.weights.bedrooms_same + 0.25), ("same_area", DEFAULT.weights.same_area - 1.5)], "name string, weight double")
     config = weighted([tuple(r) for r in weights.collect()], SCALED)
     return S.rule_scores(blocked(spark, sf), config).select("a_id", "b_id", "score")
+
+
+# --- list walks ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT page_id, page_id // 5 AS site, page_id % 5 AS place, page_id % 5 + 1 AS page, page_id % 7 AS n, length(html) AS own FROM pages),
+    reach AS (SELECT a.* FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.site = a.site AND b.place < a.place AND b.n = 0) AND EXISTS (SELECT 1 FROM p b WHERE b.site = a.site AND b.place = 0))
+    SELECT 'site' || site AS domain, page::INTEGER AS page, n::INTEGER AS n_cards, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS stage FROM reach"""
+)
+def walked_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Walks over lists of up to five pages each, made of all pages: one without cards ends its site's walk."""
+    from ..sources import crawl
+
+    k = F.col("page_id")
+    name, place = F.concat(F.lit("site"), F.expr("page_id div 5").cast("string")), k % 5
+    address = lambda p: F.concat(F.lit("http://"), name, F.lit("/list?page="), (p + 1).cast("string"))
+    card = lambda i: F.concat(F.lit('<a class="property-item" href="http://x/listing-'), (k * 10 + i).cast("string"), F.lit('"><i class="price">€ 500.000</i></a>'))
+    shown = F.when(k % 7 == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(k % 7, F.lit(1))), card), ""))
+    following = F.when(place < 4, F.concat(F.lit('<a rel="next" href="'), address(place + 1), F.lit('">'))).otherwise(F.lit('<li class="last disabled">'))
+    x = table(spark, sf, "pages").withColumn("list", F.concat(F.rpad(F.lit("<p>"), 220, "x"), shown, following, F.regexp_replace("html", "(?i)<a |<li", "<b ")))
+    good = x.select(address(place).alias("url"), F.when(k % 3 == 0, 1).otherwise(0).alias("stage"), F.lit(200).alias("status"), F.col("list").alias("body"))
+    bad = x.where(k % 3 == 0).select(address(place).alias("url"), F.lit(0).alias("stage"), F.lit(403).alias("status"), F.lit("").alias("body"))
+    starts = x.where(place == 0).select(name.alias("domain"), address(place).alias("url"), F.lit(0).alias("preferred"))
+    _, pages, _ = crawl.walk(starts, good.union(bad))
+    return pages.where("error_code IS NULL").select("domain", "page", "n_cards", "stage")
