@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import timedelta
+from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..config import DEFAULT, Config
 from ..functions import matching as M
@@ -31,42 +34,100 @@ def retained(attempts: DataFrame, days: int = 30) -> DataFrame:
     return attempts.withWatermark("created_at", f"{days} days").dropDuplicatesWithinWatermark(["id"])
 
 
-def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, step: Callable, out: str) -> DataFrame:
+#: State with lists and timers needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Fold(StatefulProcessor):
+    """Keeps a key's rows by stretches of event time until the watermark has passed them, then folds them in order.
+
+    What a batch brings for a stretch becomes one new entry, so state is written by the new rows alone; entries go when
+    their stretch is folded. A timer waits for each stretch's end, and one for the end of a key's idleness.
+    """
+
+    def __init__(self, columns: list[str], order: str, step: Callable, width_ms: int, idle_ms: int, names: list[str]):
+        self.names = names
+        self.columns, self.order, self.step, self.width, self.idle = columns, order, step, width_ms, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "stretch long, part int", "rows string")
+        self.carry = handle.getValueState("carry", "value string, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        by_stretch: dict[int, list] = {}
+        for r in rows:
+            row = [float(v) if isinstance(v, Decimal) else v for v in (r[c] for c in self.columns)]
+            by_stretch.setdefault(r["_us"] // 1000 // self.width, []).append([r["_us"], *row])
+        for stretch, own in by_stretch.items():
+            part = 0
+            while self.waiting.containsKey((stretch, part)):
+                part += 1
+            self.waiting.updateValue((stretch, part), (json.dumps(own),))
+            if part == 0:
+                self.handle.registerTimer((stretch + 1) * self.width)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark, ready = timerValues.getCurrentWatermarkInMs(), {}
+        for at in list(self.waiting.keys()):
+            if (at[0] + 1) * self.width <= mark:
+                ready.setdefault(at[0], []).append(at[1])
+        value, last = self.carry.get() if self.carry.exists() else ("null", None)
+        carry, found = json.loads(value), []
+        for stretch in sorted(ready):
+            rows = [r for part in ready[stretch] for r in json.loads(self.waiting.getValue((stretch, part))[0])]
+            place = 1 + self.columns.index(self.order)
+            for us, *row in sorted(rows, key=lambda r: (r[0], r[place])):
+                if last is not None and us // 1000 - last > self.idle:
+                    carry = None
+                carry, made = self.step(carry, dict(zip(self.columns, row, strict=True)) | {"us": us})
+                last = us // 1000
+                if made is not None:
+                    found.append(Row(**dict(zip(self.names, (key[0], *made), strict=True))))
+            for part in ready[stretch]:
+                self.waiting.removeKey((stretch, part))
+        if ready:
+            self.carry.update((json.dumps(carry), last))
+            self.handle.registerTimer(max(last + self.idle, mark) + 1)
+        elif last is not None and last + self.idle < mark:
+            self.carry.clear()
+        return iter(found)
+
+    def close(self) -> None:
+        pass
+
+
+def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, step: Callable, out: str, stretch: str = "1 hour", idle: str = "365 days") -> DataFrame:
     """A fold over each key's rows in order of (at, order), whatever order and batches they come in.
 
-    A row waits in its key's state until the watermark has passed it, so none that comes before it can still arrive;
-    rows later than `late` are dropped. step(carry, row) gives (new carry, output row or None); carry starts as None and
-    is kept as JSON. Output rows have the schema `out`, the key first.
+    Rows wait by stretches of event time until the watermark has passed their stretch's end, so none that comes before
+    them can still arrive; rows later than `late` are dropped. step(carry, row) gives (new carry, output row or None);
+    row has the columns and `us`, the microseconds of `at`, and gives times back as such; carry starts as None and is kept
+    as JSON. A key without rows for `idle` is forgotten and starts anew. Output rows have the schema `out`, the key first.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    columns = [c for c in rows.columns if c not in (key, at)]
+    given = T.StructType([T.StructField(f.split()[0], T._parse_datatype_string(f.split(None, 1)[1])) for f in out.split(", ")])
+    plain = T.StructType([T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in given])
+    ms = lambda x: int(timedelta_of(x).total_seconds() * 1000)
+    marked = rows.withWatermark(at, late).select(key, at, *columns, F.unix_micros(at).alias("_us"))
+    folded = marked.groupBy(key).transformWithState(_Fold(columns, order, step, ms(stretch), ms(idle), plain.names), plain, "append", "eventTime")
+    return folded.select(*(F.timestamp_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in given))
+
+
+def timedelta_of(text: str) -> timedelta:
+    """A number and a unit (seconds, minutes, hours, days)."""
+    n, unit = text.split()
+    return timedelta(**{unit.rstrip("s") + "s": float(n)})
+
+
+def promotions(attempts: DataFrame, late: str = "1 day", config: Config = DEFAULT, idle: str = "365 days") -> DataFrame:
+    """(domain, stage, created_at) whenever a domain reaches the streak of successes at a stage above 0, in event time.
+
+    A streak doesn't outlast a silence longer than `idle`.
     """
-    columns = [c for c in rows.columns if c != key]
-
-    def update(keys, frames: Iterator, state: GroupState):
-        import pandas as pd
-
-        carry, waiting = (json.loads(x) for x in state.get) if state.exists else (None, [])
-        for frame in frames:
-            for r in frame[columns].itertuples(index=False):
-                row = dict(zip(columns, r, strict=True))
-                row[at] = int(row[at].value // 1000)
-                waiting.append({c: None if isinstance(v, float) and v != v else v.item() if hasattr(v, "item") else v for c, v in row.items()})
-        mark, found = state.getCurrentWatermarkMs(), []
-        ready = sorted((r for r in waiting if r[at] // 1000 < mark), key=lambda r: (r[at], r[order]))
-        waiting = [r for r in waiting if r[at] // 1000 >= mark]
-        for r in ready:
-            carry, made = step(carry, r | {at: pd.Timestamp(r[at], unit="us")})
-            if made is not None:
-                found.append((keys[0], *made))
-        state.update((json.dumps(carry), json.dumps(waiting)))
-        if waiting:
-            state.setTimeoutTimestamp(max(min(r[at] for r in waiting) // 1000, mark + 1))
-        yield pd.DataFrame(found, columns=[x.split()[0] for x in out.split(", ")])
-
-    marked = rows.withWatermark(at, late)
-    return marked.groupBy(key).applyInPandasWithState(update, out, "carry string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def promotions(attempts: DataFrame, late: str = "1 day", config: Config = DEFAULT) -> DataFrame:
-    """(domain, stage, created_at) whenever a domain reaches the streak of successes at a stage above 0, in event time."""
     need = config.promotion_streak
 
     def step(carry, r):
@@ -75,20 +136,23 @@ def promotions(attempts: DataFrame, late: str = "1 day", config: Config = DEFAUL
             return (-1, 0), None
         streak = streak + 1 if r["stage"] == stage else 1
         stage = r["stage"]
-        return (stage, streak), (int(stage), r["created_at"]) if streak == need and stage > 0 else None
+        return (stage, streak), (int(stage), r["us"]) if streak == need and stage > 0 else None
 
     rows = attempts.select("domain", "created_at", "id", "success", "stage")
-    return in_event_time(rows, "domain", "created_at", "id", late, step, "domain string, stage int, created_at timestamp")
+    return in_event_time(rows, "domain", "created_at", "id", late, step, "domain string, stage int, created_at timestamp", idle=idle)
+
 
+def price_history(observations: DataFrame, late: str = "1 day", idle: str = "3650 days") -> DataFrame:
+    """(id, old_price, new_price, changed_at) of prices that changed, in event time; missing prices are passed over.
 
-def price_history(observations: DataFrame, late: str = "1 day") -> DataFrame:
-    """(id, old_price, new_price, changed_at) of prices that changed, in event time; missing prices are passed over."""
+    A listing not seen for longer than `idle` begins anew.
+    """
 
     def step(last, r):
-        return r["price"], (float(last), float(r["price"]), r["seen_at"]) if last is not None and r["price"] != last else None
+        return r["price"], (float(last), float(r["price"]), r["us"]) if last is not None and r["price"] != last else None
 
     rows = observations.select("id", "seen_at", "price").where("price IS NOT NULL")
-    return in_event_time(rows, "id", "seen_at", "price", late, step, "id long, old_price double, new_price double, changed_at timestamp")
+    return in_event_time(rows, "id", "seen_at", "price", late, step, "id long, old_price double, new_price double, changed_at timestamp", idle=idle)
 
 
 def incremental_dedup(new: DataFrame, pool: DataFrame, config: Config = DEFAULT) -> DataFrame:
