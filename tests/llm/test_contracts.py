@@ -247,7 +247,7 @@ def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = Q.QUERIES[name](spark, SMALL)
     theirs = con.execute(Q.ORACLE_SQL[name])
