@@ -127,3 +127,15 @@ def test_agents_file_has_a_mark(spark, tmp_path):
     R.write_agents(spark.createDataFrame([("a", 1)], "name string, n int").coalesce(1), str(tmp_path / "x"))
     [file] = (tmp_path / "x").glob("part-*")
     assert file.read_bytes() == b"\xef\xbb\xbfname;n\na;1\n"
+
+
+def test_dense_areas_meet_few_points_each(spark):
+    """3,000 places of areas in one degree and as many points: the first grid is so fine that no cell has many."""
+    areas = spark.range(6000).selectExpr("id AS area_id", "39 + id % 3000 % 61 / 61D AS lat", "22 + id % 3000 % 59 / 59D AS lng")
+    own = areas.groupBy(F.col("lat").alias("area_lat"), F.col("lng").alias("area_lng")).agg(F.min("area_id").alias("area_id"))
+    width = P._first_width(own, 0.25)
+    assert own.groupBy(F.floor(F.col("area_lat") / width), F.floor(F.col("area_lng") / width)).count().agg(F.max("count")).first()[0] <= 8
+    points = spark.range(400).selectExpr("id", "39 + id * 37 % 101 / 101D AS lat", "22 + id * 91 % 97 / 97D AS lng")
+    near = {r.id: (r.area_id, r.distance) for r in P.nearest_area(points, areas).collect()}
+    every = points.crossJoin(areas.withColumnsRenamed({"lat": "y", "lng": "x"})).selectExpr("id", "struct(sqrt(pow(lat - y, 2) + pow(lng - x, 2)) AS d, area_id) AS s").groupBy("id").agg(F.min("s").alias("s"))
+    assert near == {r.id: (r.s.area_id, r.s.d) for r in every.collect()}
