@@ -139,3 +139,14 @@ def test_dense_areas_meet_few_points_each(spark):
     near = {r.id: (r.area_id, r.distance) for r in P.nearest_area(points, areas).collect()}
     every = points.crossJoin(areas.withColumnsRenamed({"lat": "y", "lng": "x"})).selectExpr("id", "struct(sqrt(pow(lat - y, 2) + pow(lng - x, 2)) AS d, area_id) AS s").groupBy("id").agg(F.min("s").alias("s"))
     assert near == {r.id: (r.s.area_id, r.s.d) for r in every.collect()}
+
+
+def test_blocks_bring_columns_without_shuffling_pairs(spark):
+    """Pairs with both sides' columns are those of a plain join, in a plan of one join; what concerns one listing is computed once."""
+    rows = spark.range(120).selectExpr("lpad(id, 4, '0') AS id", "'s' || id % 3 AS source_domain", "IF(id % 7 = 0, NULL, 'm' || id % 2) AS municipality", "id % 11 <> 0 AS is_active", "id * 3 AS price")
+    got = P.hydrated_blocks(rows, ["price", "source_domain", "municipality"], salts=3)
+    plain = P.hydrate(P.block_pairs(rows), rows, ["price", "source_domain", "municipality"])
+    assert got.columns == ["a_id", "b_id", "a_price", "b_price", "a_source_domain", "b_source_domain", "a_municipality", "b_municipality"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(got.columns).collect())) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1
