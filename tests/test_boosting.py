@@ -124,3 +124,14 @@ def test_one_class_and_no_rows(spark):
     ones = spark.createDataFrame([(1, 2, 1, 0.5, 1.0, 1.0)] * 4 + [(1, 3, None, 0.5, 1.0, 1.0)], KIND)
     assert B.probability(B.fit(ones, FEATURES, "label"), ones).first().p > 0.99
     assert B.probability(B.fit(ones.where("label = 9"), FEATURES, "label"), ones).count() == 5
+
+
+def test_sums_are_whole_numbers_whatever_their_size():
+    key = np.array([0, 2, 2, 0])
+    for v in ([1, -5, 7, 2**40], [2**60, 3, 4, 1]):
+        want = [v[0] + v[3], 0, v[1] + v[2]]
+        assert B.summed(key, np.array(v), 3).tolist() == want
+    tree = B.Tree(2)
+    tree.feature[:4], tree.bin[:4], tree.missing_left[:4] = [-1, 0, -1, 1], [0, 5, 0, 2], [False, True, False, False]
+    bins = np.array([[5, 0], [6, 2], [6, 3], [B.BINS, 0], [9, B.BINS]], np.uint8)
+    assert tree.nodes(bins).tolist() == [2, 6, 7, 2, 7]
