@@ -123,3 +123,8 @@ def test_status(spark):
     f = lambda n, a, b, c, e: one(spark, R.domain_status(*map(F.lit, (n, a, b)), F.lit(c), F.lit(e)))
     assert [f(5, 90, 95, True, True), f(0, 90, 95, False, False), f(5, 49, 95, False, False), f(5, 90, 89, False, False), f(5, 90, 95, False, False), f(5, 90, 95, False, True)] == ["CLOUDFLARE", "WARNING", "WARNING", "WARNING", "OK", "CRITICAL"]
     assert DEFAULT.merge_similarity == 0.985
+
+
+def test_numbers_that_no_long_holds(spark):
+    rows = spark.createDataFrame([("x 12 345 678 901 234 567 890",), ("-9,5 m",), ("-" + "9" * 30,), ("none",), ("9000000000000000000",)], "t string")
+    assert [r[0] for r in rows.select(C.int_in_text(F.col("t"))).collect()] == [None, -10, None, None, 9_000_000_000_000_000_000]
