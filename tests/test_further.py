@@ -14,6 +14,7 @@ from parcelyn.operators import clusters as K
 from parcelyn.operators import graph
 from parcelyn.operators import pairs as P
 from parcelyn.operators import reports as R
+from parcelyn.operators import scoring as S
 from parcelyn.storage import changed
 
 SIDES = "id int, source_domain string, price int, size_sqm double"
@@ -150,3 +151,22 @@ def test_blocks_bring_columns_without_shuffling_pairs(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(got.columns).collect())) != []
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 1
+
+
+def _four(spark):
+    own = "source_domain STRING, category STRING, price INT, size_sqm DOUBLE, bedrooms INT, year_built INT, embedding ARRAY<FLOAT>"
+    columns = ", ".join(f"{s}_{c}" for s in "ab" for c in own.split(", "))
+    base = lambda src, v: (src, "Villa", 100, 80.0, 2, 2000, v)
+    rows = [(f"{k}", "9", False, *base("s1", a), *base(b_src, b)) for k, (b_src, a, b) in enumerate([("s2", [1.0, 0.0], [1.0, 0.0]), ("s2", [1.0, 0.0], [0.0, 1.0]), ("s1", [1.0, 0.0], [1.0, 0.0]), ("s2", [1.0, 0.0], [0.6, 0.8]), ("s2", [0.0, 0.0], [1.0, 0.0])])]
+    return spark.createDataFrame(rows, f"a_id STRING, b_id STRING, has_feedback BOOLEAN, {columns}")
+
+
+def test_similarity_or_backend_makes_pairs_once(spark):
+    """Without a backend all is one pass; with the default backend given the rows are the same, and nothing is joined."""
+    pairs = _four(spark)
+    one, two = S.similarity_or_backend(pairs), S.similarity_or_backend(pairs, S.UncertainBackend())
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert [r.verdict for r in one.orderBy("a_id").collect()] == ["duplicate", "different", "different", "uncertain", "uncertain"]
+    for df, unions in ((one, 0), (two, 1)):
+        plan = df._jdf.queryExecution().analyzed().toString()
+        assert "Join" not in plan and plan.count("Union") == unions
