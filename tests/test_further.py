@@ -170,3 +170,10 @@ def test_similarity_or_backend_makes_pairs_once(spark):
     for df, unions in ((one, 0), (two, 1)):
         plan = df._jdf.queryExecution().analyzed().toString()
         assert "Join" not in plan and plan.count("Union") == unions
+
+
+def test_cascade_without_backends_is_one_pass(spark):
+    pairs = _four(spark)
+    one, many = S.cascade(pairs), S.cascade(pairs, S.UncertainBackend(), S.UncertainBackend())
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and {r.tier for r in one.collect()} >= {0, 3}
+    assert "Union" not in one._jdf.queryExecution().analyzed().toString()
