@@ -177,3 +177,10 @@ def test_cascade_without_backends_is_one_pass(spark):
     one, many = S.cascade(pairs), S.cascade(pairs, S.UncertainBackend(), S.UncertainBackend())
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and {r.tier for r in one.collect()} >= {0, 3}
     assert "Union" not in one._jdf.queryExecution().analyzed().toString()
+
+
+def test_run_counters_of_conditions(spark):
+    x = S.rule_scores(_four(spark))
+    ends = [x.where(F.col("a_id") == k) for k in "123"]
+    got = S.run_counters(x, *(F.col("a_id") == k for k in "123"))
+    assert got.collect() == S.run_counters(x, *ends).collect() and "Join" not in got._jdf.queryExecution().analyzed().toString()
