@@ -157,11 +157,11 @@ def price_history(observations: DataFrame, late: str = "1 day", idle: str = "365
 
 def incremental_dedup(new: DataFrame, pool: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Verdicts on pairs of new listings with the pool: a stream-static join on municipality, then the rule scores."""
-    columns = ["source_domain", "category", "price", "size_sqm", "bedrooms", "year_built", "embedding"]
+    columns = ["source_domain", "category", "price", "size_sqm", "bedrooms", "year_built", "embedding", "norm", "canonical_category"]
+    new, pool = M.of_listing(new), M.of_listing(pool)
     a = new.where("municipality IS NOT NULL").select(F.col("id").alias("a_id"), "municipality", *(F.col(c).alias(f"a_{c}") for c in columns))
-    b = pool.where("municipality IS NOT NULL").select(F.col("id").alias("b_id"), "municipality", *(F.col(c).alias(f"b_{c}") for c in columns), M.norm(F.col("embedding")).alias("b_norm"))
+    b = pool.where("municipality IS NOT NULL").select(F.col("id").alias("b_id"), "municipality", *(F.col(c).alias(f"b_{c}") for c in columns))
     x = a.join(b, "municipality").where("a_source_domain <> b_source_domain AND a_id <> b_id").withColumn("has_feedback", F.lit(False))
-    x = x.withColumn("a_norm", M.norm(F.col("a_embedding")))
     return scoring.rule_scores(x, config).select("a_id", "b_id", "verdict", "confidence", "reasoning", "tier")
 
 

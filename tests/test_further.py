@@ -184,3 +184,14 @@ def test_run_counters_of_conditions(spark):
     ends = [x.where(F.col("a_id") == k) for k in "123"]
     got = S.run_counters(x, *(F.col("a_id") == k for k in "123"))
     assert got.collect() == S.run_counters(x, *ends).collect() and "Join" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_new_listings_bring_their_norms_into_the_join(spark):
+    """What concerns one listing is computed below the join with the pool, once a listing."""
+    from parcelyn.streaming import jobs
+
+    own = spark.createDataFrame([(k, f"s{k}", "m", "Villa", 100, 80.0, 2, 2000, [1.0, 0.5 * k]) for k in (0, 1)], "id int, source_domain string, municipality string, category string, price int, size_sqm double, bedrooms int, year_built int, embedding array<float>")
+    got = jobs.incremental_dedup(own.where("id = 0"), own)
+    assert [(r.a_id, r.b_id) for r in got.collect()] == [(0, 1)]
+    above = got._jdf.queryExecution().analyzed().toString().split("Join Inner")[0]
+    assert "AS a_norm" not in above and "AS b_norm" not in above
