@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Callable
 from datetime import timedelta
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -38,73 +38,118 @@ def retained(attempts: DataFrame, days: int = 30) -> DataFrame:
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt over so many groups, each with one state: a call to the store serves many keys and rows.
+GROUPS = 4096
+#: A stored piece holds so many rows at least, if its batch has them, and whole stretches.
+PIECE = 1000
+
+
 class _Fold(StatefulProcessor):
-    """Keeps a key's rows by stretches of event time until the watermark has passed them, then folds them in order.
+    """Keeps the rows of a group of keys until the watermark has passed their stretch, then folds them in order of time.
 
-    What a batch brings for a stretch becomes one new entry, so state is written by the new rows alone; entries go when
-    their stretch is folded. A timer waits for each stretch's end, and one for the end of a key's idleness.
+    What a batch brings becomes new pieces of whole stretches of event time, so of the waiting rows only pieces that the
+    watermark cuts are written again. The carries of a group's keys are one value, written when rows of it are folded.
+    One timer a group waits for its earliest stretch's end or its first idle key.
     """
 
     def __init__(self, columns: list[str], order: str, step: Callable, width_ms: int, idle_ms: int, names: list[str]):
         self.names = names
-        self.columns, self.order, self.step, self.width, self.idle = columns, order, step, width_ms, idle_ms
+        self.columns, self.place, self.step, self.width, self.idle = columns, 2 + columns.index(order), step, width_ms, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "stretch long, part int", "rows string")
-        self.carry = handle.getValueState("carry", "value string, last long")
+        self.waiting = handle.getMapState("waiting", "least long, part long", "rows binary")
+        self.carries = handle.getValueState("carries", "value binary")
+        self.plan = handle.getValueState("plan", "timer long, parts long")
+
+    def _stored(self, rows: list[tuple], parts: int) -> int:
+        """Keep rows (us, key, columns) as pieces; the number of the next piece."""
+        rows.sort(key=lambda r: r[0])
+        piece, stretch = [], None
+        for r in [*rows, None]:
+            at = r and r[0] // 1000 // self.width
+            if piece and (r is None or (at != stretch and len(piece) >= PIECE)):
+                self.waiting.updateValue((piece[0][0], parts), (pickle.dumps(piece),))
+                piece, parts = [], parts + 1
+            piece.append(r)
+            stretch = at
+        return parts
+
+    def _end(self, us: int) -> int:
+        return (us // 1000 // self.width + 1) * self.width
 
     def handleInputRows(self, key, rows, timerValues):
-        by_stretch: dict[int, list] = {}
-        for r in rows:
-            row = [float(v) if isinstance(v, Decimal) else v for v in (r[c] for c in self.columns)]
-            by_stretch.setdefault(r["_us"] // 1000 // self.width, []).append([r["_us"], *row])
-        for stretch, own in by_stretch.items():
-            part = 0
-            while self.waiting.containsKey((stretch, part)):
-                part += 1
-            self.waiting.updateValue((stretch, part), (json.dumps(own),))
-            if part == 0:
-                self.handle.registerTimer((stretch + 1) * self.width)
+        new = []
+        for frame in rows:
+            for nulls, us, *values in zip(*(frame[c].tolist() for c in ("nulls", "us", "key", *(f"v{i}" for i in range(len(self.columns))))), strict=True):
+                if nulls:
+                    values = [None if nulls >> i & 1 else v for i, v in enumerate(values)]
+                new.append((us, *(float(v) if isinstance(v, Decimal) else v for v in values)))
+        if new:
+            timer, parts = self.plan.get() if self.plan.exists() else (None, 0)
+            parts = self._stored(new, parts)
+            end = self._end(new[0][0])
+            if timer is None or end < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(end)
+                timer = end
+            self.plan.update((timer, parts))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark, ready = timerValues.getCurrentWatermarkInMs(), {}
-        for at in list(self.waiting.keys()):
-            if (at[0] + 1) * self.width <= mark:
-                ready.setdefault(at[0], []).append(at[1])
-        value, last = self.carry.get() if self.carry.exists() else ("null", None)
-        carry, found = json.loads(value), []
-        for stretch in sorted(ready):
-            rows = [r for part in ready[stretch] for r in json.loads(self.waiting.getValue((stretch, part))[0])]
-            place = 1 + self.columns.index(self.order)
-            for us, *row in sorted(rows, key=lambda r: (r[0], r[place])):
-                if last is not None and us // 1000 - last > self.idle:
-                    carry = None
-                carry, made = self.step(carry, dict(zip(self.columns, row, strict=True)) | {"us": us})
-                last = us // 1000
-                if made is not None:
-                    found.append(Row(**dict(zip(self.names, (key[0], *made), strict=True))))
-            for part in ready[stretch]:
-                self.waiting.removeKey((stretch, part))
-        if ready:
-            self.carry.update((json.dumps(carry), last))
-            self.handle.registerTimer(max(last + self.idle, mark) + 1)
-        elif last is not None and last + self.idle < mark:
-            self.carry.clear()
-        return iter(found)
+        import pandas as pd
+
+        mark = timerValues.getCurrentWatermarkInMs()
+        before = mark // self.width * self.width * 1000
+        carries = pickle.loads(self.carries.get()[0]) if self.carries.exists() else {}
+        ready, later, least = [], [], []
+        for at in [tuple(k) for k in self.waiting.keys()]:
+            if at[0] >= before:
+                least.append(at[0])
+                continue
+            for r in pickle.loads(self.waiting.getValue(at)[0]):
+                (ready if r[0] < before else later).append(r)
+            self.waiting.removeKey(at)
+        ready.sort(key=lambda r: (r[0], r[self.place]))
+        found = []
+        for us, own, *values in ready:
+            carry, last = carries.get(own, (None, None))
+            if last is not None and us // 1000 - last > self.idle:
+                carry = None
+            carry, made = self.step(carry, dict(zip(self.columns, values, strict=True)) | {"us": us})
+            carries[own] = carry, us // 1000
+            if made is not None:
+                found.append((own, *made))
+        kept = {k: c for k, c in carries.items() if c[1] + self.idle >= mark}
+        if kept:
+            if ready or len(kept) < len(carries):
+                self.carries.update((pickle.dumps(kept),))
+        else:
+            self.carries.clear()
+        parts = self._stored(later, self.plan.get()[1])
+        least += [r[0] for r in later[:1]]
+        timers = [*(self._end(us) for us in least), *(c[1] + self.idle + 1 for c in kept.values())]
+        if timers:
+            timer = max(min(timers), mark + 1)
+            self.handle.registerTimer(timer)
+            self.plan.update((timer, parts))
+        else:
+            self.plan.clear()
+        return iter([pd.DataFrame(found, columns=self.names, dtype=object)] if found else [])
 
     def close(self) -> None:
         pass
 
 
-def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, step: Callable, out: str, stretch: str = "1 hour", idle: str = "365 days") -> DataFrame:
+def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, step: Callable, out: str, stretch: str = "1 hour", idle: str = "365 days", groups: int = GROUPS) -> DataFrame:
     """A fold over each key's rows in order of (at, order), whatever order and batches they come in.
 
     Rows wait by stretches of event time until the watermark has passed their stretch's end, so none that comes before
     them can still arrive; rows later than `late` are dropped. step(carry, row) gives (new carry, output row or None);
-    row has the columns and `us`, the microseconds of `at`, and gives times back as such; carry starts as None and is kept
-    as JSON. A key without rows for `idle` is forgotten and starts anew. Output rows have the schema `out`, the key first.
+    row has the columns and `us`, the microseconds of `at`, and gives times back as such; carry starts as None. A key
+    without rows for `idle` is forgotten and starts anew. Output rows have the schema `out`, the key first. Keys share
+    states by `groups` of their hashes, which must stay the same while a checkpoint is in use.
     """
     spark = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
@@ -112,8 +157,13 @@ def in_event_time(rows: DataFrame, key: str, at: str, order: str, late: str, ste
     given = T.StructType([T.StructField(f.split()[0], T._parse_datatype_string(f.split(None, 1)[1])) for f in out.split(", ")])
     plain = T.StructType([T.StructField(f.name, T.LongType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in given])
     ms = lambda x: int(timedelta_of(x).total_seconds() * 1000)
-    marked = rows.withWatermark(at, late).select(key, at, *columns, F.unix_micros(at).alias("_us"))
-    folded = marked.groupBy(key).transformWithState(_Fold(columns, order, step, ms(stretch), ms(idle), plain.names), plain, "append", "eventTime")
+    # Pandas turns whole numbers with nulls into floats, so nulls are marked apart.
+    filled = lambda c, t: F.coalesce(c, F.lit(0).cast(t)) if isinstance(t, (T.NumericType, T.BooleanType)) else F.col(c)
+    nulls = sum((F.col(c).isNull().cast("long") * 2**i for i, c in enumerate([key, *columns])), F.lit(0).cast("long"))
+    group = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    values = [filled(c, rows.schema[c].dataType).alias("key" if c == key else f"v{columns.index(c)}") for c in (key, *columns)]
+    marked = rows.withWatermark(at, late).where(F.col(at).isNotNull()).select(group.alias("group"), F.col(at).alias("at"), *values, F.unix_micros(at).alias("us"), nulls.alias("nulls"))
+    folded = marked.groupBy("group").transformWithStateInPandas(_Fold(columns, order, step, ms(stretch), ms(idle), plain.names), plain, "append", "eventTime")
     return folded.select(*(F.timestamp_micros(f.name).alias(f.name) if isinstance(f.dataType, T.TimestampType) else F.col(f.name) for f in given))
 
 
