@@ -3,7 +3,8 @@
 State is three keyed tables, switched together: the pool of listings, `nodes` (node, root as of the batch that brought it)
 and `roots` (root, current) of roots that later edges have merged into others. A batch maps its edges' ends to their
 current roots, finds the components of these few roots, and writes its own nodes and the roots that moved. Nodes of earlier
-batches are never rewritten, so a batch costs what its listings, their edges and the roots they touch cost.
+batches are never rewritten, so a batch costs what its listings, their edges and the roots they touch cost. Verdicts are a
+log to which a batch appends its own; the pairs of listings that came again are told apart when the log is read.
 
 A batch has a number. One that is in the state already is passed over, so a stream that repeats its last batch after a
 failure changes nothing. New listings meet each other and the pool.
@@ -19,6 +20,7 @@ from ..functions import matching as M
 from ..storage import Tables, latest, written
 from . import scoring
 from .graph import components
+from .pairs import dealt_join
 
 #: What the rules compare; places and areas where listings have them.
 COLUMNS = ["source_domain", "category", "price", "size_sqm", "bedrooms", "year_built", "embedding", "lat", "lng", "area"]
@@ -28,14 +30,22 @@ def scored_with_pool(new: DataFrame, pool: DataFrame, config: Config = DEFAULT)
     """(a_id, b_id, verdict, confidence, reasoning, tier), a_id < b_id, of pairs of new listings with each other and with
     the pool: one municipality, different sources.
 
-    pool must not hold the new listings. A static frame on both sides, or new from a micro-batch.
+    pool must not hold the new listings. Listings of both are dealt over blocks (pairs.dealt_join), so a pair is never
+    shuffled; norms and categories are computed once a listing. Pairs that a hard rule tells apart, the most of them by far,
+    are a branch of their own, without similarity and score.
     """
-    own = lambda df, s: df.where("municipality IS NOT NULL").select(F.col("id").alias(f"{s}_id"), "municipality", *(F.col(c).alias(f"{s}_{c}") for c in COLUMNS if c in df.columns), M.norm(F.col("embedding")).alias(f"{s}_norm"))
-    among = own(new, "a").join(own(new, "b"), "municipality").where("a_id < b_id")
-    older = own(pool, "a").join(own(new, "b"), "municipality").where("a_id < b_id")
-    newer = own(new, "a").join(own(pool, "b"), "municipality").where("a_id < b_id")
-    pairs = among.unionByName(older).unionByName(newer).where("a_source_domain <> b_source_domain").withColumn("has_feedback", F.lit(False))
-    return scoring.rule_scores(pairs, config).select("a_id", "b_id", "verdict", "confidence", "reasoning", "tier")
+    held = [c for c in COLUMNS if c in new.columns]
+    own = lambda df: M.of_listing(df.where("municipality IS NOT NULL").select("id", "municipality", *held))
+    side = lambda df, s, *more: df.select(F.col("id").alias(f"{s}_id"), "municipality", *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in ("id", "municipality", *more)))
+    fresh = own(new)
+    every = fresh.withColumn("fresh", F.lit(True)).unionByName(own(pool).withColumn("fresh", F.lit(False)))
+    pairs = dealt_join(side(fresh, "a"), side(every, "b"), "municipality", "a_id", "b_id")
+    # Two new listings meet twice, and one of the two pairs counts; one of the pool may come before or after.
+    pairs = pairs.where("a_source_domain <> b_source_domain AND (a_id < b_id OR NOT b_fresh AND a_id <> b_id)").withColumn("has_feedback", F.lit(False))
+    rule = scoring.hard_rules(config, once=True)
+    out = [F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")]
+    hard = pairs.where(rule.isNotNull()).select(*out, F.lit(scoring.DIFFERENT).alias("verdict"), F.lit(1.0).alias("confidence"), rule.alias("reasoning"), F.lit(0).alias("tier"))
+    return hard.unionByName(scoring.rule_scores(pairs.where(rule.isNull()), config).select(*out, "verdict", "confidence", "reasoning", "tier"))
 
 
 class GrowingClusters:
@@ -48,7 +58,8 @@ class GrowingClusters:
         """Empty state for listings of this schema (id: string)."""
         none = self.spark.createDataFrame
         self.tables.create("pool", listings.limit(0), ["id"], buckets)
-        self.tables.create("verdicts", none([], "a_id string, b_id string, verdict string, confidence double, reasoning string, tier int"), ["a_id", "b_id"], buckets)
+        self.tables.create_log("verdicts", none([], "a_id string, b_id string, verdict string, confidence double, reasoning string, tier int, batch long"))
+        self.tables.create_log("again", none([], "id string"))
         self.tables.create("nodes", none([], "node string, root string"), ["node"], buckets)
         self.tables.create("roots", none([], "root string, current string"), ["root"], buckets)
         self.tables.create("batches", none([], "batch long"), ["batch"], 1)
@@ -57,7 +68,15 @@ class GrowingClusters:
         return self.tables.read("pool")
 
     def verdicts(self) -> DataFrame:
-        return self.tables.read("verdicts")
+        """The latest verdict of each pair. Only a pair with a listing that came again can be in the log twice."""
+        log = self.tables.read("verdicts")
+        if self.tables.is_empty("again"):
+            return log.drop("batch")
+        ids = self.tables.read("again").distinct()
+        a, b = (ids.select(F.col("id").alias(f"{s}_id"), F.lit(True).alias(f"{s}_again")) for s in "ab")
+        marked = log.join(a, "a_id", "left").join(b, "b_id", "left").withColumn("again", F.coalesce("a_again", "b_again", F.lit(False)))
+        once, more = (marked.where(c).select(*log.columns) for c in ("NOT again", "again"))
+        return once.unionByName(latest(more, ["a_id", "b_id"], "batch")).drop("batch")
 
     def clusters(self) -> DataFrame:
         """(node, root): root is the least node of its component."""
@@ -72,12 +91,16 @@ class GrowingClusters:
         if not self.tables.read("batches").where(F.col("batch") == batch).isEmpty():
             return False
         new = written(new.dropDuplicates(["id"]), "batch")
-        pool = self.pool().join(new.select("id"), "id", "left_anti")
-        found = written(scored_with_pool(new, pool, self.config), "verdicts")
-        links = found.where(F.col("verdict").isin(*self.linking)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        known = self.pool()
+        again = written(known.select("id").join(new.select("id"), "id", "left_semi"), "again")
+        pool = known.join(again, "id", "left_anti")
+        scored = scored_with_pool(new, pool, self.config).select("a_id", "b_id", "verdict", "confidence", "reasoning", F.col("tier").cast("int").alias("tier"), F.lit(batch).cast("long").alias("batch"))
+        # The log's new piece is written once, and counts from the switch on.
+        kept = self.tables.staged("verdicts", scored)
+        links = self.spark.read.schema(scored.schema).parquet(kept).where(F.col("verdict").isin(*self.linking)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         nodes, roots = self.merged(links, new.select(F.col("id").alias("node")))
-        kept = found.select("a_id", "b_id", "verdict", "confidence", "reasoning", F.col("tier").cast("int").alias("tier"))
-        self.tables.change({"pool": new, "verdicts": kept, "nodes": nodes, "roots": roots, "batches": self.spark.createDataFrame([(batch,)], "batch long")})
+        pieces = {"verdicts": kept} | ({} if again.isEmpty() else {"again": self.tables.staged("again", again)})
+        self.tables.change({"pool": new, "nodes": nodes, "roots": roots, "batches": self.spark.createDataFrame([(batch,)], "batch long")}, appended=pieces)
         return True
 
     def merged(self, links: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:

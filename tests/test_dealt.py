@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from parcelyn.operators import pairs as P
 from parcelyn.plans import catalogue
 
 SMALL = "/root/testdata/sf0.001"
@@ -10,3 +11,13 @@ SMALL = "/root/testdata/sf0.001"
 def test_descriptions_are_dealt(spark):
     x = catalogue.QUERIES["mined_descriptions"](spark, SMALL)
     assert x.select(F.spark_partition_id().alias("task")).distinct().count() > 1
+
+
+def test_blocks_stay_bounded(spark, monkeypatch):
+    """More rows of a value make more blocks and tasks, not larger ones."""
+    monkeypatch.setattr(P, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(P, "TASK_PAIRS", 5_000)
+    a = spark.range(600).select(F.col("id").alias("a_id"), F.lit("m").alias("k"))
+    b = a.withColumnRenamed("a_id", "b_id")
+    found = P.dealt_join(a, b, "k", "a_id", "b_id").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in found) == 600 * 600 and max(r["count"] for r in found) < 600 * 600 // 12

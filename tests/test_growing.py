@@ -115,3 +115,21 @@ def test_stream_of_listings(spark, tmp_path):
     I.grow(stream, state, f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
     due, _ = full_run(spark.read.parquet(f"{tmp_path}/in"))
     assert {tuple(r) for r in state.clusters().collect()} == due
+
+
+def test_verdicts_of_earlier_batches_stay_where_they_are(spark, tmp_path):
+    """A batch appends its verdicts; those of a listing that comes again are the latest ones."""
+    rows = listings(spark, SMALL).cache()
+    first, more = rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) > 0), rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == 0)
+    state = I.GrowingClusters(spark, f"{tmp_path}/state", LOOSE)
+    state.create(rows, buckets=2)
+    assert state.absorb(first, 0)
+    before = state.tables._state()["tables"]["verdicts"]["paths"]
+    dearer = first.where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).withColumn("price", F.col("price") * 9)
+    assert state.absorb(more.unionByName(dearer), 1)
+    after = state.tables._state()["tables"]["verdicts"]["paths"]
+    assert before and before.items() <= after.items()
+    now = first.join(dearer.select("id"), "id", "left_anti").unionByName(more).unionByName(dearer)
+    due = {tuple(r) for r in I.scored_with_pool(now, now.limit(0), LOOSE).select("a_id", "b_id", "verdict").collect()}
+    got = [tuple(r) for r in state.verdicts().select("a_id", "b_id", "verdict").collect()]
+    assert set(got) == due and len(got) == len(due)
