@@ -9,6 +9,7 @@ from ..config import DEFAULT, Config
 from ..functions.matching import pair_key
 from ..storage import written
 from .graph import components
+from .pairs import tasks
 
 
 def cluster_id(members: Column) -> Column:
@@ -240,7 +241,8 @@ def year_outliers(members: DataFrame, listings: DataFrame, most: int = 10) -> Da
 
 
 def member_pairs(members: DataFrame) -> DataFrame:
-    """(cluster_id, a_id, b_id): all pairs within the given clusters, a_id < b_id."""
+    """(cluster_id, a_id, b_id): all pairs within the given clusters, a_id < b_id. Clusters are dealt over all tasks."""
+    members = members.select("cluster_id", "property_id").repartition(tasks(members.sparkSession), "cluster_id")
     a, b = members.select("cluster_id", F.col("property_id").alias("a_id")), members.select("cluster_id", F.col("property_id").alias("b_id"))
     return a.join(b, "cluster_id").where("a_id < b_id")
 

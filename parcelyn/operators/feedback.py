@@ -71,10 +71,12 @@ def of_dissolved_clusters(members: DataFrame, hashes: DataFrame, existing: DataF
 
 
 def _with_hashes(pairs: DataFrame, hashes: DataFrame, source: str) -> DataFrame:
-    a = hashes.select(F.col("id").alias("a_id"), F.col("content_hash").alias("hash_a"))
-    b = hashes.select(F.col("id").alias("b_id"), F.col("content_hash").alias("hash_b"))
-    x = pairs.join(a, "a_id", "left").join(b, "b_id", "left")
-    return x.select(F.col("a_id").alias("prop_a_id"), F.col("b_id").alias("prop_b_id"), "hash_a", "hash_b", F.lit(source).alias("feedback_source")).distinct()
+    """Each pair once with its listings' hashes. Pairs are made unique by their ids alone, before the long hashes come."""
+    known = hashes.select("id", "content_hash").distinct()
+    a = known.select(F.col("id").alias("a_id"), F.col("content_hash").alias("hash_a"))
+    b = known.select(F.col("id").alias("b_id"), F.col("content_hash").alias("hash_b"))
+    x = pairs.select("a_id", "b_id").distinct().join(a, "a_id", "left").join(b, "b_id", "left")
+    return x.select(F.col("a_id").alias("prop_a_id"), F.col("b_id").alias("prop_b_id"), "hash_a", "hash_b", F.lit(source).alias("feedback_source"))
 
 
 def deleted_among(feedback: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from parcelyn.operators import clusters as K
+from parcelyn.operators import feedback as B
 from parcelyn.operators import pairs as P
 from parcelyn.plans import catalogue
 
@@ -21,3 +23,14 @@ def test_blocks_stay_bounded(spark, monkeypatch):
     b = a.withColumnRenamed("a_id", "b_id")
     found = P.dealt_join(a, b, "k", "a_id", "b_id").groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(r["count"] for r in found) == 600 * 600 and max(r["count"] for r in found) < 600 * 600 // 12
+
+
+def test_pairs_of_clusters_are_dealt_and_unique_before_hashes(spark):
+    rows = spark.createDataFrame([(c, f"{c}-{i}") for c in range(40) for i in range(3)] + [(99, "0-0"), (99, "0-1")], "cluster_id long, property_id string")
+    x = K.member_pairs(rows)
+    assert x.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    hashes = rows.select(F.col("property_id").alias("id"), F.lit("h").alias("content_hash"))
+    got = B.of_rejected_clusters(rows, hashes)
+    assert got.count() == got.distinct().count() == 120 and got.where("hash_a = 'h' AND hash_b = 'h'").count() == 120
+    tops = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert tops and not any("a_id" in line and "b_id" in line and "hash_a" in line for line in tops)
