@@ -39,7 +39,7 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 #: Keys are dealt over so many groups, each with one state: a call to the store serves many keys and rows.
-GROUPS = 4096
+GROUPS = 512
 #: A stored piece holds so many rows at least, if its batch has them, and whole stretches.
 PIECE = 1000
 

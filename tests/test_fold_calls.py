@@ -87,3 +87,19 @@ def test_calls_grow_with_groups_not_with_keys():
     assert not fold.waiting and handle.calls < 100
     # Idle keys go.
     assert not list(fold.handleExpiredTimer((0,), _Mark(200 * hour), None)) and fold.carries.value is None and fold.plan.value is None
+
+
+def test_few_calls_a_row_over_all_groups():
+    """100,000 rows of as many keys, dealt over all groups: the store is called once for ten rows or less."""
+    hour, calls, made = 3_600_000, 0, 0
+    rows = [(k, (k % 3) * hour * 1000 + k, float(k)) for k in range(100_000)]
+    step = lambda last, r: (r["price"], (last, r["price"], r["us"]))
+    for g in range(jobs.GROUPS):
+        fold, handle = jobs._Fold(["price"], "price", step, hour, 100 * hour, ["key", "old", "new", "us"]), _Handle()
+        fold.init(handle)
+        own = rows[g :: jobs.GROUPS]
+        frame = pd.DataFrame({"key": [r[0] for r in own], "us": [r[1] for r in own], "v0": [r[2] for r in own], "nulls": 0})
+        assert not list(fold.handleInputRows((g,), iter([frame]), _Mark(0)))
+        made += sum(map(len, fold.handleExpiredTimer((g,), _Mark(3 * hour), None)))
+        calls += handle.calls
+    assert made == len(rows) and calls < len(rows) / 10
