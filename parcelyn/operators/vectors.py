@@ -1,9 +1,11 @@
 """Inverted-file index of vectors, and searches by cosine over it.
 
 Coarse cells come from k-means on a bounded sample; every row is indexed in the cell of its nearest centroid, with its
-vector rounded to one byte a component and the length of what rounding took away. A search sends each query to the cells
-that it probes and compares rounded vectors there, in blocks of bounded size. A similarity is then known within bounds,
-so that only pairs which can still be among the k best go on. These alone are joined to the full vectors, and ranked.
+vector rounded to one byte a component and the length of what rounding took away. A search deals its queries over groups
+and sends the index past each of them, cell by cell; there a query is compared with the cells that it probes. A similarity
+is then known within bounds, so a group keeps for its queries only what can still be among the k best, and what they have
+found so far narrows what they probe. The pairs that are left are joined to the full vectors, and ranked. So the index is
+shuffled once for every group, and neither pairs of a query and a cell nor any but near pairs are.
 
 Two ways of probing: all cells that can hold a similarity above a threshold (by the angle to the centroid and the cell's
 widest angle), which loses nothing; or the nearest few cells, whose recall is to be measured.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +29,10 @@ from ..storage import written
 
 #: Most rows that centroids are fitted on, and most cells.
 SAMPLE, MOST_CELLS = 16_384, 4096
-#: Members and queries of one block.
-BLOCK = 2048
+#: Members and queries of one block, and candidate pairs of one at most.
+BLOCK, BLOCK_PAIRS = 2048, 2**20
+#: Queries of a group, and pairs that it holds at most before it hands them on.
+QUERIES, HELD = 16_384, 2**22
 #: Room for rounding of single-precision products.
 SLACK = 1e-5
 _CODED = (("dim", T.IntegerType()), ("cell", T.IntegerType()), ("angle", T.FloatType()), ("code", T.BinaryType()), ("scale", T.FloatType()), ("error", T.FloatType()), ("digest", T.BinaryType()))
@@ -71,6 +75,41 @@ def fit(rows: DataFrame, vector: str = "embedding", by: str = "id", cells: int |
     return out
 
 
+def _by_length(column) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors of an Arrow column that have a direction, in batches of one length."""
+    import pyarrow as pa
+
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        every = np.flatnonzero(lengths == dim)
+        for low in range(0, len(every), BLOCK):
+            at = every[low : low + BLOCK]
+            given = flat[starts[at][:, None] + np.arange(dim)]
+            with np.errstate(over="ignore", invalid="ignore"):
+                length = np.sqrt((given * given).sum(axis=1))
+            some = (length > 0) & (length < math.inf)
+            if some.any():
+                yield at[some], given[some]
+
+
+def _rounded(given: np.ndarray, cells: dict[int, np.ndarray]) -> dict[str, object]:
+    """The columns _CODED of vectors of one length."""
+    x = given / np.sqrt((given * given).sum(axis=1, keepdims=True))
+    known = cells.get(x.shape[1])
+    cell, angle = np.zeros(len(x), np.int32), np.full(len(x), math.pi, np.float32)
+    if known is not None:
+        cell = np.argmax(x.astype(np.float32) @ known.T, axis=1).astype(np.int32)
+        c = known[cell].astype(np.float64)
+        angle = (np.arccos(np.clip((c * x).sum(axis=1) / np.linalg.norm(c, axis=1), -1, 1)) + SLACK).astype(np.float32)
+    scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+    code = np.rint(x / scale[:, None].astype(np.float64)).astype(np.int8)
+    error = (np.linalg.norm(x - code * scale[:, None].astype(np.float64), axis=1) + 1e-7).astype(np.float32)
+    digest = [hashlib.sha256(v.tobytes()).digest() for v in given]
+    return {"dim": np.full(len(x), x.shape[1], np.int32), "cell": cell, "angle": angle, "code": [v.tobytes() for v in code], "scale": scale, "error": error, "digest": digest}
+
+
 def indexed(rows: DataFrame, cells: dict[int, np.ndarray], vector: str = "embedding") -> DataFrame:
     """rows without the vector but with its cell, angle to the centroid and rounded form; every row with a direction.
 
@@ -83,24 +122,11 @@ def indexed(rows: DataFrame, cells: dict[int, np.ndarray], vector: str = "embedd
     def scan(batches):
         import pyarrow as pa
 
+        types = {"dim": pa.int32(), "cell": pa.int32(), "angle": pa.float32(), "scale": pa.float32(), "error": pa.float32()}
         for batch in batches:
-            found = unit(batch.column(len(kept)).to_pylist())
-            some = [i for i, x in enumerate(found) if x is not None]
-            out = {name: [] for name, _ in _CODED}
-            for i in some:
-                x = found[i]
-                known = shared.value.get(len(x))
-                cell, angle = 0, math.pi
-                if known is not None:
-                    dots = known @ x.astype(np.float32)
-                    cell = int(np.argmax(dots))
-                    angle = math.acos(max(-1.0, min(1.0, float(known[cell].astype(np.float64) @ x / np.linalg.norm(known[cell].astype(np.float64)))))) + SLACK
-                scale = float(np.float32(np.abs(x).max() / 127))
-                code = np.rint(x / scale).astype(np.int8)
-                for name, v in zip(out, (len(x), cell, angle, code.tobytes(), scale, float(np.linalg.norm(x - code * scale)) + 1e-7, hashlib.sha256(x.tobytes()).digest()), strict=True):
-                    out[name].append(v)
-            types = {"dim": pa.int32(), "cell": pa.int32(), "angle": pa.float32(), "scale": pa.float32(), "error": pa.float32()}
-            yield pa.record_batch([*(batch.column(j).take(pa.array(some, pa.int64())) for j in range(len(kept))), *(pa.array(v, types.get(k, pa.binary())) for k, v in out.items())], schema.names)
+            for at, given in _by_length(batch.column(len(kept))):
+                own = [batch.column(j).take(pa.array(at)) for j in range(len(kept))]
+                yield pa.record_batch([*own, *(pa.array(v, types.get(name, pa.binary())) for name, v in _rounded(given, shared.value).items())], schema.names)
 
     return rows.select(*(f.name for f in kept), vector).mapInArrow(scan, schema)
 
@@ -112,127 +138,197 @@ def _decoded(table) -> tuple[np.ndarray, np.ndarray]:
     return codes * scale[:, None], table.column("error").to_numpy().astype(np.float64)
 
 
-def _probed(coded: DataFrame, cells: dict[int, np.ndarray], held: dict[int, dict[int, float]], above: float | None, probes: int) -> DataFrame:
-    """Queries, once for each cell that they probe: those with an angle in reach, or the `probes` nearest."""
-    schema = T.StructType([*coded.schema.fields, T.StructField("probe", T.IntegerType())])
-    names = coded.columns
-    shared = coded.sparkSession.sparkContext.broadcast((cells, held))
-    reach = math.acos(max(-1.0, min(1.0, above))) if above is not None else None
-
-    def scan(batches):
-        import pyarrow as pa
-
-        cells, held = shared.value
-        for batch in batches:
-            dims = batch.column(names.index("dim")).to_numpy()
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                part = batch.take(pa.array(at))
-                own = sorted(held[dim])
-                if dim not in cells:
-                    yield pa.record_batch([*part.columns, pa.array(np.zeros(len(at), np.int32))], schema.names)
-                    continue
-                x, error = _decoded(part)
-                length = np.linalg.norm(x, axis=1)
-                c = cells[dim][own]
-                angle = np.arccos(np.clip(x / np.maximum(length, 1e-30)[:, None] @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T, -1, 1))
-                if reach is None:
-                    row, col = np.repeat(np.arange(len(at)), min(probes, len(own))), np.argsort(angle, axis=1, kind="stable")[:, :probes].ravel()
-                else:
-                    width = np.array([held[dim][k] for k in own])
-                    row, col = np.nonzero(angle <= reach + width[None, :] + np.arcsin(np.minimum(1, error))[:, None] + 1e-3)
-                for low in range(0, len(row), 4096):
-                    yield pa.record_batch([*part.take(pa.array(row[low : low + 4096])).columns, pa.array(np.array(own, np.int32)[col[low : low + 4096]])], schema.names)
-
-    return coded.mapInArrow(scan, schema)
-
-
-def _least_of_equals(row: np.ndarray, digest: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
-    """Of members with one and the same vector only the k first by id can be among the k best."""
-    order = np.lexsort((rank[row], digest[row]))
-    d = digest[row][order]
-    first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-    place = np.arange(len(d)) - np.repeat(first, np.diff(np.concatenate([first, [len(d)]])))
-    return row[order[place < k]]
-
-
-def best(rows: DataFrame, k: int, allowed: Callable, columns: tuple[str, ...] = (), above: float | None = None, probes: int = 8, cells: dict[int, np.ndarray] | None = None, vector: str = "embedding", queries: Column | None = None) -> DataFrame:
+def _numbers(column, codes: dict) -> np.ndarray:
+    """Values to be compared: strings as numbers by order of coming (null: -1), null numbers as NaN."""
+    import pyarrow as pa
+
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        d = column.dictionary_encode()
+        own = np.array([*(codes.setdefault(v, len(codes)) for v in d.dictionary.to_pylist()), -1])
+        return own[d.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False)]
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+class _Group:
+    """Queries of one length, and the pairs that can still be among their k best; it meets the index part by part."""
+
+    def __init__(self, x, error, rank, side: dict, k: int, above: float | None, probes: int, later: bool, cells: np.ndarray | None, held: dict[int, float]):
+        order = np.argsort(rank, kind="stable")
+        self.x, self.error, self.rank, self.side = x[order], error[order], rank[order], {n: v[order] for n, v in side.items()}
+        self.k, self.later, self.held = k, later, held
+        self.cut = np.full(len(x), -2.0 if above is None else above)
+        self.found, self.added = [], 0
+        self.cells = self.near = None
+        if cells is not None:
+            self.cells = cells / np.maximum(np.linalg.norm(cells, axis=1, keepdims=True), 1e-30)
+            self.unit = self.x / np.maximum(np.linalg.norm(self.x, axis=1), 1e-30)[:, None]
+            self.slack = np.arcsin(np.minimum(1, self.error)) + 1e-3
+            self.reach = np.arccos(np.clip(self.cut, -1, 1)) + self.slack
+            if above is None and probes < len(held):
+                own = self.cells[sorted(held)]
+                self.near = np.concatenate([np.partition(self.unit[i : i + BLOCK] @ own.T, len(held) - probes, axis=1)[:, len(held) - probes] for i in range(0, len(x), BLOCK)]) - 1e-6
+
+    def probing(self, cell: int) -> np.ndarray:
+        """Which queries probe a cell."""
+        if self.cells is None:
+            return np.arange(len(self.x))
+        dots = self.unit @ self.cells[cell]
+        reached = np.arccos(np.clip(dots, -1, 1)) <= self.reach + self.held[cell]
+        return np.flatnonzero(reached if self.near is None else reached & (dots >= self.near))
+
+    def meet(self, cell: int, y, error, rank, side: dict, digest: np.ndarray, allowed: Callable, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Compare with members of one cell in order of rank; gives pairs of ranks where too many are held."""
+        asked, most = self.probing(cell), float(error.max())
+        rows = max(1, min(block, BLOCK_PAIRS // len(y)))
+        for start in range(0, len(asked), rows):
+            at = asked[start : start + rows]
+            first = int(np.searchsorted(rank, self.rank[at[0]], "right")) if self.later else 0
+            if first == len(y):
+                continue
+            whole = at[-1] - at[0] + 1 == len(at)
+            shown = (self.x[at[0] : at[-1] + 1] if whole else self.x[at]) @ y[first:].T
+            least = (self.cut[at] - most - self.error[at] * (1 + most) - 2 * SLACK).astype(np.float32)
+            flat = np.flatnonzero(shown >= least[:, None])
+            if not len(flat):
+                continue
+            i, j = np.divmod(flat, shown.shape[1])
+            s, q, j = shown.ravel()[flat].astype(np.float64), at[i], j + first
+            room = error[j] + self.error[q] * (1 + error[j]) + SLACK
+            own = {n: v[q] for n, v in self.side.items()} | {"rank": self.rank[q]}
+            ok = (s + room >= self.cut[q]) & (own["rank"] != rank[j])
+            ok &= allowed(own, {n: v[j] for n, v in side.items()} | {"rank": rank[j]})
+            if self.later:
+                ok &= own["rank"] < rank[j]
+            i, q, j, low, high = i[ok], q[ok], j[ok], (s - room)[ok], (s + room)[ok]
+            if len(q) > 4 * self.k * len(at):
+                dense = np.full((len(at), len(y)), -np.inf)
+                dense[i, j] = low
+                kth = np.partition(dense, len(y) - self.k, axis=1)[:, len(y) - self.k]
+                ok = high >= kth[i]
+                q, j, low, high = q[ok], j[ok], low[ok], high[ok]
+            if len(q):
+                self.found.append((q, rank[j], low, high, digest[j, 0], digest[j, 1], np.zeros(len(q), bool)))
+                self.added += len(q)
+            if self.added > max(65_536, self.k * len(self.x) // 2):
+                yield from self.narrow()
+
+    def narrow(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Drop pairs that can't be among the k best, and of equal vectors all but the k first by id."""
+        if not self.found:
+            return
+        q, rank, low, high, d0, d1, sent = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        order = np.lexsort((-low, q))
+        place = _places(q[order])
+        kth = order[place == self.k - 1]
+        self.cut[q[kth]] = np.maximum(self.cut[q[kth]], low[kth])
+        if self.cells is not None:
+            self.reach = np.arccos(np.clip(self.cut, -1, 1)) + self.slack
+        keep = np.flatnonzero(high >= self.cut[q])
+        many = keep[np.bincount(q[keep], minlength=len(self.x))[q[keep]] > 4 * self.k]
+        if len(many):
+            by = many[np.lexsort((rank[many], d1[many], d0[many], q[many]))]
+            over = by[_places(q[by], d0[by], d1[by]) >= self.k]
+            keep = np.setdiff1d(keep, over, assume_unique=True)
+        columns = [c[keep] for c in (q, rank, low, high, d0, d1, sent)]
+        if len(keep) > HELD:
+            new = ~columns[-1]
+            yield self.rank[columns[0][new]], columns[1][new]
+            order = np.lexsort((-columns[2], columns[0]))
+            best = order[_places(columns[0][order]) < self.k]
+            columns = [c[best] for c in columns]
+            columns[-1][:] = True
+        self.found, self.added = [tuple(columns)], 0
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self.narrow()
+        for q, rank, *_, sent in self.found:
+            yield self.rank[q[~sent]], rank[~sent]
+
+
+def _places(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row among those with the same keys, which stand together."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    first = np.flatnonzero(new)
+    return np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+
+
+def best(rows: DataFrame, k: int, allowed: Callable, columns: tuple[str, ...] = (), above: float | None = None, probes: int = 8, cells: dict[int, np.ndarray] | None = None, vector: str = "embedding", queries: Column | None = None, later: bool = False) -> DataFrame:
     """(a_id, b_id, similarity): each query's k most similar partners among rows (id, vector, columns), ties by b_id.
 
     allowed(a, b) takes dicts of numpy arrays of the columns and of `rank` (the order of ids), shaped to be compared with
     each other, and tells which pairs count; strings come as numbers (null: -1), null numbers as NaN. above: only similarities greater than it, all of them found; without it the
-    `probes` nearest cells are searched. queries: which rows ask; all, if not given.
+    `probes` nearest cells are searched. queries: which rows ask; all, if not given. later: partners have greater ids.
     """
-    rows = own = written(rows.select("id", *columns, vector), "vectors")
+    spark = rows.sparkSession
+    given = written(rows.select("id", *columns, vector), "vectors")
+    ranks = given.select("id").where("id IS NOT NULL").distinct().orderBy("id").withColumn("_rank", F.monotonically_increasing_id())
+    own = written(given.join(ranks, "id"), "vectors-ranked")
     cells = fit(own, vector) if cells is None else cells
     coded = written(indexed(own, cells, vector), "vector-index")
+    asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     held: dict[int, dict[int, float]] = {}
-    for r in coded.groupBy("dim", "cell").agg(F.max("angle").alias("width")).collect():
+    asked: dict[int, int] = {}
+    for r in coded.groupBy("dim", "cell").agg(F.max("angle").alias("width"), F.count_if(asks).alias("asking")).collect():
         held.setdefault(r.dim, {})[r.cell] = r.width
-    asking = _probed(coded.where(queries) if queries is not None else coded, cells, held, above, probes)
-
-    # Cells too large for one block are dealt over several, and so are their queries.
-    parts = asking.groupBy("dim", F.col("probe").alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("j_parts"))
-    members = coded.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("i_parts"))
-    sizes = written(members.join(parts, ["dim", "cell"]), "vector-blocks")
-    deal = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asking.withColumn("cell", F.col("probe")).drop("probe").join(F.broadcast(sizes), ["dim", "cell"]).withColumn("j", deal("j_parts")).withColumn("i", each("i_parts")).drop("i_parts", "j_parts")
-    right = coded.join(F.broadcast(sizes.select("*")), ["dim", "cell"]).withColumn("i", deal("i_parts")).withColumn("j", each("j_parts")).drop("i_parts", "j_parts")
-
-    def compare(a, b):
+        asked[r.dim] = asked.get(r.dim, 0) + r.asking
+
+    # Groups of queries: some for each core, and so many that each stays bounded.
+    share, groups, total = 3 * spark.sparkContext.defaultParallelism, [], 0
+    for dim, n in sorted(asked.items()):
+        parts = max(-(-n // QUERIES), min(share, -(-n // 256)))
+        groups.append((dim, total, parts))
+        total += parts
+    dealt = F.broadcast(spark.createDataFrame(groups, "dim int, first int, parts int").where("parts > 0"))
+    hashed = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.col("parts")).cast("int")
+    sides = coded.where(asks).join(dealt, "dim").withColumn("group", F.col("first") + hashed).withColumn("side", F.lit(0))
+    sides = sides.unionByName(coded.join(dealt, "dim").withColumn("group", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))).withColumn("side", F.lit(1)))
+    sides = sides.select("group", "side", "dim", "cell", "_rank", "code", "scale", "error", "digest", *columns)
+    tasks = max(1, min(total, max(share, *(g[2] for g in groups)))) if groups else 1
+    sides = sides.repartitionById(tasks, "group").sortWithinPartitions("group", "side", "cell", "_rank")
+    names, shared, block = sides.columns, spark.sparkContext.broadcast((cells, held)), BLOCK
+
+    def compare(batches):
         import pyarrow as pa
 
-        empty = pa.table({"a_id": a.column("id").slice(0, 0), "b_id": b.column("id").slice(0, 0), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64()), "digest": pa.array([], pa.binary())})
-        if not (a.num_rows and b.num_rows):
-            return empty
-        (x, ex), (y, ey) = _decoded(a), _decoded(b)
-        shown = (x @ y.T).astype(np.float64)
-        room = ey[None, :] + ex[:, None] * (1 + ey[None, :]) + SLACK
-        side = [{}, {}]
-        for name in ("id", *columns):
-            va, vb = a.column(name), b.column(name)
-            if name == "id" or pa.types.is_string(va.type):
-                both = [*va.to_pylist(), *vb.to_pylist()]
-                order = {v: n for n, v in enumerate(sorted({v for v in both if v is not None}))}
-                code = np.array([order.get(v, -1) for v in both])
-                va, vb = code[: a.num_rows], code[a.num_rows :]
-                name = "rank" if name == "id" else name
-            else:
-                va, vb = (v.cast(pa.float64()).to_numpy() for v in (va, vb))
-            side[0][name], side[1][name] = va[:, None], vb[None, :]
-        ok = allowed(*side) & (side[0]["rank"] != side[1]["rank"])
-        if above is not None:
-            ok &= shown + room > above
-        low = np.where(ok, shown - room, -np.inf)
-        if b.num_rows > k:
-            kth = np.partition(low, b.num_rows - k, axis=1)[:, b.num_rows - k]
-            ok &= shown + room >= kth[:, None]
-        digest, rank = np.unique(np.array([d.hex() for d in b.column("digest").to_pylist()]), return_inverse=True)[1], side[1]["rank"][0]
-        q, m = [], []
-        for i in np.flatnonzero(ok.any(axis=1)):
-            row = np.flatnonzero(ok[i])
-            if len(row) > k:
-                row = _least_of_equals(row, digest, rank, k)
-            q.append(np.full(len(row), i))
-            m.append(row)
-        if not q:
-            return empty
-        q, m = np.concatenate(q), np.concatenate(m)
-        return pa.table({"a_id": a.column("id").take(pa.array(q)), "b_id": b.column("id").take(pa.array(m)), "low": shown[q, m] - room[q, m], "high": shown[q, m] + room[q, m], "digest": b.column("digest").take(pa.array(m))})
-
-    kind = rows.schema["id"].dataType.simpleString()
-    by = ["dim", "cell", "i", "j"]
-    near = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, f"a_id {kind}, b_id {kind}, low double, high double, digest binary")
-    asked = Window.partitionBy("a_id")
-    near = near.withColumn("place", F.row_number().over(asked.orderBy(F.col("low").desc())))
-    near = near.withColumn("cut", F.max(F.when(F.col("place") == k, F.col("low"))).over(asked)).where("cut IS NULL OR high >= cut")
-    near = near.withColumn("same", F.row_number().over(Window.partitionBy("a_id", "digest").orderBy("b_id"))).where(F.col("same") <= k).select("a_id", "b_id")
-    full = rows.select("id", F.col(vector).alias("v"), M.norm(F.col(vector)).alias("n"))
-    pairs = near.join(full.select(F.col("id").alias("a_id"), F.col("v").alias("av"), F.col("n").alias("an")), "a_id").join(full.select(F.col("id").alias("b_id"), F.col("v").alias("bv"), F.col("n").alias("bn")), "b_id")
+        cells, held = shared.value
+        codes: dict[str, dict] = {c: {} for c in columns}
+        value = lambda part, name: part.column(names.index(name)).to_numpy(zero_copy_only=False)
+        side_of = lambda part: {c: _numbers(part.column(names.index(c)), codes[c]) for c in columns}
+        shown = lambda pairs: (pa.record_batch([pa.array(a), pa.array(b)], ["a_rank", "b_rank"]) for a, b in pairs if len(a))
+        group, asking, now = None, [], None
+        for batch in batches:
+            g, side, cell = (value(batch, n) for n in ("group", "side", "cell"))
+            new = np.flatnonzero((np.diff(g) != 0) | (np.diff(side) != 0) | (np.diff(cell) != 0)) + 1
+            for start, end in zip([0, *new.tolist()], [*new.tolist(), len(g)], strict=True):
+                for low in range(start, end, block):
+                    part = batch.slice(low, min(block, end - low))
+                    if side[low] == 0:
+                        if group is not None:
+                            yield from shown(group.rest())
+                            group = None
+                        asking.append((*_decoded(part), value(part, "_rank"), side_of(part)))
+                        continue
+                    if asking:
+                        x, error, rank = (np.concatenate([a[i] for a in asking]) for i in range(3))
+                        dim, now = x.shape[1], g[low]
+                        group = _Group(x, error, rank, {c: np.concatenate([a[3][c] for a in asking]) for c in columns}, k, above, probes, later, cells.get(dim), held[dim])
+                        asking = []
+                    if group is None or g[low] != now:
+                        continue
+                    y, error = _decoded(part)
+                    digest = np.array([np.frombuffer(d, np.int64, 2) for d in part.column(names.index("digest")).to_pylist()])
+                    yield from shown(group.meet(int(cell[low]), y, error, value(part, "_rank"), side_of(part), digest, allowed, block))
+        if group is not None:
+            yield from shown(group.rest())
+
+    near = sides.mapInArrow(compare, "a_rank long, b_rank long")
+    full = lambda s: own.select(F.col("_rank").alias(f"{s}_rank"), F.col("id").alias(f"{s}_id"), F.col(vector).alias(f"{s}v"), M.norm(F.col(vector)).alias(f"{s}n"))
+    pairs = near.join(full("a"), "a_rank").join(full("b"), "b_rank")
     pairs = pairs.select("a_id", "b_id", M.cosine(F.col("av"), F.col("bv"), F.col("an"), F.col("bn")).alias("similarity"))
     pairs = pairs.where(F.col("similarity") > above) if above is not None else pairs.where("similarity IS NOT NULL")
-    place = F.row_number().over(asked.orderBy(F.col("similarity").desc(), "b_id"))
+    place = F.row_number().over(Window.partitionBy("a_id").orderBy(F.col("similarity").desc(), "b_id"))
     return pairs.withColumn("place", place).where(F.col("place") <= k).drop("place")
 
 

@@ -102,3 +102,43 @@ def test_few_queries_and_no_rows(spark):
     got = V.best(frame, 3, lambda a, b: a["rank"] != b["rank"], above=-1.0, queries=F.col("id") % 50 == 0)
     assert {r.a_id for r in got.collect()} == {r[0] for r in rows if r[0] % 50 == 0 and cosine(r[4], r[4])}
     assert P.similar_pairs(frame.where("id < 0")).count() == 0
+
+
+def met(n, k, above, seed=1, spread=1.0, cells=40, later=False):
+    """Pairs that one group of queries hands on after it has met n members cell by cell, with their true similarities."""
+    gen = np.random.default_rng(seed)
+    m = gen.normal(size=n * 24).reshape(n, 24) * spread + (spread < 1)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    heads = V.centroids(m, cells).astype(np.float32)
+    r = V._rounded(m, {24: heads})
+    x, error, rank = np.frombuffer(b"".join(r["code"]), np.int8).reshape(n, -1) * r["scale"][:, None], r["error"].astype(float), np.arange(n)
+    held = {c: float(r["angle"][r["cell"] == c].max()) for c in np.unique(r["cell"]).tolist()}
+    digest = np.array([np.frombuffer(d, np.int64, 2) for d in r["digest"]])
+    group, out = V._Group(x[::5], error[::5], rank[::5], {}, k, above, 8, later, heads, held), []
+    for c in held:
+        at = np.flatnonzero(r["cell"] == c)
+        out += group.meet(c, x[at], error[at], rank[at], {}, digest[at], lambda a, b: a["rank"] != b["rank"], 64)
+    out += group.rest()
+    near = m[::5] @ m.T
+    near[np.arange(len(near)), rank[::5]] = -2
+    if later:
+        near[rank[None, :] < rank[::5][:, None]] = -2
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out]), near
+
+
+def test_a_group_hands_on_few_pairs_however_many_cells():
+    """Not the k best of each cell that a query probes, which are shuffled, but those of all."""
+    a, b, near = met(4000, 10, -1.0, cells=200)
+    assert len(a) < 800 * 10 * 4
+    due = {(q * 5, int(j)) for q in range(len(near)) for j in np.argsort(-near[q])[:10]}
+    assert due <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_a_group_holds_few_pairs_of_near_copies(monkeypatch, later):
+    """Near copies can't be told apart by rounded vectors: they are handed on early, none twice and none lost."""
+    monkeypatch.setattr(V, "HELD", 2000)
+    a, b, near = met(1500, 3, 0.2, spread=0.001, cells=4, later=later)
+    got = list(zip(a.tolist(), b.tolist(), strict=True))
+    due = {(q * 5, int(j)) for q in range(len(near)) for j in np.argsort(-near[q])[:3] if near[q, j] > 0.2}
+    assert due <= set(got) and len(got) == len(set(got)) > 2000
