@@ -34,3 +34,9 @@ def test_pairs_of_clusters_are_dealt_and_unique_before_hashes(spark):
     assert got.count() == got.distinct().count() == 120 and got.where("hash_a = 'h' AND hash_b = 'h'").count() == 120
     tops = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
     assert tops and not any("a_id" in line and "b_id" in line and "hash_a" in line for line in tops)
+
+
+def test_edges_are_searched_once(spark):
+    """Components read written edges: their plan has no search of its own."""
+    plan = catalogue.QUERIES["approved_components"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
