@@ -17,7 +17,7 @@ from ..operators import scoring as S
 from ..sources import readers
 from ..sources.readers import table
 from ..storage import Tables, fresh_path, latest, upsert
-from .catalogue import MEMBERS_SQL, RULED_SQL, blocked, members, query
+from .catalogue import MEMBERS_SQL, RULED_SQL, members, query, ruled
 from .listings import SCALED
 from .more import day
 
@@ -226,7 +226,7 @@ def weighted_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores under weights that come from a table: bedrooms count for more, one area against."""
     weights = spark.createDataFrame([("bedrooms_same", DEFAULT.weights.bedrooms_same + 0.25), ("same_area", DEFAULT.weights.same_area - 1.5)], "name string, weight double")
     config = weighted([tuple(r) for r in weights.collect()], SCALED)
-    return S.rule_scores(blocked(spark, sf), config).select("a_id", "b_id", "score")
+    return S.rule_scores(ruled(spark, sf), config).select("a_id", "b_id", "score")
 
 
 # --- list walks ------------------------------------------------------------------------------------------------------
