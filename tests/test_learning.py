@@ -47,3 +47,38 @@ def test_folds_score_each_pair_once(spark):
     got = learning.cross_validated(rows, ["f0"], 3).collect()
     assert len({(r.a_id, r.b_id) for r in got}) == len(got) == 300
     assert all((r.p > 0.5) == (r.truth == "duplicate") for r in got)
+
+
+def _pairs(spark, one):
+    """Pairs whose class depends on two features, one of them with gaps, or that are all of one class."""
+    n = F.col("id")
+    truth = F.when((F.col("f0") + F.col("f1") / 20 + F.rand(5) > 1.6) if one else F.lit(False), "duplicate").otherwise("different")
+    x = spark.range(600).select(n.cast("string").alias("a_id"), (n + 1).cast("string").alias("b_id"), (n % 7 / 5.0).alias("f0"), (n * 37 % 101 / 5.0).alias("f1"), F.lit(3.0).alias("f2"), "id")
+    x = x.withColumn("truth", truth).withColumn("f1", F.when(n % 9 == 0, F.lit(float("nan"))).otherwise(F.col("f1")))
+    return x.drop("id").localCheckpoint()
+
+
+def test_folds_fitted_together_are_those_fitted_apart(spark):
+    x, names, folds = _pairs(spark, True), ["f0", "f1", "f2"], 3
+    fold = F.pmod(F.xxhash64("a_id", "b_id"), F.lit(folds)).cast("int")
+    got = {r.a_id: r.p for r in learning.cross_validated(x, names, folds).collect()}
+    rows = x.withColumn("fold", fold).collect()
+    values = lambda own: np.array([[r.f0, r.f1] for r in own])
+    for k in range(folds):
+        train, test = [r for r in rows if r.fold != k], [r for r in rows if r.fold == k]
+        due = plain_probabilities(values(train), np.array([int(r.truth == "duplicate") for r in train]), values(test))
+        assert np.abs(np.array([got[r.a_id] for r in test]) - due).max() < 1e-6
+
+
+def test_features_are_not_made_for_one_class(spark):
+    def never():
+        raise AssertionError("features were made")
+
+    x = _pairs(spark, False)
+    got = learning.cross_validated(never, ["f0", "f1"], 3, labelled=x.select("a_id", "b_id", "truth")).collect()
+    assert len(got) == 600 and all(r.p == 0 for r in got)
+    assert [r.p for r in learning.cross_validated(x, ["f0", "f1"], 3).collect()] == [0.0] * 600
+    two = _pairs(spark, True)
+    both = [learning.cross_validated(lambda: two, ["f0", "f1"], 3, labelled=two.select("a_id", "b_id", "truth")), learning.cross_validated(two, ["f0", "f1"], 3)]
+    a, b = ({r.a_id: round(r.p, 9) for r in x.collect()} for x in both)
+    assert a == b
