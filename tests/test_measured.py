@@ -90,3 +90,15 @@ def test_rounding_without_decimals(spark):
     x = spark.range(20_000).select(F.explode(F.array(F.rand(1) * 3 - 1, F.floor(F.rand(2) * 1e8) / 1e7, F.floor(F.rand(3) * 1000) / F.floor(F.rand(4) * 999 + 1), *map(F.lit, (-1e-9, -0.0, 0.0078125, 1.0000005, -2.5, float("nan"), float("inf"), 1e300)), F.rand(6) * 1e6, F.lit(None).cast("double"))).alias("x"))
     for d in (0, 5, 6):
         assert x.where(~M.rounded(F.col("x"), d).cast("string").eqNullSafe(F.round("x", d).cast("string"))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["model_tier", "boosted_tier"])
+def test_one_class_needs_no_features(spark, name):
+    """No two listings of different sites end in one digit, so all labels are the same: no features are written or scored."""
+    from parcelyn import storage
+
+    before = storage.n_written()
+    found = catalogue.QUERIES[name](spark, SMALL)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert storage.n_written() == before and not any(k in plan for k in ("MapInArrow", "similarity", "km#"))
+    assert {(r.verdict, r.confidence) for r in found.collect()} == {("different", 1.0)}
