@@ -102,3 +102,19 @@ def test_one_class_needs_no_features(spark, name):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert storage.n_written() == before and not any(k in plan for k in ("MapInArrow", "similarity", "km#"))
     assert {(r.verdict, r.confidence) for r in found.collect()} == {("different", 1.0)}
+
+
+def test_predictions_are_shuffled_only_where_ids_repeat(spark, tmp_path):
+    from parcelyn.plans import further
+
+    def plan(folder):
+        return further.prediction_history(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+    assert "Aggregate" not in plan(SMALL)
+    x = table(spark, SMALL, "embeddings")
+    x.union(x.limit(40)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for name in ("customer", "part"):
+        table(spark, SMALL, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert "Aggregate" in plan(str(tmp_path))
+    got = further.prediction_history(spark, str(tmp_path))
+    assert got.count() == got.select("pair_key").distinct().count() == further.prediction_history(spark, SMALL).count()
