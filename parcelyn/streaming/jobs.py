@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..config import DEFAULT, Config
 from ..functions import matching as M
-from ..operators import scoring
+from ..operators import pairs, scoring
 
 
 def daily_stage_stats(attempts: DataFrame, late: str = "1 day") -> DataFrame:
@@ -206,13 +206,25 @@ def price_history(observations: DataFrame, late: str = "1 day", idle: str = "365
 
 
 def incremental_dedup(new: DataFrame, pool: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """Verdicts on pairs of new listings with the pool: a stream-static join on municipality, then the rule scores."""
+    """Verdicts on pairs of new listings with the pool: a stream-static join on municipality, then the rule scores.
+
+    The pool of a municipality is dealt over parts, as many as its rows need, and new listings are sent to each of them, so
+    tasks grow in number and not in size. Pairs that a hard rule tells apart, the most of them by far, are a branch of their
+    own, which holds no vectors, similarities and scores.
+    """
     columns = ["source_domain", "category", "price", "size_sqm", "bedrooms", "year_built", "embedding", "norm", "canonical_category"]
     new, pool = M.of_listing(new), M.of_listing(pool)
     a = new.where("municipality IS NOT NULL").select(F.col("id").alias("a_id"), "municipality", *(F.col(c).alias(f"a_{c}") for c in columns))
     b = pool.where("municipality IS NOT NULL").select(F.col("id").alias("b_id"), "municipality", *(F.col(c).alias(f"b_{c}") for c in columns))
-    x = a.join(b, "municipality").where("a_source_domain <> b_source_domain AND a_id <> b_id").withColumn("has_feedback", F.lit(False))
-    return scoring.rule_scores(x, config).select("a_id", "b_id", "verdict", "confidence", "reasoning", "tier")
+    pairs_at_most, rows = b.groupBy("municipality").count().agg(F.sum(F.col("count") * F.col("count")), F.max("count")).first()
+    parts, keys = -(-(rows or 1) // pairs.BLOCK_ROWS), ["municipality", "_part"]
+    share = max(pairs.tasks(b.sparkSession), -(-(pairs_at_most or 0) // pairs.TASK_PAIRS))
+    a = a.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(share, *keys)
+    b = b.withColumn("_part", F.pmod(F.xxhash64("b_id"), F.lit(parts)).cast("int")).repartition(share, *keys)
+    x = a.join(b, keys).where("a_source_domain <> b_source_domain AND a_id <> b_id").withColumn("has_feedback", F.lit(False))
+    rule = scoring.hard_rules(config, once=True)
+    hard = x.where(rule.isNotNull()).select("a_id", "b_id", F.lit(scoring.DIFFERENT).alias("verdict"), F.lit(1.0).alias("confidence"), rule.alias("reasoning"), F.lit(0).alias("tier"))
+    return hard.unionByName(scoring.rule_scores(x.where(rule.isNull()), config).select("a_id", "b_id", "verdict", "confidence", "reasoning", "tier"))
 
 
 def dedup_into(new: DataFrame, pool: DataFrame, path: str, checkpoint: str, config: Config = DEFAULT):

@@ -118,3 +118,19 @@ def test_predictions_are_shuffled_only_where_ids_repeat(spark, tmp_path):
     assert "Aggregate" in plan(str(tmp_path))
     got = further.prediction_history(spark, str(tmp_path))
     assert got.count() == got.select("pair_key").distinct().count() == further.prediction_history(spark, SMALL).count()
+
+
+def test_new_listings_meet_a_pool_in_parts(spark, monkeypatch):
+    """The join deals a municipality over tasks, and nothing is scored that a hard rule decides."""
+    from parcelyn.streaming import jobs
+
+    x = _listings(spark).where("municipality IS NOT NULL").withColumns({"size_sqm": F.lit(80.0), "year_built": 2000 + F.coalesce("price", F.lit(0)) * 4, "bedrooms": F.lit(2)})
+    new = x.where("price > 3")
+    whole = jobs.incremental_dedup(new, x)
+    due = {tuple(r) for r in whole.collect()}
+    monkeypatch.setattr(P, "BLOCK_ROWS", 5)
+    dealt = jobs.incremental_dedup(new, x)
+    assert {tuple(r) for r in dealt.collect()} == due and len(due) > 100
+    assert dealt.where("a_id >= ''").select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    hard = [line for line in dealt._jdf.queryExecution().optimizedPlan().toString().split("Join Inner") if "tier" in line]
+    assert "similarity" not in hard[0] and {r[5] for r in due} == {0, 1}
