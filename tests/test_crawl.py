@@ -59,3 +59,12 @@ def test_stages_and_least_prices(spark):
 def test_no_starts(spark):
     seeds, pages, tries = walked(spark, site("a", [1]), [])
     assert seeds.count() == pages.count() == tries.count() == 0
+
+
+def test_selectors_are_read_once_for_all_pages(monkeypatch):
+    from parcelyn.plans.further import SITE_PAGES
+    from parcelyn.sources import html
+
+    first = {d: html.parse_page(page, html.SITES[d]) for d, page in SITE_PAGES.items()}
+    monkeypatch.setattr(html, "_step", lambda text: (_ for _ in ()).throw(AssertionError("read again")))
+    assert {d: html.parse_page(page, html.SITES[d]) for d, page in SITE_PAGES.items()} == first
